@@ -99,3 +99,37 @@ def components(edges: DataFrame, tables: Tables, max_rounds: int = 60) -> DataFr
             tables.drop(both)
             return state
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def per_text(fn, ddl: str):
+    """An Arrow UDF that calls ``fn`` on a batch of texts (str or None) and makes a struct column of its rows.
+
+    Only the texts go to Python; the other columns stay in the JVM. Marked non-deterministic so that the planner runs
+    it once where several of its fields are used.
+    """
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    fields = [(f.name, to_arrow_type(f.dataType)) for f in T.StructType.fromDDL(ddl).fields]
+
+    def run(texts):
+        import pyarrow as pa
+
+        rows = list(fn(texts.to_pylist()))
+        columns = list(zip(*rows)) if rows else [[] for _ in fields]
+        return pa.StructArray.from_arrays([pa.array(c, type=t) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
+
+    return arrow_udf(run, f"struct<{ddl}>").asNondeterministic()
+
+
+def arrow_udf(fn, ddl: str):
+    """An Arrow UDF of a function of one array, without the type hints that Spark reads its kind from."""
+    import pyarrow as pa
+
+    fn.__annotations__ = {fn.__code__.co_varnames[0]: pa.Array, "return": pa.Array}
+    return F.arrow_udf(fn, ddl)
+
+
+def lower(text: str) -> str:
+    """A-Z lower-cased, all else as it is."""
+    return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")

@@ -1,14 +1,18 @@
 """Queries of this subpackage and, where SQL can express them, their SQL."""
 
-from tidewheel.llm import mixing, sharding
+from tidewheel.llm import decontaminate, mixing, quality, secrets, sharding, urls
 
 
 def queries():
     return {
+        "op3_url_filter": urls.op3_url_filter,
         "op5_mix_sources": mixing.op5_mix_sources,
+        "op6_quality_rules": quality.op6_quality_rules,
+        "op7_decontaminate": decontaminate.op7_decontaminate,
+        "op9_secret_scan": secrets.op9_secret_scan,
         "op10_shuffle_shards": sharding.op10_shuffle_shards,
     }
 
 
 def oracle_sql():
-    return {"op5_mix_sources": mixing.OP5_SQL}
+    return {"op3_url_filter": urls.OP3_SQL, "op5_mix_sources": mixing.OP5_SQL}

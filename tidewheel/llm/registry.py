@@ -1,10 +1,11 @@
 """Queries of this subpackage and, where SQL can express them, their SQL."""
 
-from tidewheel.llm import decontaminate, mixing, quality, secrets, sharding, urls
+from tidewheel.llm import decontaminate, mixing, quality, secrets, sharding, simhash, urls
 
 
 def queries():
     return {
+        "op1_simhash_components": simhash.op1_simhash_components,
         "op3_url_filter": urls.op3_url_filter,
         "op5_mix_sources": mixing.op5_mix_sources,
         "op6_quality_rules": quality.op6_quality_rules,

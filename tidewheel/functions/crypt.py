@@ -50,11 +50,12 @@ class Codec:
             sealed = F.aes_encrypt(plain, self._key(kid), F.lit("GCM"), F.lit("DEFAULT"), iv, F.lit(self.aad_prefix + kid))
         else:
             sealed = F.aes_encrypt(plain, self._key(kid), F.lit("GCM"), F.lit("DEFAULT"))
-        parts = F.transform(F.array(sealed), lambda s: F.struct(F.substring(s, 1, NONCE).alias("n"), F.substring(s, NONCE + 1, 1 << 30).alias("ct")))[0]
-        return F.when(
-            payload.isNotNull(),
-            F.to_json(F.struct(F.lit(self.version).alias(self.marker), F.lit(kid).alias("kid"), F.base64(parts["n"]).alias("n"), F.base64(parts["ct"]).alias("ct"))),
-        )
+        # The sealed bytes are bound to one lambda variable, so that nonce and ciphertext come from one encryption.
+        def envelope(box: Column) -> Column:
+            n, ct = F.substring(box, 1, NONCE), F.substring(box, NONCE + 1, 1 << 30)
+            return F.struct(F.lit(self.version).alias(self.marker), F.lit(kid).alias("kid"), F.base64(n).alias("n"), F.base64(ct).alias("ct"))
+
+        return F.when(payload.isNotNull(), F.to_json(F.transform(F.array(sealed), envelope)[0]))
 
     def decrypt(self, stored: Column) -> Column:
         """The payload of an envelope. Unknown keys, versions, nonce sizes and failed authentication raise; so does plain text if strict."""

@@ -37,7 +37,11 @@ DDL = {
     "schedules": "id string, cron string, workflow string, queue string, input string, next_run_at timestamp, paused boolean, "
     "created_at timestamp, updated_at timestamp",
 }
-SCHEMAS = {name: T.StructType.fromDDL(ddl) for name, ddl in DDL.items()}
+
+
+def schema(name: str) -> T.StructType:
+    """The columns of a table. Needs a session: Spark parses the types."""
+    return T.StructType.fromDDL(DDL[name])
 
 
 class NotFound(LookupError):

@@ -46,7 +46,7 @@ def water_fill(sources: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS
 
 
 def mix(sized: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """Rows (doc_id, source, size) with source_size, target and copies (times the mix takes the row).
+    """Rows (doc_id, source, size, and others) with source_size, target and copies (times the mix takes the row), replacing columns of those names.
 
     The words taken from a source differ from its target by half of one document at most. Each source's order is cut into
     4,096 buckets by the hash; only the bucket in which the target is reached is ranked row by row, so a hot source is
@@ -54,7 +54,8 @@ def mix(sized: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: s
     id are ordered by size. An empty table gives an empty table.
     """
     mark = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = sized.select("doc_id", "source", "size", mark.alias("__mark")).withColumn("__bucket", F.substring("__mark", 1, 3))
+    own = [c for c in sized.columns if c not in ("source_size", "target", "copies")]
+    rows = sized.select(*own, mark.alias("__mark")).withColumn("__bucket", F.substring("__mark", 1, 3))
     buckets = rows.groupBy("source", "__bucket").agg(F.sum("size").alias("n"))
     goals = water_fill(buckets.groupBy("source").agg(F.sum("n").alias("source_size")), weights, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
@@ -74,15 +75,23 @@ def mix(sized: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: s
         .select("g.source", "g.source_size", "g.target", "g.whole", "g.rest", F.col("c.last.__bucket").alias("cut_at"), F.col("c.last.before").alias("cut_before"))
         .alias("p")
     )
-    met = rows.alias("d").join(plan, F.expr("d.source <=> p.source")).select("d.*", "p.source_size", "p.target", "p.whole", "p.rest", "p.cut_at", "p.cut_before")
+    met = rows.alias("__rows").join(plan, F.expr("__rows.source <=> p.source")).select("__rows.*", "p.source_size", "p.target", "p.whole", "p.rest", "p.cut_at", "p.cut_before")
     outside = met.where("__bucket <> cut_at").withColumn("copies", F.col("whole") + (F.col("__bucket") < F.col("cut_at")).cast("long"))
     inside = Window.partitionBy("source").orderBy("__mark", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     upto = F.col("cut_before") + F.sum("size").over(inside)
     edge = met.where("__bucket = cut_at").withColumn("copies", F.col("whole") + (2 * upto - F.col("size") <= 2 * F.col("rest")).cast("long"))
-    keep = ["doc_id", "source", "size", "source_size", "target", "copies"]
+    keep = [*own, "source_size", "target", "copies"]
     return outside.select(*keep).union(edge.select(*keep))
 
 
+def repeat_by_mix(docs: DataFrame) -> DataFrame:
+    """The documents as often as the mix takes them, with their own columns. Only rows where a target is reached are shuffled."""
+    own = [F.col(f"__doc.`{c}`").alias(c) for c in docs.columns]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), "doc_id", "source", word_count(F.col("text")).alias("size"))
+    taken = mix(rows).where("copies > 0")
+    return taken.select(F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))), "__doc").select(*own)
+
+
 def op5_mix_sources(spark, sf_dir: str) -> DataFrame:
     """The mix of all documents: words that it takes of each. A null text has size 0."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -59,13 +59,14 @@ def communication_matrix(part_rows: list[int], shard_rows: list[int], seed: int)
     return out
 
 
-def shuffle_into_shards(df: DataFrame, shards: int = 16, seed: int = 20, key_cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def shuffle_into_shards(df: DataFrame, shards: int = 16, seed: int = 20, key_cols: tuple[str, ...] = ("doc_id",), number_copies: bool = False) -> DataFrame:
     """``df`` with shard (int, 0 to shards - 1) and slot (long, gapless from 0 in each shard).
 
     Shard sizes differ by one row at most; which shards hold the odd rows depends on the seed. Given the same rows and seed the
     result is the same on any cluster. ``key_cols`` feed the hashes: rows alike in all of them are ordered arbitrarily among
     themselves, so they should tell rows apart; nulls, ties and repeated rows are rows like any other. An empty table gives an empty
-    table. Input columns named shard or slot are replaced.
+    table. Input columns named shard or slot are replaced. ``number_copies`` numbers rows that are alike in ``key_cols`` first, so that a few copies
+    of a row are dealt apart.
     """
     spark = df.sparkSession
     own = [c for c in df.columns if c not in ("shard", "slot")]
@@ -74,11 +75,15 @@ def shuffle_into_shards(df: DataFrame, shards: int = 16, seed: int = 20, key_col
     def rank(salt: int):
         return F.xxhash64(F.lit(seed * 8 + salt), *keys)
 
+    df = df.select(*own)
+    if number_copies:
+        df = df.withColumn("__copy", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0))))
+        keys.append(F.col("__copy"))
     rows = df.count()
     parts = min(MAX_PARTS, max(MIN_PARTS, math.ceil(rows / ROWS_A_PART)))
     if parts * shards > MAX_MATRIX:
         raise ValueError(f"{shards} shards are too many for one round; shuffle into groups of shards first")
-    dealt = df.select(*own).withColumn("__part", F.pmod(rank(0), F.lit(parts)).cast("int"))
+    dealt = df.withColumn("__part", F.pmod(rank(0), F.lit(parts)).cast("int"))
     sizes = {r[0]: r[1] for r in dealt.groupBy("__part").count().collect()}  # one row a partition
     order = np.random.Generator(np.random.PCG64(seed + 1)).permutation(shards)
     shard_rows = [rows // shards + int(order[s] < rows % shards) for s in range(shards)]

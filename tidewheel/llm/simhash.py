@@ -299,6 +299,54 @@ def fingerprint_components(docs: DataFrame, n: int = 3, tau: int = 2, label: str
     return told.join(every, "fp").select("doc_id", "fp", "component_id")
 
 
+#: Most ids (of 8 bytes, and a hash) that are broadcast; more are joined by shuffle.
+MAX_BROADCAST_IDS = 1_000_000
+
+
+def _small(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS else ids
+
+
+def shingle_sets(text: Column, n: int) -> Column:
+    """A struct of the content hash and the distinct hashes of the n-word shingles."""
+
+    def rows(texts):
+        for t in texts:
+            words, parts = shingles(t, n)
+            yield xxhash.xxh64_intdigest(" ".join(words)) - (1 << 63), sorted({xxhash.xxh64_intdigest(s, SEED) - (1 << 63) for s in parts})
+
+    return per_text(rows, "content bigint, parts array<bigint>")(text)
+
+
+def drop_near_duplicates(docs: DataFrame, n: int = 5, tau: int = 8, similarity: float = 0.8, label: str = "neardup") -> DataFrame:
+    """One document of each group of near-duplicates, the one with the smallest id, with all its columns.
+
+    Two texts are linked if their words are the same (A-Z lower-cased), or if their SimHashes of n-word shingles are within tau bits and the
+    Jaccard similarity of the shingle sets is at least ``similarity``; groups are components of links. An id is one document: rows that
+    share an id stay or go together. Rows with a null id stay. Texts without words are one group.
+    """
+    tables = Tables(docs.sparkSession, label)
+    told = tables.put(docs.select("doc_id", prints(F.col("text"), n).alias("p")).select("doc_id", "p.fp", "p.content"))
+    nodes = tables.put(told.groupBy(F.col("content").alias("id")).agg(F.min("fp").alias("fp"), F.min("doc_id").alias("least")))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        pairs = tables.put(pairs)
+        asked = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
+        asked = tables.put(asked.join(nodes, "id").select(F.col("least").alias("doc_id"), "id"))
+        found = docs.select("doc_id", "text").join(_small(asked), "doc_id").select("id", shingle_sets(F.col("text"), n).alias("s"))
+        sets = tables.put(found.where("id = s.content").groupBy("id").agg(F.first("s.parts").alias("parts")))
+        met = pairs.join(sets.select(F.col("id").alias("u"), F.col("parts").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("parts").alias("b")), "v")
+        both = F.size(F.array_intersect("a", "b"))
+        return met.where(both >= similarity * (F.size("a") + F.size("b") - both)).select("u", "v")
+
+    found = components(links(nodes.select("id", "fp"), tau, tables, verify), tables)
+    group = F.coalesce("root", "content")
+    grouped_rows = tables.put(told.join(found, F.col("content") == F.col("node"), "left").select("doc_id", group.alias("group")))
+    kept = grouped_rows.groupBy("group").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    dropped = tables.put(grouped_rows.select("doc_id").distinct().join(kept, "doc_id", "left_anti"))
+    return docs.join(_small(dropped), "doc_id", "left_anti")
+
+
 def op1_simhash_components(spark, sf_dir: str) -> DataFrame:
     docs = named(spark.read.parquet(f"{sf_dir}/documents.parquet"), doc_id="doc_id", text="text")
     out = fingerprint_components(docs)

@@ -57,6 +57,15 @@ class Tables:
             self._fs.delete(self._path(t._tidewheel_path), True)
 
 
+#: Most ids (of 8 bytes, and little else) that are broadcast; more are joined by shuffle.
+MAX_BROADCAST_IDS = 1_000_000
+
+
+def small(ids: DataFrame) -> DataFrame:
+    """A table of ids, to be broadcast if it has been counted and found small."""
+    return F.broadcast(ids) if ids.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS else ids
+
+
 def named(df: DataFrame, **needed: Column | str) -> DataFrame:
     """Only the columns needed, under the operator's own names: other columns of the input cannot clash."""
     return df.select(*[(F.col(f"`{c}`") if isinstance(c, str) else c).alias(k) for k, c in needed.items()])

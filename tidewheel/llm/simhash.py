@@ -10,7 +10,7 @@ Those that meet are verified.
 Buckets of many fingerprints are not paired. For tau of 2 or less, two fingerprints within tau share a point
 within one bit of both; so the members of such buckets meet at their 65 points, where at most 65 fingerprints can
 be, and are linked in a star there: exact, and linear in the members. For greater tau the members are compared in blocks, of which
-a minimum spanning forest of the still unconnected leaves the task (see ``links``).
+few pairs of the still unconnected leave the task at a time (see ``links``).
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import WORD, Tables, components, lower, named, per_text
+from tidewheel.llm.common import WORD, Tables, components, lower, named, per_text, small
 
 BITS = 64
 SEED = 42
@@ -32,6 +32,8 @@ SEED = 42
 HOT = 64
 #: Members of a hot bucket that one task compares with as many others.
 BLOCK = 1024
+#: Pairs that a round proposes for a node of a hot bucket at most; the next round goes on.
+PER_NODE = 64
 
 _word = re.compile(WORD).findall
 
@@ -185,30 +187,39 @@ def _points(hot: DataFrame) -> DataFrame:
     return met.select(F.explode("ids").alias("v"), F.array_min("ids").alias("u")).where("u <> v").select("u", "v")
 
 
-def _forest(members: DataFrame, tau: int) -> DataFrame:
-    """Links (u, v) of a spanning forest, nearest first, of each hot bucket's nodes that are within tau bits, in different components, and
-    not among the pairs refuted before. ``members``: part, key, blocks, block, id, fp, comp, refuted (ids). Each block meets each other one once."""
+def _proposed(members: DataFrame, tau: int, how: Plan, forest_only: bool) -> DataFrame:
+    """Pairs (u, v) to verify: nodes of one hot bucket within tau bits, in different components, and not refuted before. With forest_only those of a
+    spanning forest, nearest first; else up to PER_NODE of each node, nearest first. ``members``: part, key, blocks, block, id, fp, comp, refuted
+    (ids). Each block meets each other one once; a pair that meets in several buckets of a partition counts in one of them."""
     pairs = members.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     pairs = pairs.select("part", "key", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "id", "fp", "comp", "refuted")
 
-    def forest(pdf: pd.DataFrame) -> pd.DataFrame:
+    def proposed(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", ignore_index=True)
         fp, ids, comp = pdf["fp"].to_numpy().view(np.uint64), pdf["id"].to_numpy(), pdf["comp"].to_numpy()
         block, (a, b) = pdf["block"].to_numpy(), (pdf["a"].iloc[0], pdf["b"].iloc[0])
+        part, key = int(pdf["part"].iloc[0]), np.uint64(int(pdf["key"].iloc[0]) & (1 << 64) - 1)
+        mask, single = np.uint64(how.masks[part]), how.thresholds[part] == 1
         bad = {(i, j) for i, js in zip(ids.tolist(), pdf["refuted"]) if js is not None for j in js}
+        reach = key ^ (fp & mask)
         found: list[tuple[int, int, int]] = []
         for i in np.flatnonzero(block == a):
-            far = np.bitwise_count(fp ^ fp[i])
-            ok = (far <= tau) & (comp != comp[i]) & (block == b)
+            apart = fp ^ fp[i]
+            far, inside = np.bitwise_count(apart), apart & mask
+            near = np.bitwise_count(inside)
+            first = np.where(ids > ids[i], reach[i], reach)
+            once = np.where(near <= 1, first == 0, reach[i] < (inside ^ reach[i]))
+            ok = (far <= tau) & (comp != comp[i]) & (block == b) & (once | single)
             if a == b:
                 ok[: i + 1] = False
-            found += [(int(far[j]), int(i), int(j)) for j in np.flatnonzero(ok)]
-            if len(found) > 1 << 18:  # keep the forest of what was found: the rest can't enter it
-                found = list(_kruskal(found, comp, ids, bad))
-        out = [(int(ids[i]), int(ids[j])) for _, i, j in _kruskal(found, comp, ids, bad)]
+            js = [j for j in np.flatnonzero(ok).tolist() if (int(ids[i]), int(ids[j])) not in bad and (int(ids[j]), int(ids[i])) not in bad]
+            found += sorted((int(far[j]), int(i), j) for j in js)[: None if forest_only else PER_NODE]
+            if forest_only and len(found) > 1 << 18:  # keep the forest of what was found: the rest can't enter it
+                found = list(_kruskal(found, comp))
+        out = [(int(ids[i]), int(ids[j])) for _, i, j in (_kruskal(found, comp) if forest_only else found)]
         return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
-    def _kruskal(edges, comp, ids, bad):
+    def _kruskal(edges, comp):
         above: dict = {}
 
         def root(x):
@@ -218,23 +229,23 @@ def _forest(members: DataFrame, tau: int) -> DataFrame:
             return x
 
         for d, i, j in sorted(edges):
-            if (int(ids[i]), int(ids[j])) in bad or (int(ids[j]), int(ids[i])) in bad:
-                continue
             x, y = root(comp[i]), root(comp[j])
             if x != y:
                 above[max(x, y)] = min(x, y)
                 yield d, i, j
 
-    return pairs.groupBy("part", "key", "a", "b").applyInPandas(forest, "u bigint, v bigint").distinct()
+    out = pairs.groupBy("part", "key", "a", "b").applyInPandas(proposed, "u bigint, v bigint")
+    return out.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def links(nodes: DataFrame, tau: int, tables: Tables, verify=None, max_rounds: int = 50) -> DataFrame:
     """Links (u, v) between ``nodes`` (id, fp: long, ids distinct) whose components are those of all links: pairs within tau bits
     that ``verify`` (pairs (u, v) to those that hold) accepts.
 
-    Pairs of ordinary buckets are all verified. In hot buckets with tau over 2 each round proposes a spanning forest of what is
-    not yet connected, verified links join components, refuted pairs are left out from then on, and rounds end when
-    nothing is left to propose: no two components then have an untried pair. Whatever a bucket's size, rows stay near its number of members.
+    Pairs of ordinary buckets are all verified. In hot buckets with tau over 2 the first round proposes a spanning forest of what is not yet
+    connected, and later ones up to PER_NODE more pairs of each node that is still apart from another. Verified links join components,
+    refuted pairs are left out from then on, and rounds end when nothing is left to propose: no two components then have an untried
+    pair. Whatever a bucket's size, rows stay within PER_NODE times its members.
     """
     n, both = bit_counts(nodes)
     if n < 2:
@@ -264,7 +275,7 @@ def links(nodes: DataFrame, tau: int, tables: Tables, verify=None, max_rounds: i
     blocks = F.ceil(F.col("count") / BLOCK).cast("int")
     crowd = tables.put(rows.join(hot, ["part", "key"]).select("part", "key", "id", "fp", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block")))
     refuted = None
-    for _ in range(max_rounds):
+    for turn in range(max_rounds):
         comp = components(good, tables)
         told = crowd.join(comp, crowd["id"] == comp["node"], "left").select(crowd["*"], F.coalesce("root", "id").alias("comp"))
         if refuted is None:
@@ -272,7 +283,7 @@ def links(nodes: DataFrame, tau: int, tables: Tables, verify=None, max_rounds: i
         else:
             told = told.join(refuted.groupBy(F.col("u").alias("id")).agg(F.collect_list("v").alias("refuted")), "id", "left")
         mixed = told.groupBy("part", "key").agg((F.min("comp") < F.max("comp")).alias("mixed")).where("mixed").select("part", "key")
-        tried = tables.put(_forest(told.join(mixed, ["part", "key"], "left_semi"), tau))
+        tried = tables.put(_proposed(told.join(mixed, ["part", "key"], "left_semi"), tau, how, turn == 0))
         if tried.isEmpty():
             return good
         held = tables.put(verify(tried) if verify else tried)
@@ -299,14 +310,6 @@ def fingerprint_components(docs: DataFrame, n: int = 3, tau: int = 2, label: str
     return told.join(every, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Most ids (of 8 bytes, and a hash) that are broadcast; more are joined by shuffle.
-MAX_BROADCAST_IDS = 1_000_000
-
-
-def _small(ids: DataFrame) -> DataFrame:
-    return F.broadcast(ids) if ids.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS else ids
-
-
 def shingle_sets(text: Column, n: int) -> Column:
     """A struct of the content hash and the distinct hashes of the n-word shingles."""
 
@@ -333,7 +336,7 @@ def drop_near_duplicates(docs: DataFrame, n: int = 5, tau: int = 8, similarity:
         pairs = tables.put(pairs)
         asked = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
         asked = tables.put(asked.join(nodes, "id").select(F.col("least").alias("doc_id"), "id"))
-        found = docs.select("doc_id", "text").join(_small(asked), "doc_id").select("id", shingle_sets(F.col("text"), n).alias("s"))
+        found = docs.select("doc_id", "text").join(small(asked), "doc_id").select("id", shingle_sets(F.col("text"), n).alias("s"))
         sets = tables.put(found.where("id = s.content").groupBy("id").agg(F.first("s.parts").alias("parts")))
         met = pairs.join(sets.select(F.col("id").alias("u"), F.col("parts").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("parts").alias("b")), "v")
         both = F.size(F.array_intersect("a", "b"))
@@ -344,7 +347,7 @@ def drop_near_duplicates(docs: DataFrame, n: int = 5, tau: int = 8, similarity:
     grouped_rows = tables.put(told.join(found, F.col("content") == F.col("node"), "left").select("doc_id", group.alias("group")))
     kept = grouped_rows.groupBy("group").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     dropped = tables.put(grouped_rows.select("doc_id").distinct().join(kept, "doc_id", "left_anti"))
-    return docs.join(_small(dropped), "doc_id", "left_anti")
+    return docs.join(small(dropped), "doc_id", "left_anti")
 
 
 def op1_simhash_components(spark, sf_dir: str) -> DataFrame:

@@ -171,7 +171,7 @@ def test_cascade_is_exact_on_its_universe(spark):
 
 def test_mixing(spark, make, sf):
     rng = random.Random(15)
-    rows = [(i, prose(rng.randrange(1, 60), rng), rng.choice(["a", "a", "a", "b", "é", "z", None])) for i in range(400)] + [(900, None, "a"), (901, "", None), (None, "x y", "b"), (5, "again", "a"), (5, "again", "a")]
+    rows = [(i, prose(rng.randrange(1, 60), rng), rng.choice(["a", "a", "a", "b", "é", "z", None])) for i in range(400)] + [(900, None, "a"), (901, "", None), (None, "x y", "b"), (905, "again", "a"), (905, "again", "a")]
     got = mixing.op5_mix_sources(spark, sf(documents=make(rows))).collect()
     assert len(got) == len(rows)
     sizes, src, taken, target = defaultdict(int), {}, defaultdict(int), {}

@@ -32,7 +32,7 @@ SENSITIVE = {
 #: Words of a name that say it holds something about a secret and not the secret.
 HARMLESS = {"public": -3, "name": -2, "id": -2, "length": -3, "len": -3, "count": -3, "max": -2, "min": -2, "type": -2, "path": -2, "file": -2, "url": -2, "field": -2, "header": -2, "expires": -3, "ttl": -3}
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|-+|none|null|nil|true|false|todo|test|dummy|example|sample|placeholder|changeme|change_me|your.*|my[-_ ]?.*|<.*>|\$\{?.*|%.*%|\{\{.*)$")
-LEAST_SCORE, LEAST_LENGTH, MOST_TERMS, MOST_NAME, MOST_LITERAL = 5.0, 6, 64, 128, 4096
+LEAST_SCORE, LEAST_LENGTH, MOST_TERMS, MOST_NAME, MOST_LITERAL = 4.5, 6, 64, 128, 4096
 
 _operator = re.compile(r":=|=>|[=:]")
 _name_before = re.compile(r"""(?:["']\s{0,1})?([A-Za-z_$][A-Za-z0-9_$.\-]*)["']?[ \t]*$""")
@@ -69,7 +69,7 @@ def lexed(text: str) -> list[tuple[int, int]]:
         before = text[max(0, op.start() - MOST_NAME) : op.start()]
         if (m := _name_before.search(before)) is None:
             continue
-        name, at, quoted = m[1], op.end(), []
+        name, at, quoted, bare = m[1], op.end(), [], []
         for _ in range(MOST_TERMS):  # a longer concatenation is read as several
             term = _term.match(text, at)
             if term is None or term.end() - term.start() > MOST_LITERAL:
@@ -82,10 +82,11 @@ def lexed(text: str) -> list[tuple[int, int]]:
             elif term[3] is not None or term[4] is not None:
                 k = 3 if term[3] is not None else 4
                 if op[0] != ":" or text[op.end() : op.end() + 1] in (" ", "\t"):
-                    quoted.append((term.start(k), term.end(k), term[k]))
+                    bare.append((term.start(k), term.end(k), term[k]))
             if (more := _join.match(text, at)) is None:
                 break
             at = more.end()
+        quoted = quoted or bare[:1]  # beside literals, bare words are names that the text does not define
         if not quoted:
             continue
         done = max(done, min(at, quoted[0][1]) if quoted[0][0] >= op.end() else 0)

@@ -121,7 +121,7 @@ def build_cascade(universe: DataFrame, tables: Tables) -> Cascade:
         filled = np.zeros(-(-bits // BITMAP_BITS) * BITMAP_BITS // 8, dtype=np.uint8)
         for r in maps:
             filled[r["at"] * BITMAP_BITS // 8 : (r["at"] + 1) * BITMAP_BITS // 8] = np.frombuffer(r["map"], dtype=np.uint8)
-        cascade.levels.append((filled, bits, hashes))
+        cascade.levels.append((filled[: bits // 8], bits, hashes))
         one = spark.sparkContext.broadcast(cascade)
 
         errors = tables.put(outside.where(_passes_udf(one, level)("key_hash")))

@@ -3,12 +3,12 @@
 The tokens of a text are its five-word shingles. Under a hash function all passages whose smallest token hash is at place c form one compact
 window (l, c, r): they begin in [l, c] and end in [c, r]. The windows are the nodes of the Cartesian tree over the hashes; only those that
 hold a passage of the least length t are kept, about 2 n / t of n tokens, so a corpus of any size has few. Two windows of one hash function with
-the same least hash hold passages that share their signature. Texts that meet so are joined on their windows' intervals: where the windows of enough
-hash functions cover a common passage, the passages are compared token by token.
+the same least hash hold passages that share a signature. Within a text, windows of two functions are joined on their intervals: where both hold a
+common passage of length t, the pair of their signatures is a key that chance rarely repeats. Texts that share a key are compared about it token by token.
 
-Equal texts are one node. In each group of windows with one signature, members are compared with one leader, the shortest text; those that it refutes
-form the next round's group, with a leader of their own, until none is left: no pairs within a group, and a passage that a third of all texts shares
-costs one comparison for each of them.
+Equal texts are one node. In each group of texts with one key, members are compared with one leader, the shortest text; those that it refutes
+form the next round's group, with a leader of their own, until none is left; small leftovers are compared in pairs. A passage that a third of all texts
+shares so costs one comparison for each of them.
 """
 
 from __future__ import annotations
@@ -26,10 +26,10 @@ SHINGLE = 5
 #: Least words of a passage.
 MIN_WORDS = 50
 HASHES = 4
-#: Hash functions whose windows must cover a common passage.
-ENOUGH = 2
 SIMILARITY = 0.8
-MAX_ROUNDS = 40
+#: From this round on, groups of at most so many members are compared in pairs.
+PAIRS_FROM, PAIRS_UP_TO = 2, 32
+MAX_ROUNDS = 200
 
 _word = re.compile(WORD).findall
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -104,24 +104,16 @@ def windows(text: Column, t: int) -> Column:
 
 
 def compare(a: np.ndarray, b: np.ndarray, anchors, t: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Spans (first and last token) of the near-duplicate passages of two token arrays. anchors: (hash function, l, c, r, l2, c2, r2).
+    """Spans (first and last token) of the near-duplicate passages of two token arrays. anchors: (l, c, r, l2, c2, r2).
 
-    An anchor counts if the windows of ENOUGH hash functions hold a common passage of t tokens in the first text. About it, the passages
-    are aligned at c and c2: the longest stretch is taken in which the share of equal tokens means the similarity; if the alignment breaks, the sets of the
-    tokens of both windows decide.
+    About an anchor the passages are aligned at c and c2, and the longest stretch is taken in which the share of equal tokens means the similarity; if
+    the alignment breaks, the sets of the tokens of both windows decide.
     """
     need, mine, theirs = 2 * SIMILARITY / (1 + SIMILARITY), [], []
-    order = sorted(anchors, key=lambda w: w[2])
     done: set[tuple[int, int]] = set()
-    for s, l, c, r, l2, c2, r2 in order:
+    for l, c, r, l2, c2, r2 in sorted(set(anchors), key=lambda w: (w[1], w)):
         if any(x <= c <= y for x, y in mine if (c2 - c, x) in done):
             continue  # inside a passage found on this diagonal
-        funcs = {s}
-        for s1, l1, c1, r1, *_ in order:
-            if s1 not in funcs and min(r, r1) - max(l, l1) + 1 >= t and max(l, l1) <= min(c, c1) and min(r, r1) >= max(c, c1):
-                funcs.add(s1)
-        if len(funcs) < ENOUGH:
-            continue
         left, right = min(c, c2), min(len(a) - c, len(b) - c2)
         same = a[c - left : c + right] == b[c2 - left : c2 + right]
         gain = np.concatenate([[0.0], np.cumsum(same - need)])
@@ -145,6 +137,37 @@ def compare(a: np.ndarray, b: np.ndarray, anchors, t: int) -> tuple[list[tuple[i
     return mine, theirs
 
 
+def keyed(wins: list[tuple[int, int, int, int]], t: int) -> list[tuple[int, int, int, int]]:
+    """(key, l, c, r) for every two windows (sig, l, c, r) of different functions that hold a common passage of length t. The bounds are the first's."""
+    out = []
+    wins = sorted(wins, key=lambda w: w[2])
+    for k, (sig, l, c, r) in enumerate(wins):
+        for sig2, l2, c2, r2 in wins[k:]:
+            if c2 > r:
+                break
+            if (sig - sig2) % HASHES and l2 <= c and min(r, r2) - max(l, l2) + 1 >= t:
+                out.append((xxhash.xxh64_intdigest(sig.to_bytes(8, "little", signed=True) + sig2.to_bytes(8, "little", signed=True)) - (1 << 63), l, c, r))
+    return out
+
+
+def _keys(left: DataFrame, t: int) -> DataFrame:
+    """Rows (sig, node, n_words, l, c, r), sig now being the key of two windows, from windows; those of one text are one row of arrays."""
+    rows = left.groupBy("node", "n_words").agg(F.collect_list(F.struct("sig", "l", "c", "r")).alias("wins"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            out = []
+            for node, words, wins in zip(b.column("node").to_pylist(), b.column("n_words").to_pylist(), b.column("wins").to_pylist()):
+                out += [(sig, node, words, l, c, r) for sig, l, c, r in keyed([tuple(w.values()) for w in wins], t)]
+            if out:
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=["sig", "node", "n_words", "l", "c", "r"])
+
+    return rows.mapInArrow(run, "sig bigint, node bigint, n_words int, l int, c int, r int")
+
+
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(spans):
@@ -178,6 +201,11 @@ def _verify(pairs: DataFrame, t: int) -> DataFrame:
     return pairs.select("u", "v", "anchors", "a", "b").mapInArrow(run, f"u bigint, v bigint, mine {kind}, theirs {kind}")
 
 
+def _shared(wins: DataFrame, tables: Tables) -> DataFrame:
+    """Those whose signature occurs in more than one text."""
+    return wins.join(tables.put(wins.groupBy("sig").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("sig")), "sig")
+
+
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, label: str = "passages") -> DataFrame:
     """Rows (doc_id, component_id, n_links, n_repeated, spans) for the documents that share a passage of min_words or more with another document.
 
@@ -191,22 +219,28 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, label: str =
     nodes = tables.put(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.min("n_words").alias("n_words")))
     wins = told.where(F.size("wins") > 0).join(nodes.select("node", "least"), "node").where(F.col("doc_id").eqNullSafe(F.col("least")))
     wins = wins.select("node", "n_words", F.explode("wins").alias("w")).select("node", "n_words", "w.*")
-    shared = wins.groupBy("sig").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("sig")
-    left = tables.put(wins.join(shared, "sig"))
+    left = tables.put(_keys(_shared(tables.put(wins), tables), t).distinct())
+    left = tables.put(_shared(left, tables))
     texts = tables.put(docs.select("doc_id", "text").join(nodes.select(F.col("least").alias("doc_id"), "node"), "doc_id").select("node", "text").join(left.select("node").distinct(), "node", "left_semi"))
     found = None
-    for _ in range(MAX_ROUNDS):
-        leader = left.groupBy("sig").agg(F.min(F.struct("n_words", "node", "c", "l", "r")).alias("lead"), F.max(F.struct("n_words", "node")).alias("other"))
-        leader = tables.put(leader.where("lead.node <> other.node").select("sig", F.col("lead.node").alias("v"), *[F.col(f"lead.{x}").alias(f"{x}2") for x in "lcr"]))
+    for turn in range(MAX_ROUNDS):
+        leader = left.groupBy("sig").agg(F.min(F.struct("n_words", "node", "c", "l", "r")).alias("lead"), F.max(F.struct("n_words", "node")).alias("other"), F.count("*").alias("n"))
+        leader = tables.put(leader.where("lead.node <> other.node").select("sig", "n", F.col("lead.node").alias("v"), *[F.col(f"lead.{x}").alias(f"{x}2") for x in "lcr"]))
         if leader.isEmpty():
             break
-        met = tables.put(left.join(leader, "sig").where("node <> v"))
-        anchor = F.struct(F.pmod("sig", F.lit(HASHES)).cast("int").alias("s"), "l", "c", "r", "l2", "c2", "r2")
-        pairs = met.groupBy(F.col("node").alias("u"), "v").agg(F.collect_list(anchor).alias("anchors"))  # of one text's windows
+        few = F.col("n") <= (PAIRS_UP_TO if turn >= PAIRS_FROM else 0)
+        met = left.join(leader.where(~few).drop("n"), "sig").where("node <> v")
+        if turn >= PAIRS_FROM:
+            mine = left.join(leader.where(few).select("sig"), "sig")
+            theirs = mine.select("sig", F.col("node").alias("v"), *[F.col(x).alias(f"{x}2") for x in "lcr"])
+            met = met.union(mine.join(theirs, "sig").where("node > v").select(*met.columns))  # at most PAIRS_UP_TO members
+        met = tables.put(met)
+        anchor = F.struct("l", "c", "r", "l2", "c2", "r2")
+        pairs = met.groupBy(F.col("node").alias("u"), "v").agg(F.collect_set(anchor).alias("anchors"))  # of one text's windows
         one = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
         held = tables.put(_verify(one.join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v"), t))
         found = held if found is None else found.union(held)
-        refuted = met.join(held.select(F.col("u").alias("node"), "v"), ["node", "v"], "left_anti")
+        refuted = met.join(leader.where(~few).select("sig"), "sig", "left_semi").join(held.select(F.col("u").alias("node"), "v"), ["node", "v"], "left_anti")
         left = tables.put(refuted.select("sig", "node", "n_words", "l", "c", "r"))
     else:
         raise RuntimeError(f"leaders did not settle in {MAX_ROUNDS} rounds")

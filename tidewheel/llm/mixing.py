@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import Tables, named
+from tidewheel.llm.common import Tables, named, small
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -70,11 +70,11 @@ def mix(sized: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: s
         .groupBy(F.col("r.source").alias("source"))
         .agg(F.max(F.struct("r.__bucket", "r.before")).alias("last"))
     )
-    plan = (
+    plan = Tables(sized.sparkSession, "mix-plan").put(
         g.join(cut.alias("c"), F.expr("g.source <=> c.source"), "left")
         .select("g.source", "g.source_size", "g.target", "g.whole", "g.rest", F.col("c.last.__bucket").alias("cut_at"), F.col("c.last.before").alias("cut_before"))
-        .alias("p")
     )
+    plan = small(plan).alias("p")  # one row a source
     met = rows.alias("__rows").join(plan, F.expr("__rows.source <=> p.source")).select("__rows.*", "p.source_size", "p.target", "p.whole", "p.rest", "p.cut_at", "p.cut_before")
     outside = met.where("__bucket <> cut_at").withColumn("copies", F.col("whole") + (F.col("__bucket") < F.col("cut_at")).cast("long"))
     inside = Window.partitionBy("source").orderBy("__mark", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -7,10 +7,10 @@ partition and threshold, and dynamic programming picks the thresholds, and m, of
 (partition, value): t = 0 in their own, t = 1 where one of them reaches the other's value by one flip, t = 2 halfway, each by one flip.
 Those that meet are verified.
 
-Buckets of many fingerprints are not paired. For tau of 2 or less, two fingerprints within tau share a point
-within one bit of both; so the members of such buckets meet at their 65 points, where at most 65 fingerprints can
-be, and are linked in a star there: exact, and linear in the members. For greater tau the members are compared in blocks, of which
-few pairs of the still unconnected leave the task at a time (see ``links``).
+Fingerprints that share their value in a partition with many others are a crowd, whose members are not paired with each other in buckets. For tau of 2
+or less, two fingerprints within tau share a point within one bit of both; so the crowd meets at its 65 points, where at most 65 fingerprints
+can be, and is linked in a star there: exact, and linear in the members. For greater tau the crowd is compared in blocks within the values of tau + 1
+partitions, of which few pairs of the still unconnected leave the task at a time (see ``links``).
 """
 
 from __future__ import annotations
@@ -28,11 +28,11 @@ from tidewheel.llm.common import WORD, Tables, components, lower, named, per_tex
 
 BITS = 64
 SEED = 42
-#: Members from which on a bucket counts as hot.
-HOT = 64
-#: Members of a hot bucket that one task compares with as many others.
+#: More fingerprints than this that share their value in a partition are a crowd.
+HOT = 8
+#: Members of a crowd that one task compares with as many others.
 BLOCK = 1024
-#: Pairs that a round proposes for a node of a hot bucket at most; the next round goes on.
+#: Pairs that a round proposes for a node of a crowd's bucket at most; the next round goes on.
 PER_NODE = 64
 
 _word = re.compile(WORD).findall
@@ -168,7 +168,7 @@ def _bucket(part: int, base: Column, t: int):
 
 
 def _buckets(nodes: DataFrame, how: Plan) -> DataFrame:
-    """Rows (part, key, own, id, fp): every bucket of a node; own is false where only a probe reaches it."""
+    """Rows (part, key, own) with the columns of ``nodes``: every bucket of a node; own is false where only a probe reaches it."""
     rows = []
     for i, (mask, t) in enumerate(zip(how.masks, how.thresholds)):
         if t < 0:
@@ -176,7 +176,7 @@ def _buckets(nodes: DataFrame, how: Plan) -> DataFrame:
         base, flips = F.col("fp").bitwiseAND(_signed(mask)), [_signed(1 << b) for b in range(BITS) if mask >> b & 1]
         flips = F.array(*[F.lit(f).cast("bigint") for f in ([0] if t == 0 else [0, *flips])])
         rows.append(F.transform(flips, _bucket(i, base, t)))
-    return nodes.select("id", "fp", F.explode(F.concat(*rows)).alias("b")).select("b.*", "id", "fp")
+    return nodes.select("*", F.explode(F.concat(*rows)).alias("b")).select("b.*", *nodes.columns)
 
 
 def _points(hot: DataFrame) -> DataFrame:
@@ -188,9 +188,9 @@ def _points(hot: DataFrame) -> DataFrame:
 
 
 def _proposed(members: DataFrame, tau: int, how: Plan, forest_only: bool) -> DataFrame:
-    """Pairs (u, v) to verify: nodes of one hot bucket within tau bits, in different components, and not refuted before. With forest_only those of a
+    """Pairs (u, v) to verify: nodes of one bucket within tau bits, in different components, and not refuted before. With forest_only those of a
     spanning forest, nearest first; else up to PER_NODE of each node, nearest first. ``members``: part, key, blocks, block, id, fp, comp, refuted
-    (ids). Each block meets each other one once; a pair that meets in several buckets of a partition counts in one of them."""
+    (ids). Each block meets each other one once."""
     pairs = members.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     pairs = pairs.select("part", "key", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "id", "fp", "comp", "refuted")
 
@@ -198,18 +198,15 @@ def _proposed(members: DataFrame, tau: int, how: Plan, forest_only: bool) -> Dat
         pdf = pdf.sort_values("id", ignore_index=True)
         fp, ids, comp = pdf["fp"].to_numpy().view(np.uint64), pdf["id"].to_numpy(), pdf["comp"].to_numpy()
         block, (a, b) = pdf["block"].to_numpy(), (pdf["a"].iloc[0], pdf["b"].iloc[0])
-        part, key = int(pdf["part"].iloc[0]), np.uint64(int(pdf["key"].iloc[0]) & (1 << 64) - 1)
-        mask, single = np.uint64(how.masks[part]), how.thresholds[part] == 1
+        earlier = [np.uint64(m) for m in how.masks[: int(pdf["part"].iloc[0])]]
         bad = {(i, j) for i, js in zip(ids.tolist(), pdf["refuted"]) if js is not None for j in js}
-        reach = key ^ (fp & mask)
         found: list[tuple[int, int, int]] = []
         for i in np.flatnonzero(block == a):
             apart = fp ^ fp[i]
-            far, inside = np.bitwise_count(apart), apart & mask
-            near = np.bitwise_count(inside)
-            first = np.where(ids > ids[i], reach[i], reach)
-            once = np.where(near <= 1, first == 0, reach[i] < (inside ^ reach[i]))
-            ok = (far <= tau) & (comp != comp[i]) & (block == b) & (once | single)
+            far = np.bitwise_count(apart)
+            ok = (far <= tau) & (comp != comp[i]) & (block == b)
+            for mask in earlier:  # a pair counts in the first partition where it agrees
+                ok &= (apart & mask) != 0
             if a == b:
                 ok[: i + 1] = False
             js = [j for j in np.flatnonzero(ok).tolist() if (int(ids[i]), int(ids[j])) not in bad and (int(ids[j]), int(ids[i])) not in bad]
@@ -242,20 +239,20 @@ def links(nodes: DataFrame, tau: int, tables: Tables, verify=None, max_rounds: i
     """Links (u, v) between ``nodes`` (id, fp: long, ids distinct) whose components are those of all links: pairs within tau bits
     that ``verify`` (pairs (u, v) to those that hold) accepts.
 
-    Pairs of ordinary buckets are all verified. In hot buckets with tau over 2 the first round proposes a spanning forest of what is not yet
-    connected, and later ones up to PER_NODE more pairs of each node that is still apart from another. Verified links join components,
-    refuted pairs are left out from then on, and rounds end when nothing is left to propose: no two components then have an untried
-    pair. Whatever a bucket's size, rows stay within PER_NODE times its members.
+    Pairs outside crowds, or of a member with another node, are all verified: a bucket has few such. Within crowds with tau over 2 the first
+    round proposes a spanning forest of what is not yet connected, and later ones up to PER_NODE more pairs of each node that is still apart from another.
+    Verified links join components, refuted pairs are left out from then on, and rounds end when nothing is left to propose: no two
+    components then have an untried pair. Whatever a crowd's size, rows stay within PER_NODE times its members.
     """
     n, both = bit_counts(nodes)
     if n < 2:
         return tables.put(nodes.select(F.col("id").alias("u"), F.col("id").alias("v")).limit(0))
     how = plan(n, both, tau)
-    rows = _buckets(nodes, how)
-    hot = tables.put(rows.groupBy("part", "key").count().where(F.col("count") > HOT))
-    n_hot = hot.count()
-    cool = rows.join(hot, ["part", "key"], "left_anti") if n_hot else rows
-    x, y = cool.alias("x"), cool.alias("y")
+    own = _buckets(nodes, Plan(how.masks, [min(t, 0) for t in how.thresholds], 0)).select("part", "key", "id", "fp")
+    hot = tables.put(own.groupBy("part", "key").count().where(F.col("count") > HOT).select("part", "key"))
+    crowd = tables.put(own.join(hot, ["part", "key"], "left_semi").select("id", "fp").distinct())
+    nodes = tables.put(nodes.select("id", "fp").join(crowd.select("id", F.lit(True).alias("crowd")), "id", "left").withColumn("crowd", F.coalesce("crowd", F.lit(False))))
+    x, y = _buckets(nodes.where("not crowd"), how).alias("x"), _buckets(nodes, how).alias("y")
     masks = F.element_at(F.array(*[F.lit(_signed(m)) for m in how.masks]), F.col("x.part") + 1)
     apart = F.col("x.fp").bitwiseXOR(F.col("y.fp"))
     inside, reach = apart.bitwiseAND(masks), F.col("x.key").bitwiseXOR(F.col("x.fp").bitwiseAND(masks))
@@ -263,17 +260,20 @@ def links(nodes: DataFrame, tau: int, tables: Tables, verify=None, max_rounds: i
     # Pairs that meet in several buckets of a partition count in one of them.
     once = F.when(d <= 1, F.when(d == 0, reach == 0).otherwise(F.col("x.own") & F.col("y.own") & (reach == 0) | ~(F.col("x.own") & F.col("y.own"))))
     once = once.otherwise(reach < inside.bitwiseXOR(reach))
-    pair = x.join(y, (F.col("x.part") == F.col("y.part")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")))
-    pair = pair.where((F.bit_count(apart) <= tau) & (F.col("x.own") | F.col("y.own")) & once).select(F.col("x.id").alias("u"), F.col("y.id").alias("v")).distinct()
+    pair = x.join(y, (F.col("x.part") == F.col("y.part")) & (F.col("x.key") == F.col("y.key")) & ((F.col("x.id") < F.col("y.id")) | F.col("y.crowd")))
+    pair = pair.where((F.bit_count(apart) <= tau) & (F.col("x.own") | F.col("y.own")) & once)
+    pair = pair.select(F.least("x.id", "y.id").alias("u"), F.greatest("x.id", "y.id").alias("v")).distinct()
     good = tables.put(verify(pair) if verify else pair)
-    if not n_hot:
+    if crowd.isEmpty():
         return good
-    crowd = rows.join(hot, ["part", "key"], "left_semi")
     if tau <= 2:
-        more = _points(crowd.select("id", "fp").distinct())
+        more = _points(crowd)
         return tables.put(good.union(verify(more) if verify else more))
+    how = Plan([sum(1 << b for b in g) for g in grouped(both / n, tau + 1)], [0] * (tau + 1), 0)
+    cells = _buckets(crowd, how).drop("own")
+    sizes = tables.put(cells.groupBy("part", "key").count().where("count > 1"))
     blocks = F.ceil(F.col("count") / BLOCK).cast("int")
-    crowd = tables.put(rows.join(hot, ["part", "key"]).select("part", "key", "id", "fp", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block")))
+    crowd = tables.put(tables.put(cells).join(sizes, ["part", "key"]).select("part", "key", "id", "fp", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block")))
     refuted = None
     for turn in range(max_rounds):
         comp = components(good, tables)

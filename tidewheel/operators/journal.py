@@ -11,6 +11,11 @@ from tidewheel.model import Capabilities
 WARN_AT = 10_000
 
 
+def _raw(payload, path: str) -> Column:
+    """The JSON text at a path, with the quotes of a string; null if there is none."""
+    return F.to_json(F.try_variant_get(F.try_parse_json(payload), path, "variant"))
+
+
 def commands(journal: DataFrame) -> DataFrame:
     return journal.where(is_command(F.col("type")))
 
@@ -86,7 +91,7 @@ def update_status(journal: DataFrame) -> DataFrame:
     at = lambda k, c: F.min_by(c, F.when(kind == k, F.col("seq")))
     u = j.groupBy("instance_id", "update_id").agg(
         F.bool_or(kind == "update_completed").alias("done"), F.bool_or(kind == "update_accepted").alias("taken"), F.min("seq").alias("first"), F.min_by("name", "seq").alias("name"),
-        at("update_completed", F.get_json_object("payload", "$.result")).alias("result"), at("update_completed", F.get_json_object("payload", "$.error")).alias("error"),
+        at("update_completed", _raw(F.col("payload"), "$.result")).alias("result"), at("update_completed", F.get_json_object("payload", "$.error")).alias("error"),
     )
     state = F.when(F.col("done"), "completed").when(F.col("taken"), "accepted").otherwise("requested")
     turn = F.row_number().over(Window.partitionBy("instance_id", F.col("done")).orderBy(F.col("taken").desc(), "first"))
@@ -115,13 +120,13 @@ def effects(turn_commands: DataFrame, queue: Column) -> dict[str, DataFrame]:
     sched = F.from_json("payload", "input string, retry struct<initial_interval_ms:bigint,backoff_coefficient:double,max_interval_ms:bigint,max_attempts:int>, start_to_close_timeout_ms bigint")
     acts = c.where("type = 'activity_scheduled'").withColumn("s", sched)
     acts = acts.select(
-        "instance_id", F.lit("activity").alias("kind"), queue.alias("queue"), "name", F.col("seq").alias("ref_seq"), F.coalesce(F.get_json_object("payload", "$.input"), "payload").alias("input"),
+        "instance_id", F.lit("activity").alias("kind"), queue.alias("queue"), "name", F.col("seq").alias("ref_seq"), F.coalesce(_raw(F.col("payload"), "$.input"), "payload").alias("input"),
         F.coalesce("s.retry.max_attempts", F.lit(0)).alias("max_attempts"), F.struct(F.col("s.retry.initial_interval_ms").alias("initial_ms"), F.col("s.retry.backoff_coefficient").alias("coef"), F.col("s.retry.max_interval_ms").alias("max_ms"), F.col("s.retry.max_attempts").alias("max_attempts")).alias("retry"),
         F.greatest(F.coalesce("s.start_to_close_timeout_ms", F.lit(0)), F.lit(0)).alias("start_to_close_ms"),
     )
     timers = c.where("type = 'timer_created'").select("instance_id", "seq", F.get_json_object("payload", "$.fire_at").cast("timestamp").alias("fire_at"))
     kids = c.where("type = 'child_scheduled'").select(
-        F.get_json_object("payload", "$.child_id").alias("id"), F.get_json_object("payload", "$.name").alias("name"), queue.alias("queue"), F.get_json_object("payload", "$.input").alias("input"),
+        F.get_json_object("payload", "$.child_id").alias("id"), F.get_json_object("payload", "$.name").alias("name"), queue.alias("queue"), _raw(F.col("payload"), "$.input").alias("input"),
         F.col("instance_id").alias("parent_id"), F.col("seq").alias("parent_seq"),
     )
     return {"tasks": acts, "timers": timers, "children": kids}

@@ -354,8 +354,9 @@ def advance(flow, instance_id: str, log: list[Event], drained: list[Event], now:
     return turn.status, new
 
 
-def fold_turns(journal: DataFrame, inbox: DataFrame, flow, now: datetime) -> DataFrame:
-    """One turn of every instance that has undrained events: rows of TURN_DDL. One instance's journal is one group, as replay needs all of it; a long
+def fold_turns(journal: DataFrame, inbox: DataFrame, flow, now: datetime, idle_too: bool = False) -> DataFrame:
+    """One turn of every instance that has undrained events, or with idle_too of every one in ``journal``: rows of TURN_DDL. ``flow`` is a workflow, or
+    workflows by name; an instance of a name that is not there is left alone. A turn without new events is one row with a null seq. One instance's journal is one group, as replay needs all of it; a long
     journal should be continued as new."""
 
     def events(pdf: pd.DataFrame, order: list[str]) -> list[Event]:
@@ -363,11 +364,16 @@ def fold_turns(journal: DataFrame, inbox: DataFrame, flow, now: datetime) -> Dat
         return [Event(int(r.seq), r.type, r.name or "", int(r.ref_seq or 0), r.payload) for r in rows]
 
     def one(key, log: pd.DataFrame, box: pd.DataFrame) -> pd.DataFrame:
-        if box.empty or log.empty:
-            return pd.DataFrame(columns=["instance_id", "status", "seq", "type", "name", "ref_seq", "payload"])
+        columns = ["instance_id", "status", "seq", "type", "name", "ref_seq", "payload"]
+        if log.empty or box.empty and not idle_too:
+            return pd.DataFrame(columns=columns)
         old = events(log, ["seq"])
-        status, new = advance(flow, key[0], old, events(box, ["seq", "id"]), now, _loads(old[0].payload))
-        return pd.DataFrame([(key[0], status, e.seq, e.type, e.name, e.ref_seq, e.payload) for e in new], columns=["instance_id", "status", "seq", "type", "name", "ref_seq", "payload"])
+        code = flow.get(old[0].name) if isinstance(flow, dict) else flow
+        if code is None:
+            return pd.DataFrame(columns=columns)
+        status, new = advance(code, key[0], old, events(box, ["seq", "id"]), now, _loads(old[0].payload))
+        rows = [(key[0], status, e.seq, e.type, e.name, e.ref_seq, e.payload) for e in new]
+        return pd.DataFrame(rows or [(key[0], status, None, None, None, None, None)], columns=columns).astype({"seq": "Int64", "ref_seq": "Int64"})
 
     j = journal.select("instance_id", "seq", "type", "name", F.coalesce("ref_seq", F.lit(0)).alias("ref_seq"), "payload")
     b = inbox.select("instance_id", "id", "seq", "type", "name", F.coalesce("ref_seq", F.lit(0)).alias("ref_seq"), "payload")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,3 +105,15 @@ class Store:
     def append(self, name: str, rows: DataFrame) -> None:
         v = self.version(name)
         rows.select(*[F.col(f.name).cast(f.dataType) for f in schema(name)]).write.mode("append").parquet(f"{self.path}/{name}/v{v}")
+
+    def hold(self, rows: DataFrame) -> DataFrame:
+        """A written copy of rows that depend on tables about to change: a cache would be dropped with them."""
+        path = f"{self.path}/_held/{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        held = self.spark.read.schema(rows.schema).parquet(path)
+        held._held_path = path
+        return held
+
+    def release(self, *held: DataFrame) -> None:
+        for df in held:
+            self._fs.delete(self._path(df._held_path), True)

@@ -20,12 +20,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import WORD, Tables, components, lower, named, per_text
+from tidewheel.llm.common import WORD, Tables, arrow_udf, components, lower, named
 
 SHINGLE = 5
 #: Least words of a passage.
 MIN_WORDS = 50
-HASHES = 4
+HASHES = 3
 SIMILARITY = 0.8
 #: From this round on, groups of at most so many members are compared in pairs.
 PAIRS_FROM, PAIRS_UP_TO = 2, 32
@@ -86,21 +86,27 @@ def compact_windows(h: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.n
 def windows(text: Column, t: int) -> Column:
     """A struct: content hash of the words, number of words, and the windows under all hash functions as arrays of signatures and bounds."""
 
-    def rows(texts):
-        for text in texts:
+    def run(texts):
+        import pyarrow as pa
+
+        node, n_words, n, parts = [], [], [0], []
+        for text in texts.to_pylist():
             words, tok = tokens(text)
-            found = [(mixed(tok, s), s) for s in range(HASHES)] if len(tok) >= t else []
-            sig, left, mid, right = [], [], [], []
-            for h, s in found:
+            node.append(xxhash.xxh64_intdigest(" ".join(words)) - (1 << 63))
+            n_words.append(len(words))
+            found = 0
+            for s in range(HASHES if len(tok) >= t else 0):
+                h = mixed(tok, s)
                 l, c, r = compact_windows(h, t)
-                sig += (h[c] * np.uint64(HASHES) + np.uint64(s)).astype(np.int64).tolist()
-                left += l.tolist()
-                mid += c.tolist()
-                right += r.tolist()
-            wins = [{"sig": a, "l": b, "c": c, "r": d} for a, b, c, d in zip(sig, left, mid, right)]
-            yield xxhash.xxh64_intdigest(" ".join(words)) - (1 << 63), len(words), wins
+                parts.append(((h[c] * np.uint64(4) + np.uint64(s)).view(np.int64), l, c, r))
+                found += len(c)
+            n.append(n[-1] + found)
+        sig, l, c, r = (np.concatenate(x) if parts else np.zeros(0, dtype=np.int64) for x in (zip(*parts) if parts else [()] * 4))
+        wins = pa.StructArray.from_arrays([pa.array(sig), *(pa.array(x.astype(np.int32)) for x in (l, c, r))], names=["sig", "l", "c", "r"])
+        lists = pa.ListArray.from_arrays(pa.array(n, pa.int32()), wins)
+        return pa.StructArray.from_arrays([pa.array(node, pa.int64()), pa.array(n_words, pa.int32()), lists], names=["node", "n_words", "wins"])
 
-    return per_text(rows, "node bigint, n_words int, wins array<struct<sig:bigint,l:int,c:int,r:int>>")(text)
+    return arrow_udf(run, "struct<node:bigint,n_words:int,wins:array<struct<sig:bigint,l:int,c:int,r:int>>>").asNondeterministic()(text)
 
 
 def compare(a: np.ndarray, b: np.ndarray, anchors, t: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
@@ -137,33 +143,46 @@ def compare(a: np.ndarray, b: np.ndarray, anchors, t: int) -> tuple[list[tuple[i
     return mine, theirs
 
 
-def keyed(wins: list[tuple[int, int, int, int]], t: int) -> list[tuple[int, int, int, int]]:
-    """(key, l, c, r) for every two windows (sig, l, c, r) of different functions that hold a common passage of length t. The bounds are the first's."""
-    out = []
-    wins = sorted(wins, key=lambda w: w[2])
-    for k, (sig, l, c, r) in enumerate(wins):
-        for sig2, l2, c2, r2 in wins[k:]:
-            if c2 > r:
-                break
-            if (sig - sig2) % HASHES and l2 <= c and min(r, r2) - max(l, l2) + 1 >= t:
-                out.append((xxhash.xxh64_intdigest(sig.to_bytes(8, "little", signed=True) + sig2.to_bytes(8, "little", signed=True)) - (1 << 63), l, c, r))
-    return out
+def keyed(sig: np.ndarray, l: np.ndarray, c: np.ndarray, r: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, index) for every two windows of different functions that hold a common passage of length t: a hash of the two signatures in the order of
+    their places, and the first window. An interval join by blocks of rows: memory stays small for any text."""
+    order = np.argsort(c, kind="stable")
+    sig, l, c, r = sig.view(np.uint64)[order], l[order], c[order], r[order]
+    kind = sig & np.uint64(3)
+    keys, at = [], []
+    for begin in range(0, len(c), 256):
+        i = slice(begin, begin + 256)
+        far = int(np.searchsorted(c, r[i].max(), "right"))  # those that begin after all of these end can't meet them
+        j = slice(begin, far)
+        ok = (c[j] >= c[i, None]) & (c[j] <= r[i, None]) & (l[j] <= c[i, None]) & (kind[j] != kind[i, None])
+        ok &= np.minimum(r[j], r[i, None]) - np.maximum(l[j], l[i, None]) + 1 >= t
+        x, y = np.nonzero(ok)
+        keys.append(mixed(mixed(sig[i][x], 7) + sig[j][y], 8).view(np.int64))
+        at.append(order[begin + x])
+    return (np.concatenate(keys), np.concatenate(at)) if keys else (np.zeros(0, dtype=np.int64),) * 2
 
 
 def _keys(left: DataFrame, t: int) -> DataFrame:
     """Rows (sig, node, n_words, l, c, r), sig now being the key of two windows, from windows; those of one text are one row of arrays."""
-    rows = left.groupBy("node", "n_words").agg(F.collect_list(F.struct("sig", "l", "c", "r")).alias("wins"))
+    names = ("sig", "l", "c", "r")
+    rows = left.groupBy("node", "n_words").agg(F.collect_list(F.struct(*names)).alias("w")).select("node", "n_words", *[F.col(f"w.{x}").alias(x) for x in names])
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            out = []
-            for node, words, wins in zip(b.column("node").to_pylist(), b.column("n_words").to_pylist(), b.column("wins").to_pylist()):
-                out += [(sig, node, words, l, c, r) for sig, l, c, r in keyed([tuple(w.values()) for w in wins], t)]
-            if out:
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), kinds)], names=["sig", "node", "n_words", "l", "c", "r"])
+            flat = [b.column(x).flatten().to_numpy(zero_copy_only=False) for x in names]
+            ends = np.cumsum([0, *b.column("sig").value_lengths().to_numpy(zero_copy_only=False)])
+            key, at, of = [], [], []
+            for k in range(b.num_rows):
+                x, y = keyed(*(f[ends[k] : ends[k + 1]] for f in flat), t)
+                key.append(x)
+                at.append(ends[k] + y)
+                of.append(np.full(len(x), k))
+            if key:
+                at, of = np.concatenate(at), np.concatenate(of)
+                node, words = (b.column(x).to_numpy(zero_copy_only=False)[of] for x in ("node", "n_words"))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key)), pa.array(node), pa.array(words), *(pa.array(f[at]) for f in flat[1:])], names=["sig", "node", "n_words", "l", "c", "r"])
 
     return rows.mapInArrow(run, "sig bigint, node bigint, n_words int, l int, c int, r int")
 
@@ -184,14 +203,18 @@ def _verify(pairs: DataFrame, t: int) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        last, b = None, None
         for batch in batches:
             u, v, mine, theirs = [], [], [], []
             for i in range(batch.num_rows):
-                (_, a), (_, b) = tokens(batch.column("a")[i].as_py()), tokens(batch.column("b")[i].as_py())
+                lead = batch.column("v")[i].as_py()
+                if lead != last:  # rows arrive by leader
+                    last, (_, b) = lead, tokens(batch.column("b")[i].as_py())
+                _, a = tokens(batch.column("a")[i].as_py())
                 found = compare(a, b, [tuple(w.values()) for w in batch.column("anchors")[i].as_py()], t)
                 if found[0]:
                     u.append(batch.column("u")[i].as_py())
-                    v.append(batch.column("v")[i].as_py())
+                    v.append(lead)
                     for side, spans in zip((mine, theirs), found):
                         side.append([{"first": x, "last": y + SHINGLE - 1} for x, y in _merged(spans)])
             span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
@@ -219,7 +242,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, label: str =
     nodes = tables.put(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.min("n_words").alias("n_words")))
     wins = told.where(F.size("wins") > 0).join(nodes.select("node", "least"), "node").where(F.col("doc_id").eqNullSafe(F.col("least")))
     wins = wins.select("node", "n_words", F.explode("wins").alias("w")).select("node", "n_words", "w.*")
-    left = tables.put(_keys(_shared(tables.put(wins), tables), t).distinct())
+    left = tables.put(_keys(_shared(wins, tables), t))
     left = tables.put(_shared(left, tables))
     texts = tables.put(docs.select("doc_id", "text").join(nodes.select(F.col("least").alias("doc_id"), "node"), "doc_id").select("node", "text").join(left.select("node").distinct(), "node", "left_semi"))
     found = None

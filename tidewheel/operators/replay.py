@@ -375,6 +375,8 @@ def fold_turns(journal: DataFrame, inbox: DataFrame, flow, now: datetime, idle_t
         rows = [(key[0], status, e.seq, e.type, e.name, e.ref_seq, e.payload) for e in new]
         return pd.DataFrame(rows or [(key[0], status, None, None, None, None, None)], columns=columns).astype({"seq": "Int64", "ref_seq": "Int64"})
 
-    j = journal.select("instance_id", "seq", "type", "name", F.coalesce("ref_seq", F.lit(0)).alias("ref_seq"), "payload")
-    b = inbox.select("instance_id", "id", "seq", "type", "name", F.coalesce("ref_seq", F.lit(0)).alias("ref_seq"), "payload")
+    # New names for all columns: the two sides may come from one table.
+    columns = {c: F.col(c) for c in ("instance_id", "seq", "type", "name", "payload")} | {"ref_seq": F.coalesce("ref_seq", F.lit(0))}
+    j = journal.select(*[v.alias(k) for k, v in columns.items()])
+    b = inbox.select(*[v.alias(k) for k, v in (columns | {"id": F.col("id")}).items()])
     return j.groupBy("instance_id").cogroup(b.groupBy("instance_id")).applyInPandas(one, TURN_DDL)

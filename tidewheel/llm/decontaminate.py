@@ -96,15 +96,15 @@ class Windows:
                 for d, p in zip(of.tolist(), at.tolist()):
                     for item, offset in self.places[k]:
                         found.setdefault(d, set()).add(item)
-                        lines.setdefault((d, item, p - offset), []).append(p)
+                        if n == w:
+                            lines.setdefault((d, item, p - offset), []).append(p)
                     if n < w and n > longest.get(d, (0,))[0]:
                         longest[d] = (n, p - int(starts[d]), self.places[k][0][0])
             for (d, item, _), at in lines.items():
                 at = np.sort(np.array(at))
                 for run in np.split(at, np.flatnonzero(np.diff(at) != 1) + 1):
-                    n = len(run) + (w if runs[run[0]] >= w else 1) - 1
-                    new = (n, int(run[0] - starts[d]), item)
-                    if (n, -new[1], item) > (longest[d][0], -longest[d][1], longest[d][2]) if d in longest else runs[run[0]] >= w:
+                    new = (len(run) + w - 1, int(run[0] - starts[d]), item)
+                    if d not in longest or (new[0], -new[1], item) > (longest[d][0], -longest[d][1], longest[d][2]):
                         longest[d] = new
         inside = np.cumsum(hit[:-1]) > 0
         for d, n in enumerate(counts.tolist()):
@@ -133,4 +133,24 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDO
 def op7_decontaminate(spark, sf_dir: str) -> DataFrame:
     docs = named(spark.read.parquet(f"{sf_dir}/documents.parquet"), doc_id="doc_id", text="text")
     found = matches(F.col("text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return docs.select("doc_id", found.alias("m")).select("doc_id", "m.*").drop("items")
+    return docs.select("doc_id", found.alias("m")).select("doc_id", "m.*").drop("items", "longest_start", "longest_item")
+
+
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+OP7_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+b AS (SELECT coalesce(item_id::VARCHAR, 'null') AS item, least(len(ws), 10) AS n, unnest(generate_series(1, greatest(1, len(ws) - 9))) AS pos, ws
+      FROM (SELECT item_id, {_WORDS} AS ws FROM benchmark) WHERE len(ws) > 0),
+bw AS (SELECT DISTINCT item, n, pos, array_to_string(ws[pos:pos + n - 1], ' ') AS g FROM b),
+dw AS (SELECT doc_id, i, n, array_to_string(ws[i:i + n - 1], ' ') AS g
+       FROM (SELECT doc_id, ws, n, unnest(generate_series(1, len(ws) - n + 1)) AS i FROM d CROSS JOIN (SELECT DISTINCT n FROM bw) WHERE len(ws) >= n)),
+m AS (SELECT doc_id, i, n, item, pos FROM dw JOIN bw USING (n, g)),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM m)) GROUP BY 1),
+t AS (SELECT doc_id, count(DISTINCT item) AS n_items, array_to_string(list_sort(list(DISTINCT item)), ',') AS items FROM m GROUP BY 1),
+r AS (SELECT doc_id, n + count(*) - 1 AS size FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item, i - pos, n ORDER BY i) AS run FROM m WHERE n = 10) GROUP BY doc_id, item, i - pos, n, run
+      UNION ALL SELECT doc_id, n FROM m WHERE n < 10),
+l AS (SELECT doc_id, max(size) AS longest FROM r GROUP BY 1)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated, coalesce(longest, 0)::BIGINT AS longest_words
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id) LEFT JOIN l USING (doc_id)
+"""

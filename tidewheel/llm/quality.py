@@ -113,4 +113,37 @@ def keep_good(docs: DataFrame) -> DataFrame:
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
     docs = named(spark.read.parquet(f"{sf_dir}/documents.parquet"), doc_id="doc_id", text="text")
-    return docs.select("doc_id", quality(F.col("text")).alias("q")).select("doc_id", "q.*")
+    told = docs.select("doc_id", quality(F.col("text")).alias("q")).select("doc_id", "q.*")
+    return told.withColumn("dup_ngram_chars", F.array_join(F.col("dup_ngram_chars").cast("array<string>"), ","))
+
+
+def _covered_sql(n: int) -> str:
+    """Words and characters inside n-word windows that a text has more than once."""
+    grams = f"list(w) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING)"
+    return (
+        f"c{n} AS (SELECT doc_id, count(*) FILTER (inside) AS words, sum(length(w)) FILTER (inside) AS chars FROM ("
+        f"SELECT doc_id, w, max(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) AS inside FROM ("
+        f"SELECT doc_id, i, w, len(g) = {n} AND count(*) OVER (PARTITION BY doc_id, g) > 1 AS again FROM (SELECT doc_id, i, w, {grams} AS g FROM w))) GROUP BY 1)"
+    )
+
+
+_SIZES = (3, *MAX_COVERAGE)
+_WORDS_SQL = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
+OP6_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, unnest({_WORDS_SQL}) AS w, generate_subscripts({_WORDS_SQL}, 1) AS i FROM d),
+n AS (SELECT doc_id, count(*) AS n_words, sum(length(w)) AS word_chars FROM w GROUP BY 1),
+l AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line) > 1 AS dup FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+s AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dup) AS n_dup_lines, coalesce(sum(length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g'))) FILTER (dup), 0) AS dup_line_chars FROM l GROUP BY 1),
+{", ".join(_covered_sql(n) for n in _SIZES)},
+a AS (SELECT doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(word_chars, 0)::BIGINT AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+             coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(dup_line_chars, 0)::BIGINT AS dup_line_chars, coalesce(c3.words, 0)::BIGINT AS n_repeat_words,
+             {", ".join(f"coalesce(c{n}.chars, 0)::BIGINT AS x{n}" for n in MAX_COVERAGE)}
+      FROM d LEFT JOIN n USING (doc_id) LEFT JOIN s USING (doc_id) {" ".join(f"LEFT JOIN c{n} USING (doc_id)" for n in _SIZES)}),
+f AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed FROM a)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_lines, dup_line_chars,
+       concat_ws(',', {", ".join(f"x{n}" for n in MAX_COVERAGE)}) AS dup_ngram_chars,
+       NOT base_failed AND n_dup_lines <= {MAX_DUP_LINES}::DOUBLE * n_lines AND dup_line_chars <= {MAX_DUP_LINE_CHARS}::DOUBLE * word_chars
+       {" ".join(f"AND x{n} <= {most}::DOUBLE * word_chars" for n, most in MAX_COVERAGE.items())} AS kept
+FROM f
+"""

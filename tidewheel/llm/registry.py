@@ -19,4 +19,9 @@ def queries():
 
 
 def oracle_sql():
-    return {"op3_url_filter": urls.OP3_SQL, "op5_mix_sources": mixing.OP5_SQL}
+    return {
+        "op3_url_filter": urls.OP3_SQL,
+        "op5_mix_sources": mixing.OP5_SQL,
+        "op6_quality_rules": quality.OP6_SQL,
+        "op7_decontaminate": decontaminate.OP7_SQL,
+    }

@@ -33,7 +33,7 @@ HOT = 8
 #: Members of a crowd that one task compares with as many others.
 BLOCK = 1024
 #: Pairs that a round proposes for a node of a crowd's bucket at most; the next round goes on.
-PER_NODE = 64
+PER_NODE = 512
 
 _word = re.compile(WORD).findall
 

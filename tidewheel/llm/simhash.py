@@ -270,10 +270,10 @@ def links(nodes: DataFrame, tau: int, tables: Tables, verify=None, max_rounds: i
         more = _points(crowd)
         return tables.put(good.union(verify(more) if verify else more))
     how = Plan([sum(1 << b for b in g) for g in grouped(both / n, tau + 1)], [0] * (tau + 1), 0)
-    cells = _buckets(crowd, how).drop("own")
+    cells = tables.put(_buckets(crowd, how).drop("own"))
     sizes = tables.put(cells.groupBy("part", "key").count().where("count > 1"))
     blocks = F.ceil(F.col("count") / BLOCK).cast("int")
-    crowd = tables.put(tables.put(cells).join(sizes, ["part", "key"]).select("part", "key", "id", "fp", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block")))
+    crowd = tables.put(cells.join(sizes, ["part", "key"]).select("part", "key", "id", "fp", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block")))
     refuted = None
     for turn in range(max_rounds):
         comp = components(good, tables)

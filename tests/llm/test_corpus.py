@@ -115,6 +115,26 @@ def test_near_duplicates_keep_one(make):
     assert out.columns == make(rows).columns
 
 
+def test_near_duplicates_of_similarity_from_08(make):
+    """Recall against brute force in bands of similarity, also where many near copies share a band key."""
+    rng, rows, pairs = random.Random(17), [], defaultdict(list)
+    for i in range(160):
+        a = prose(rng.randrange(60, 300), rng)
+        b = edited(a, rng.randrange(1, 2 + len(a.split()) // 40), rng)
+        x, y = (set(simhash.shingles(t, 5)[1]) for t in (a, b))
+        s = len(x & y) / len(x | y)
+        if s >= 0.8:
+            pairs[min(int(s * 20), 19)].append(1000 + i)
+            rows += [(i, a), (1000 + i, b)]
+    crowd = prose(200, rng)
+    rows += [(5000 + i, edited(crowd, 1, rng)) for i in range(30)]
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(make(rows)).select("doc_id").collect()}
+    assert set(pairs) == {16, 17, 18, 19} and all(len(p) >= 10 for p in pairs.values())
+    for band, ids in pairs.items():
+        assert sum(i not in kept for i in ids) >= 0.97 * len(ids), band
+    assert {i for i in kept if i >= 5000} == {5000}
+
+
 def test_passages(make, spark, sf):
     rng = random.Random(14)
     p, q = prose(70, rng), prose(60, rng)

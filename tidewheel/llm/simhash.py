@@ -11,6 +11,8 @@ Fingerprints that share their value in a partition with many others are a crowd,
 or less, two fingerprints within tau share a point within one bit of both; so the crowd meets at its 65 points, where at most 65 fingerprints
 can be, and is linked in a star there: exact, and linear in the members. For greater tau the crowd is compared in blocks within the values of tau + 1
 partitions, of which few pairs of the still unconnected leave the task at a time (see ``links``).
+
+64 bits miss most pairs of similarity 0.8, so near-duplicates also take candidates from bands of min-hashes (see ``banded_links``).
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ HOT = 8
 BLOCK = 1024
 #: Pairs that a round proposes for a node of a crowd's bucket at most; the next round goes on.
 PER_NODE = 512
+#: Bands of min-hashes, and min-hashes a band: texts of similarity s share a band with chance 1 - (1 - s ** ROWS) ** BANDS, 0.998 at 0.8.
+BANDS, ROWS = 16, 5
 
 _word = re.compile(WORD).findall
 
@@ -67,6 +71,33 @@ def prints(text: Column, n: int) -> Column:
     return per_text(rows, "fp bigint, content bigint")(text)
 
 
+_rng = np.random.default_rng(SEED)
+_flip, _odd = (_rng.integers(0, 1 << 64, (BANDS * ROWS, 1), dtype=np.uint64) for _ in range(2))
+_odd = _odd | np.uint64(1)
+
+
+def band_keys(parts: list[str]) -> list[int]:
+    """A hash of the min-hashes of each band, as signed 64-bit numbers; no keys for no parts."""
+    if not parts:
+        return []
+    h = np.frombuffer(b"".join([xxhash.xxh64_digest(s, SEED) for s in parts]), dtype=np.uint64)
+    least = np.full(BANDS * ROWS, (1 << 64) - 1, dtype=np.uint64)
+    for begin in range(0, len(h), 4096):
+        least = np.minimum(least, ((h[None, begin : begin + 4096] ^ _flip) * _odd).min(axis=1))
+    return [xxhash.xxh64_intdigest(band.tobytes(), k) - (1 << 63) for k, band in enumerate(least.reshape(BANDS, ROWS))]
+
+
+def banded_prints(text: Column, n: int) -> Column:
+    """``prints`` with the text's band keys (bands)."""
+
+    def rows(texts):
+        for t in texts:
+            words, parts = shingles(t, n)
+            yield fingerprint(parts), xxhash.xxh64_intdigest(" ".join(words)) - (1 << 63), band_keys(parts)
+
+    return per_text(rows, "fp bigint, content bigint, bands array<bigint>")(text)
+
+
 # Planning: bit statistics, groups of bits, expected candidates, thresholds
 
 
@@ -271,7 +302,13 @@ def links(nodes: DataFrame, tau: int, tables: Tables, verify=None, max_rounds: i
         return tables.put(good.union(verify(more) if verify else more))
     how = Plan([sum(1 << b for b in g) for g in grouped(both / n, tau + 1)], [0] * (tau + 1), 0)
     cells = tables.put(_buckets(crowd, how).drop("own"))
-    sizes = tables.put(cells.groupBy("part", "key").count().where("count > 1"))
+    sizes = cells.groupBy("part", "key").count().where("count > 1")
+    return _settled(cells, sizes, good, tau, how, tables, verify, max_rounds)
+
+
+def _settled(cells: DataFrame, sizes: DataFrame, good: DataFrame, tau: int, how: Plan, tables: Tables, verify, max_rounds: int) -> DataFrame:
+    """``good`` and the links found in rounds among the members of the buckets ``sizes`` (part, key, count) of ``cells`` (part, key, id, fp)."""
+    sizes = tables.put(sizes.select("part", "key", "count"))
     blocks = F.ceil(F.col("count") / BLOCK).cast("int")
     crowd = tables.put(cells.join(sizes, ["part", "key"]).select("part", "key", "id", "fp", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block")))
     refuted = None
@@ -293,6 +330,23 @@ def links(nodes: DataFrame, tau: int, tables: Tables, verify=None, max_rounds: i
     raise RuntimeError(f"links did not settle in {max_rounds} rounds")
 
 
+def banded_links(nodes: DataFrame, good: DataFrame, tables: Tables, verify, max_rounds: int = 50) -> DataFrame:
+    """``good`` and verified links of ``nodes`` (id, fp, bands) that share a band key, until no two of one key are untried and apart.
+
+    In a key of up to HOT nodes all pairs that ``good`` leaves apart are verified; the members of greater ones meet in rounds like a crowd.
+    """
+    cells = tables.put(nodes.select("id", "fp", F.posexplode("bands").alias("part", "key")))
+    sizes = tables.put(cells.groupBy("part", "key").count().where("count > 1"))
+    comp = components(good, tables)
+    few = cells.join(sizes.where(F.col("count") <= HOT), ["part", "key"], "left_semi")
+    few = tables.put(few.join(comp, few["id"] == comp["node"], "left").select("part", "key", "id", F.coalesce("root", "id").alias("comp")))
+    x, y = few.alias("x"), few.alias("y")
+    pair = x.join(y, (F.col("x.part") == F.col("y.part")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")))
+    good = tables.put(good.union(verify(pair.select(F.col("x.id").alias("u"), F.col("y.id").alias("v")).distinct())))
+    hot = sizes.where(F.col("count") > HOT)
+    return good if hot.isEmpty() else _settled(cells, hot, good, BITS, Plan([], [], 0), tables, verify, max_rounds)
+
+
 def fingerprint_components(docs: DataFrame, n: int = 3, tau: int = 2, label: str = "simhash") -> DataFrame:
     """Rows (doc_id, fp, component_id) for ``docs`` (doc_id, text): components of fingerprints within tau bits, named by the smallest id.
 
@@ -324,13 +378,13 @@ def shingle_sets(text: Column, n: int) -> Column:
 def drop_near_duplicates(docs: DataFrame, n: int = 5, tau: int = 8, similarity: float = 0.8, label: str = "neardup") -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest id, with all its columns.
 
-    Two texts are linked if their words are the same (A-Z lower-cased), or if their SimHashes of n-word shingles are within tau bits and the
-    Jaccard similarity of the shingle sets is at least ``similarity``; groups are components of links. An id is one document: rows that
+    Two texts are linked if their words are the same (A-Z lower-cased), or if their SimHashes of n-word shingles are within tau bits or they share a
+    band of min-hashes, and the Jaccard similarity of the shingle sets is at least ``similarity``; groups are components of links. An id is one document: rows that
     share an id stay or go together. Rows with a null id stay. Texts without words are one group.
     """
     tables = Tables(docs.sparkSession, label)
-    told = tables.put(docs.select("doc_id", prints(F.col("text"), n).alias("p")).select("doc_id", "p.fp", "p.content"))
-    nodes = tables.put(told.groupBy(F.col("content").alias("id")).agg(F.min("fp").alias("fp"), F.min("doc_id").alias("least")))
+    told = tables.put(docs.select("doc_id", banded_prints(F.col("text"), n).alias("p")).select("doc_id", "p.*"))
+    nodes = tables.put(told.groupBy(F.col("content").alias("id")).agg(F.min("fp").alias("fp"), F.min("doc_id").alias("least"), F.min("bands").alias("bands")))
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = tables.put(pairs)
@@ -342,7 +396,8 @@ def drop_near_duplicates(docs: DataFrame, n: int = 5, tau: int = 8, similarity:
         both = F.size(F.array_intersect("a", "b"))
         return met.where(both >= similarity * (F.size("a") + F.size("b") - both)).select("u", "v")
 
-    found = components(links(nodes.select("id", "fp"), tau, tables, verify), tables)
+    near = links(nodes.select("id", "fp"), tau, tables, verify)
+    found = components(banded_links(nodes.select("id", "fp", "bands"), near, tables, verify), tables)
     group = F.coalesce("root", "content")
     grouped_rows = tables.put(told.join(found, F.col("content") == F.col("node"), "left").select("doc_id", group.alias("group")))
     kept = grouped_rows.groupBy("group").agg(F.min("doc_id").alias("doc_id")).select("doc_id")

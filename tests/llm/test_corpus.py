@@ -150,6 +150,25 @@ def test_passages(make, spark, sf):
     assert passages.op2_repeated_passages(spark, sf(documents=make([]))).count() == 0
 
 
+@pytest.mark.parametrize("change", ["insert", "delete"])
+def test_passages_with_inserted_and_deleted_words(change):
+    """One word more or less in the middle of 60: Jaccard 0.85, each half under 50 words."""
+    rng, t, found, met = random.Random(18), 46, 0, 0
+    for _ in range(100):
+        p = prose(60, rng).split()
+        q = p[:30] + ["inserted"] + p[30:] if change == "insert" else p[:30] + p[31:]
+        a, b = (passages.tokens(" ".join([prose(90, rng), " ".join(x), prose(90, rng)]))[1] for x in (p, q))
+        anchors = []
+        for s in range(passages.HASHES):
+            h, g = (passages.mixed(x, s) for x in (a, b))
+            one, two = (list(zip(*map(np.ndarray.tolist, passages.compact_windows(x, t)))) for x in (h, g))
+            anchors += [(*x, *y) for x in one for y in two if h[x[1]] == g[y[1]]]
+        met += bool(anchors)
+        mine, theirs = passages.compare(a, b, anchors, t)
+        found += any(abs(x - 90) <= 8 and abs(y - 145) <= 8 for x, y in mine) and bool(theirs)
+    assert met >= 90 and found >= 0.99 * met
+
+
 def test_compact_windows_hold_each_passage_once():
     rng = np.random.default_rng(1)
     for _ in range(60):

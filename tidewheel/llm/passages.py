@@ -109,17 +109,76 @@ def windows(text: Column, t: int) -> Column:
     return arrow_udf(run, "struct<node:bigint,n_words:int,wins:array<struct<sig:bigint,l:int,c:int,r:int>>>").asNondeterministic()(text)
 
 
-def compare(a: np.ndarray, b: np.ndarray, anchors, t: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Spans (first and last token) of the near-duplicate passages of two token arrays. anchors: (l, c, r, l2, c2, r2).
-
-    About an anchor the passages are aligned at c and c2, and the longest stretch is taken in which the share of equal tokens means the similarity; if
-    the alignment breaks, the sets of the tokens of both windows decide.
+def _run(a: np.ndarray, b: np.ndarray, i: int, j: int) -> int:
+    """How many tokens from i and j on are equal."""
+    size, most, step = 0, min(len(a) - i, len(b) - j), 64
+    while size < most:
+        step = min(step, most - size)
+        unequal = np.flatnonzero(a[i + size : i + size + step] != b[j + size : j + size + step])
+        if len(unequal):
+            return size + int(unequal[0])
+        size, step = size + step, 2 * step
+    return size
+
+
+class _Chain:
+    """Equal runs of two token arrays, joined rightwards over gaps. A gap is as long as a passage of the similarity can have, whatever its diagonals."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray):
+        self.a, self.b, self.order = a, b, np.argsort(b, kind="stable")
+        inorder = b[self.order]
+        self.lo, self.hi = (np.searchsorted(inorder, a, side) for side in ("left", "right"))
+        self.hits = np.flatnonzero(self.hi > self.lo)
+        self.gap = int(min(len(a), len(b)) * 2 * (1 - SIMILARITY) / (2 * SIMILARITY))
+
+    def runs(self, i: int, j: int) -> list[tuple[int, int, int]]:
+        """(i, j, size) from equal places i and j on, each time to the nearest equal places."""
+        out = []
+        while True:
+            size = _run(self.a, self.b, i, j)
+            out.append((i, j, size))
+            i, j, best = i + size, j + size, None
+            for h in self.hits[np.searchsorted(self.hits, i) :].tolist():
+                if h - i > self.gap or best and h - i >= best[0]:
+                    break
+                places = self.order[self.lo[h] : self.hi[h]]
+                k = int(np.searchsorted(places, j))
+                if k < len(places):
+                    cost = h - i + int(places[k]) - j
+                    if cost <= self.gap and (best is None or cost < best[0]):
+                        best = (cost, h, int(places[k]))
+            if best is None:
+                return out
+            i, j = best[1:]
+
+
+def _stretch(runs: list[tuple[int, int, int]], need: float, least: float = 0.0) -> tuple[int, float, int, int]:
+    """(runs taken, gain, tokens of a, of b) of the prefix of runs, the first always taken, with the greatest gain; with ``least`` below 0 the longest one
+    whose gain is at least that. Equal tokens gain, all tokens of both texts cost the share that the similarity needs."""
+    equal, best, at = 0, None, runs[0]
+    for k, (i, j, size) in enumerate(runs):
+        equal += size
+        one, two = i + size - at[0], j + size - at[1]
+        gain = 2 * equal - need * (one + two)
+        if best is None or (gain >= least - 1e-9 if least < 0 else gain > best[1]):
+            best = (k + 1, gain, one, two)
+    return best
+
+
+def compare(a: np.ndarray, b: np.ndarray, anchors, t: int, held: set | None = None) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Spans (first and last token) of the near-duplicate passages of two token arrays. anchors: (l, c, r, l2, c2, r2); those that hold are added to ``held``.
+
+    About an anchor the passages are aligned at c and c2, and the longest stretch is taken in which the share of equal tokens means the similarity;
+    if the alignment breaks, equal runs of other diagonals are joined to it, for inserted and deleted words; then the sets of the tokens of both windows decide.
     """
     need, mine, theirs = 2 * SIMILARITY / (1 + SIMILARITY), [], []
-    done: set[tuple[int, int]] = set()
+    held = set() if held is None else held
+    chains = None
     for l, c, r, l2, c2, r2 in sorted(set(anchors), key=lambda w: (w[1], w)):
-        if any(x <= c <= y for x, y in mine if (c2 - c, x) in done):
-            continue  # inside a passage found on this diagonal
+        anchor = (l, c, r, l2, c2, r2)
+        if any(x <= c <= y and x2 <= c2 <= y2 for (x, y), (x2, y2) in zip(mine, theirs)):
+            held.add(anchor)
+            continue  # inside passages found
         left, right = min(c, c2), min(len(a) - c, len(b) - c2)
         same = a[c - left : c + right] == b[c2 - left : c2 + right]
         gain = np.concatenate([[0.0], np.cumsum(same - need)])
@@ -129,20 +188,43 @@ def compare(a: np.ndarray, b: np.ndarray, anchors, t: int) -> tuple[list[tuple[i
             ends = np.flatnonzero(gain[left + 1 :] >= gain[begin] - 1e-9)
             end = left + 1 + int(ends[-1]) if len(ends) else begin
         size = end - begin
-        if size >= t:
-            x, y = c - left + begin, c2 - left + begin
-            mine.append((x, x + size - 1))
-            theirs.append((y, y + size - 1))
-            done.add((c2 - c, x))
-            continue
-        one, two = set(a[l : r + 1].tolist()), set(b[l2 : r2 + 1].tolist())
-        both = len(one & two)
-        if both >= SIMILARITY * (len(one) + len(two) - both):
-            mine.append((l, r))
-            theirs.append((l2, r2))
+        spans = ((c - left + begin, c - left + end - 1), (c2 - left + begin, c2 - left + end - 1)) if size >= t else None
+        if spans is None and a[c] == b[c2]:
+            chains = chains or (_Chain(a, b), _Chain(a[::-1], b[::-1]))
+            spans = _joined(chains, c, c2, need, t)
+        if spans is None:
+            one, two = set(a[l : r + 1].tolist()), set(b[l2 : r2 + 1].tolist())
+            both = len(one & two)
+            if both >= SIMILARITY * (len(one) + len(two) - both):
+                spans = ((l, r), (l2, r2))
+        if spans is not None:
+            mine.append(spans[0])
+            theirs.append(spans[1])
+            held.add(anchor)
     return mine, theirs
 
 
+def _joined(chains: tuple[_Chain, _Chain], c: int, c2: int, need: float, t: int) -> tuple[tuple[int, int], tuple[int, int]] | None:
+    """Spans of t tokens or more about equal places c and c2 whose equal runs, joined over gaps, have the share; None if there are none."""
+    n, n2 = len(chains[0].a), len(chains[0].b)
+    ahead, back = chains[0].runs(c, c2), chains[1].runs(n - 1 - c, n2 - 1 - c2)
+    one, two = _stretch(ahead, need), _stretch(back, need)
+    tries = [(one, two), (_stretch(ahead, need, -max(two[1], 1e-6)), two), (one, _stretch(back, need, -max(one[1], 1e-6)))]
+    for (_, gain, x, x2), (_, more, y, y2) in tries:
+        spare = gain + more - 2 * (1 - need)  # the anchor's token counts once
+        sides = []
+        for at, size, before, after in ((c, n, y, x), (c2, n2, y2, x2)):
+            first, last = at - before + 1, at + after - 1
+            pad = max(0, t - (last - first + 1))  # unequal tokens at the edges
+            spare -= need * pad
+            last, pad = min(size - 1, last + pad), max(0, pad - (size - 1 - last))
+            first -= pad
+            sides.append((first, last))
+        if spare >= -1e-9 and min(x for x, _ in sides) >= 0:
+            return sides[0], sides[1]
+    return None
+
+
 def keyed(sig: np.ndarray, l: np.ndarray, c: np.ndarray, r: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
     """(key, index) for every two windows of different functions that hold a common passage of length t: a hash of the two signatures in the order of
     their places, and the first window. An interval join by blocks of rows: memory stays small for any text."""

@@ -169,6 +169,30 @@ def test_passages_with_inserted_and_deleted_words(change):
     assert met >= 90 and found >= 0.99 * met
 
 
+def test_passages_get_keys_at_the_threshold():
+    """Passages of 50 words or a little more, of a similarity just over 0.8, nearly all share a key."""
+    rng, t, met, n = random.Random(19), 46, 0, 0
+
+    def keys(tok):
+        parts = []
+        for s in range(passages.HASHES):
+            h = passages.mixed(tok, s)
+            l, c, r = passages.compact_windows(h, t)
+            parts.append(((h[c] * np.uint64(8) + np.uint64(s)).view(np.int64), l, c, r))
+        return set(passages.keyed(*(np.concatenate(x) for x in zip(*parts)), t)[0].tolist())
+
+    while n < 300:
+        p = prose(52, rng).split()
+        q = p.copy()
+        q[rng.choice([0, 1, 50, 51, 25])] = "edited"
+        a, b = (passages.tokens(" ".join([prose(60, rng), " ".join(x), prose(60, rng)]))[1] for x in (p, q))
+        x, y = (set(passages.tokens(" ".join(x))[1].tolist()) for x in (p, q))
+        if 0.8 <= len(x & y) / len(x | y) <= 0.85:
+            n += 1
+            met += bool(keys(a) & keys(b))
+    assert met >= 0.98 * n
+
+
 def test_compact_windows_hold_each_passage_once():
     rng = np.random.default_rng(1)
     for _ in range(60):

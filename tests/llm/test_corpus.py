@@ -150,6 +150,30 @@ def test_passages(make, spark, sf):
     assert passages.op2_repeated_passages(spark, sf(documents=make([]))).count() == 0
 
 
+def test_verified_passages_leave_only_their_own_keys(spark, make):
+    """A, the leader of two keys, verifies one with B; the windows of the other stay."""
+    rng, t = random.Random(20), 46
+    p, q, r = (prose(60, rng) for _ in range(3))
+    a, b = p + " " + q, p + " " + prose(40, rng) + " " + r
+    x, y = passages.tokens(a)[1], passages.tokens(b)[1]
+    whole = {"l": 5, "c": 10, "r": 55}
+    false = {"l": 100, "c": 110, "r": 150}
+    kind = "array<struct<sig:bigint,star:boolean,w:array<struct<l:int,c:int,r:int>>,w2:array<struct<l:int,c:int,r:int>>>>"
+    keys = [{"sig": 1, "star": True, "w": [whole], "w2": [whole]}, {"sig": 2, "star": True, "w": [false], "w2": [{"l": 60, "c": 70, "r": 110}]}]
+    row = passages._verify(spark.createDataFrame([(1, 2, 160, keys, b, a)], f"u bigint, v bigint, n_words int, keys {kind}, a string, b string"), t).first()
+    assert len(x) and len(y) and row.mine and [(k.sig, len(k.w)) for k in row.rest] == [(2, 1)]
+
+
+def test_passages_that_the_leader_has_twice(make):
+    """The shortest text holds the passage at two places: both are spans."""
+    rng = random.Random(24)
+    p = prose(70, rng)
+    rows = [(1, " ".join([prose(20, rng), p, prose(30, rng), p, prose(20, rng)])), (2, prose(150, rng) + " " + p + " " + prose(60, rng))]
+    got = {r.doc_id: r for r in passages.repeated_passages(make(rows)).collect()}
+    spans = [tuple(map(int, s.split("-"))) for s in got[1].spans.split(",")]
+    assert len(spans) == 2 and all(abs(x - at) <= 6 and abs(y - at - 69) <= 6 for (x, y), at in zip(spans, (20, 120)))
+
+
 @pytest.mark.parametrize("change", ["insert", "delete"])
 def test_passages_with_inserted_and_deleted_words(change):
     """One word more or less in the middle of 60: Jaccard 0.85, each half under 50 words."""

@@ -177,7 +177,7 @@ def compare(a: np.ndarray, b: np.ndarray, anchors, t: int, held: set | None = No
     chains = None
     for l, c, r, l2, c2, r2 in sorted(set(anchors), key=lambda w: (w[1], w)):
         anchor = (l, c, r, l2, c2, r2)
-        if any(x <= c <= y and x2 <= c2 <= y2 for (x, y), (x2, y2) in zip(mine, theirs)):
+        if any(_inside(anchor, *spans) for spans in zip(mine, theirs)):
             held.add(anchor)
             continue  # inside passages found
         left, right = min(c, c2), min(len(a) - c, len(b) - c2)
@@ -205,6 +205,14 @@ def compare(a: np.ndarray, b: np.ndarray, anchors, t: int, held: set | None = No
     return mine, theirs
 
 
+def _inside(anchor, mine: tuple[int, int], theirs: tuple[int, int]) -> bool:
+    """Whether the anchor is on the diagonals of two spans, or its windows are parts of them."""
+    (l, c, r, l2, c2, r2), (x, y), (x2, y2) = anchor, mine, theirs
+    if not (x <= c <= y and x2 <= c2 <= y2):
+        return False
+    return min(x2 - x, y2 - y) <= c2 - c <= max(x2 - x, y2 - y) or (x <= l and r <= y and x2 <= l2 and r2 <= y2)
+
+
 def _joined(chains: tuple[_Chain, _Chain], c: int, c2: int, need: float, t: int) -> tuple[tuple[int, int], tuple[int, int]] | None:
     """Spans of t tokens or more about equal places c and c2 whose equal runs, joined over gaps, have the share; None if there are none."""
     n, n2 = len(chains[0].a), len(chains[0].b)
@@ -281,30 +289,37 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _verify(pairs: DataFrame, t: int) -> DataFrame:
-    """pairs: u, v, anchors, and texts a, b. Rows (u, v, mine, theirs) with word spans, for those that hold."""
+    """pairs: u, v, n_words, keys (sig, star, and windows w and w2 of u and v), and texts a, b. Rows (u, v, n_words, mine, theirs, rest): word spans, and for the
+    keys with a star those windows of u that no window of v verified."""
 
     def run(batches):
         import pyarrow as pa
 
+        window = pa.struct([(x, pa.int32()) for x in "lcr"])
+        kinds = (pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])), pa.list_(pa.struct([("sig", pa.int64()), ("w", pa.list_(window))])))
         last, b = None, None
         for batch in batches:
-            u, v, mine, theirs = [], [], [], []
+            mine, theirs, rest = [], [], []
             for i in range(batch.num_rows):
                 lead = batch.column("v")[i].as_py()
                 if lead != last:  # rows arrive by leader
                     last, (_, b) = lead, tokens(batch.column("b")[i].as_py())
                 _, a = tokens(batch.column("a")[i].as_py())
-                found = compare(a, b, [tuple(w.values()) for w in batch.column("anchors")[i].as_py()], t)
-                if found[0]:
-                    u.append(batch.column("u")[i].as_py())
-                    v.append(lead)
-                    for side, spans in zip((mine, theirs), found):
-                        side.append([{"first": x, "last": y + SHINGLE - 1} for x, y in _merged(spans)])
-            span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(mine, span), pa.array(theirs, span)], names=["u", "v", "mine", "theirs"])
+                keys, held = batch.column("keys")[i].as_py(), set()
+                places = [([tuple(w.values()) for w in k["w"]], [tuple(w.values()) for w in k["w2"]]) for k in keys]
+                found = compare(a, b, {(*x, *y) for one, two in places for x in one for y in two}, t, held)
+                for side, spans in zip((mine, theirs), found):
+                    side.append([{"first": x, "last": y + SHINGLE - 1} for x, y in _merged(spans)])
+                left = [(k["sig"], [x for x in one if not any((*x, *y) in held for y in two)]) for k, (one, two) in zip(keys, places) if k["star"]]
+                rest.append([{"sig": sig, "w": [dict(zip("lcr", x)) for x in xs]} for sig, xs in left if xs])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(x) for x in ("u", "v", "n_words")), pa.array(mine, kinds[0]), pa.array(theirs, kinds[0]), pa.array(rest, kinds[1])],
+                names=["u", "v", "n_words", "mine", "theirs", "rest"],
+            )
 
     kind = "array<struct<first:int,last:int>>"
-    return pairs.select("u", "v", "anchors", "a", "b").mapInArrow(run, f"u bigint, v bigint, mine {kind}, theirs {kind}")
+    rest = "array<struct<sig:bigint,w:array<struct<l:int,c:int,r:int>>>>"
+    return pairs.select("u", "v", "n_words", "keys", "a", "b").mapInArrow(run, f"u bigint, v bigint, n_words int, mine {kind}, theirs {kind}, rest {rest}")
 
 
 def _shared(wins: DataFrame, tables: Tables) -> DataFrame:
@@ -326,28 +341,29 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, label: str =
     wins = told.where(F.size("wins") > 0).join(nodes.select("node", "least"), "node").where(F.col("doc_id").eqNullSafe(F.col("least")))
     wins = wins.select("node", "n_words", F.explode("wins").alias("w")).select("node", "n_words", "w.*")
     left = tables.put(_keys(_shared(wins, tables), t))
-    left = tables.put(_shared(left, tables))
+    # One row for each key and text, with all the places where the text has it.
+    left = tables.put(_shared(left, tables).groupBy("sig", "node", "n_words").agg(F.sort_array(F.collect_set(F.struct("l", "c", "r"))).alias("w")))
     texts = tables.put(docs.select("doc_id", "text").join(nodes.select(F.col("least").alias("doc_id"), "node"), "doc_id").select("node", "text").join(left.select("node").distinct(), "node", "left_semi"))
     found = None
     for turn in range(MAX_ROUNDS):
-        leader = left.groupBy("sig").agg(F.min(F.struct("n_words", "node", "c", "l", "r")).alias("lead"), F.max(F.struct("n_words", "node")).alias("other"), F.count("*").alias("n"))
-        leader = tables.put(leader.where("lead.node <> other.node").select("sig", "n", F.col("lead.node").alias("v"), *[F.col(f"lead.{x}").alias(f"{x}2") for x in "lcr"]))
+        leader = left.groupBy("sig").agg(F.min(F.struct("n_words", "node", "w")).alias("lead"), F.max(F.struct("n_words", "node")).alias("other"), F.count("*").alias("n"))
+        leader = tables.put(leader.where("lead.node <> other.node").select("sig", "n", F.col("lead.node").alias("v"), F.col("lead.w").alias("w2")))
         if leader.isEmpty():
             break
         few = F.col("n") <= (PAIRS_UP_TO if turn >= PAIRS_FROM else 0)
-        met = left.join(leader.where(~few).drop("n"), "sig").where("node <> v")
+        met = left.join(leader.where(~few).drop("n"), "sig").where("node <> v").withColumn("star", F.lit(True))
         if turn >= PAIRS_FROM:
             mine = left.join(leader.where(few).select("sig"), "sig")
-            theirs = mine.select("sig", F.col("node").alias("v"), *[F.col(x).alias(f"{x}2") for x in "lcr"])
-            met = met.union(mine.join(theirs, "sig").where("node > v").select(*met.columns))  # at most PAIRS_UP_TO members
-        met = tables.put(met)
-        anchor = F.struct("l", "c", "r", "l2", "c2", "r2")
-        pairs = met.groupBy(F.col("node").alias("u"), "v").agg(F.collect_set(anchor).alias("anchors"))  # of one text's windows
+            theirs = mine.select("sig", F.col("node").alias("v"), F.col("w").alias("w2"))
+            met = met.union(mine.join(theirs, "sig").where("node > v").withColumn("star", F.lit(False)).select(*met.columns))  # at most PAIRS_UP_TO members
+        keys = F.collect_list(F.struct("sig", "star", "w", "w2")).alias("keys")
+        pairs = met.groupBy(F.col("node").alias("u"), "v", "n_words").agg(keys)  # of one text's windows
         one = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
         held = tables.put(_verify(one.join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v"), t))
-        found = held if found is None else found.union(held)
-        refuted = met.join(leader.where(~few).select("sig"), "sig", "left_semi").join(held.select(F.col("u").alias("node"), "v"), ["node", "v"], "left_anti")
-        left = tables.put(refuted.select("sig", "node", "n_words", "l", "c", "r"))
+        good = held.where(F.size("mine") > 0).select("u", "v", "mine", "theirs")
+        found = good if found is None else found.union(good)
+        # A member stays in a key's group until a passage about that very key is verified.
+        left = tables.put(held.select(F.col("u").alias("node"), "n_words", F.explode("rest").alias("k")).select("k.sig", "node", "n_words", "k.w"))
     else:
         raise RuntimeError(f"leaders did not settle in {MAX_ROUNDS} rounds")
 

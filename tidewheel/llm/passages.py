@@ -328,9 +328,9 @@ def _shared(wins: DataFrame, tables: Tables) -> DataFrame:
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, label: str = "passages") -> DataFrame:
-    """Rows (doc_id, component_id, n_links, n_repeated, spans) for the documents that share a passage of min_words or more with another document.
+    """Rows (doc_id, component_id, n_representatives, n_repeated, spans) for the documents that share a passage of min_words or more with another document.
 
-    spans: word offsets ``first-last``, comma-joined; n_repeated: words in them; n_links: distinct texts it was verified with; component_id: the least
+    spans: word offsets ``first-last``, comma-joined; n_repeated: words in them; n_representatives: distinct representatives of a key (or members of small groups) it was verified with; component_id: the least
     id that passages connect it to. Copies repeat as a whole; repeated rows are copies. Shorter texts, null and empty ones have no passages. A null id
     never names a component unless all ids are null. An empty table gives an empty table.
     """
@@ -387,15 +387,15 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, label: str =
     # The guard keeps element_at from an empty array.
     joined = F.aggregate(F.slice("spans", 2, 1 << 30), F.slice("spans", 1, 1).cast("array<struct<first:int,last:int>>"), fold)
     spans = spans.select("node", F.when(F.size("spans") > 0, joined).otherwise(start).alias("spans"))
-    links = sides.where(F.col("with").isNotNull()).groupBy("node").agg(F.count_distinct("with").alias("n_links"))
+    links = sides.where(F.col("with").isNotNull()).groupBy("node").agg(F.count_distinct("with").alias("n_representatives"))
     about = spans.join(links, "node", "left").join(nodes.select("node", "least"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     about = tables.put(about)
     names = about.groupBy("root").agg(F.min("least").alias("component_id"))
     about = about.join(names, "root")
     size = F.aggregate("spans", F.lit(0), lambda acc, s: acc + s["last"] - s["first"] + 1)
     text = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["first"].cast("string"), s["last"].cast("string"))), ",")
-    told_nodes = tables.put(about.select("node", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), size.cast("bigint").alias("n_repeated"), text.alias("spans")))
-    return rows.select("doc_id", "node").join(told_nodes, "node").select("doc_id", "component_id", "n_links", "n_repeated", "spans")
+    told_nodes = tables.put(about.select("node", "component_id", F.coalesce("n_representatives", F.lit(0)).alias("n_representatives"), size.cast("bigint").alias("n_repeated"), text.alias("spans")))
+    return rows.select("doc_id", "node").join(told_nodes, "node").select("doc_id", "component_id", "n_representatives", "n_repeated", "spans")
 
 
 def op2_repeated_passages(spark, sf_dir: str) -> DataFrame:

@@ -362,6 +362,12 @@ def test_kth_largest(spark):
             assert (-score, last) == order[k - 1]
 
 
+def test_declared_language_wherever_it_stands():
+    assert language.declared("<!--" + "licence " * 2000 + "--><html class='x' xml:lang='de-AT'>") == "de"
+    assert language.declared("<html " + "data-x='y' " * 1000 + 'lang="fr"><p lang="en">') == "fr"
+    assert language.declared("<html><p lang='en'>") == "" and language.declared("<html " * 20_000) == ""
+
+
 def test_language(spark, make, sf):
     rng = random.Random(23)
     words = {"en": ["the", "and", "with", "thing", "which"], "de": ["der", "und", "nicht", "schön", "über"], "fr": ["le", "été", "avec", "pour", "eau"]}

@@ -29,8 +29,8 @@ KEPT_AT = 0.65
 
 _hidden = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>", re.S | re.I)
 _tag = re.compile(r"<[^>]*>")
-_lang = re.compile(r"""<html\b[^>]*?\blang\s*=\s*["']?([A-Za-z]{2,3})""", re.I)
-_xml_lang = re.compile(r"""<html\b[^>]*?\bxml:lang\s*=\s*["']?([A-Za-z]{2,3})""", re.I)
+_html = re.compile(r"<html\b[^>]*", re.I)
+_lang = re.compile(r"""\blang\s*=\s*["']?([A-Za-z]{2,3})""", re.I)  # xml:lang too
 
 
 def page_text(page: str) -> str:
@@ -39,8 +39,10 @@ def page_text(page: str) -> str:
 
 def declared(page: str) -> str:
     """The markup's language, lower-cased and without its region; empty if there is none."""
-    found = _lang.search(page, 0, 4096) or _xml_lang.search(page, 0, 4096)
-    return found[1].lower() if found else ""
+    for tag in _html.finditer(page):
+        if found := _lang.search(tag[0]):
+            return found[1].lower()
+    return ""
 
 
 def trigrams(text: str) -> np.ndarray:

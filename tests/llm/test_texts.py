@@ -132,3 +132,19 @@ def test_queries_on_odd_tables(spark, make, sf):
         assert secrets.op9_secret_scan(spark, path).count() == n
         got = decontaminate.op7_decontaminate(spark, path).collect()
         assert len(got) == n and sum(r.contaminated for r in got) == (1 if n else 0)
+
+
+def test_lexer_reads_literals_names_and_concatenations_of_any_length():
+    rng = random.Random(41)
+    draw = lambda n: "".join(rng.choice("ABCDEFabcdef0123456789+/") for _ in range(n))
+    long = f'signing_key = "{draw(10_000)}"'
+    assert secrets.lexed(long) == [(15, 10_015)]
+    terms = [draw(20) for _ in range(200)]
+    text = "signing_key = " + " + ".join(f'"{t}"' for t in terms)
+    assert [text[a:b] for a, b in secrets.lexed(text)] == terms
+    text = "parts = " + " + ".join(f'"{t}"' for t in terms) + "\nsigning_key = parts"
+    assert [text[a:b] for a, b in secrets.lexed(text)] == terms
+    text = "signing_key" + "_of_a_part" * 30 + f' = "{draw(40)}"'
+    assert len(secrets.lexed(text)) == 1
+    doubled = 'c0 = "aB3dE5gH7j"\n' + "".join(f"c{i + 1} = c{i} + c{i}\n" for i in range(60)) + "signing_key = c60\n"
+    assert [doubled[a:b] for a, b in secrets.lexed(doubled)] == ["aB3dE5gH7j"]

@@ -32,10 +32,11 @@ SENSITIVE = {
 #: Words of a name that say it holds something about a secret and not the secret.
 HARMLESS = {"public": -3, "name": -2, "id": -2, "length": -3, "len": -3, "count": -3, "max": -2, "min": -2, "type": -2, "path": -2, "file": -2, "url": -2, "field": -2, "header": -2, "expires": -3, "ttl": -3}
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|-+|none|null|nil|true|false|todo|test|dummy|example|sample|placeholder|changeme|change_me|your.*|my[-_ ]?.*|<.*>|\$\{?.*|%.*%|\{\{.*)$")
-LEAST_SCORE, LEAST_LENGTH, MOST_TERMS, MOST_NAME, MOST_LITERAL = 4.5, 6, 64, 128, 4096
+LEAST_SCORE, LEAST_LENGTH = 4.5, 6
 
 _operator = re.compile(r":=|=>|[=:]")
-_name_before = re.compile(r"""(?:["']\s{0,1})?([A-Za-z_$][A-Za-z0-9_$.\-]*)["']?[ \t]*$""")
+_first = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_$")
+_in_name = _first | frozenset("0123456789.-")
 _term = re.compile(r"""[ \t]*(?:([rbuf]{0,2})("(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)|([A-Za-z_$][A-Za-z0-9_$.]*)(?![A-Za-z0-9_$.(+/=\-])|([A-Za-z0-9+/_.=\-!@#%^&*~]+))""")
 _join = re.compile(r"[ \t]*(?:\+|\.\.|\|\||(?=[\"']))")
 _parts = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -58,6 +59,22 @@ def literal_score(value: str) -> float:
     return min(bits, 4.0) / 2 + (kinds - 1) / 2
 
 
+def name_before(text: str, end: int) -> str:
+    """The name, quoted or not, that ends before ``end``; empty if there is none. Read backwards: names have no operators, so all names of a text are linear."""
+    if text[end - 1 : end] == "\n":
+        end -= 1
+    while end and text[end - 1] in " \t":
+        end -= 1
+    if end and text[end - 1] in "\"'":
+        end -= 1
+    begin = end
+    while begin and text[begin - 1] in _in_name:
+        begin -= 1
+    while begin < end and text[begin] not in _first:
+        begin += 1
+    return text[begin:end]
+
+
 def lexed(text: str) -> list[tuple[int, int]]:
     """Spans (code points, end exclusive, quotes left out) of the literals that reach a sensitive name."""
     constants: dict[str, list[tuple[int, int, str]]] = {}
@@ -66,19 +83,18 @@ def lexed(text: str) -> list[tuple[int, int]]:
     for op in _operator.finditer(text):
         if op.start() < done or text[op.end() : op.end() + 1] == "=" or text[op.start() - 1 : op.start()] in ("=", "!", "<", ">"):
             continue
-        before = text[max(0, op.start() - MOST_NAME) : op.start()]
-        if (m := _name_before.search(before)) is None:
+        if not (name := name_before(text, op.start())):
             continue
-        name, at, quoted, bare = m[1], op.end(), [], []
-        for _ in range(MOST_TERMS):  # a longer concatenation is read as several
-            term = _term.match(text, at)
-            if term is None or term.end() - term.start() > MOST_LITERAL:
-                break
+        at, quoted, bare = op.end(), [], []
+        known: set[tuple[int, int, str]] = set()  # parts of constants: one that comes again adds nothing, or sums of sums would double
+        while (term := _term.match(text, at)) is not None:
             at = term.end()
             if term[2] is not None:
                 quoted.append((term.start(2) + 1, term.end(2) - 1, term[2][1:-1]))
             elif term[3] is not None and term[3] in constants:
-                quoted += constants[term[3]]
+                new = [part for part in constants[term[3]] if part not in known]
+                known.update(new)
+                quoted += new
             elif term[3] is not None or term[4] is not None:
                 k = 3 if term[3] is not None else 4
                 if op[0] != ":" or text[op.end() : op.end() + 1] in (" ", "\t"):
@@ -90,7 +106,7 @@ def lexed(text: str) -> list[tuple[int, int]]:
         if not quoted:
             continue
         done = max(done, min(at, quoted[0][1]) if quoted[0][0] >= op.end() else 0)
-        constants[name] = quoted[:MOST_TERMS]
+        constants[name] = quoted
         if (score := name_score(name)) >= 2 and score + literal_score("".join(v for _, _, v in quoted)) >= LEAST_SCORE:
             spans.update((a, b) for a, b, v in quoted if b > a)
     return sorted(spans)

@@ -1,14 +1,21 @@
 """Substring dedup: near-duplicate passages by compact windows.
 
-The tokens of a text are its five-word shingles. Under a hash function all passages whose smallest token hash is at place c form one compact
-window (l, c, r): they begin in [l, c] and end in [c, r]. The windows are the nodes of the Cartesian tree over the hashes; only those that
-hold a passage of the least length t are kept, about 2 n / t of n tokens, so a corpus of any size has few. Two windows of one hash function with
-the same least hash hold passages that share a signature. Within a text, windows of two functions are joined on their intervals: where both hold a
-common passage of length t, the pair of their signatures is a key that chance rarely repeats. Texts that share a key are compared about it token by token.
-
-Equal texts are one node. In each group of texts with one key, members are compared with one leader, the shortest text; those that it refutes
-form the next round's group, with a leader of their own, until none is left; small leftovers are compared in pairs. A passage that a third of all texts
-shares so costs one comparison for each of them.
+The tokens of a text are its five-word shingles. Two passages of t = 46 distinct tokens (50 words) or more whose token sets have a Jaccard
+similarity of 0.8 have a run of words in common: each of the m - 1 places where one run of common tokens ends and the next begins takes four tokens
+from either text, so there are S >= 32 (m - 1) common tokens, and S >= t - 4 (m - 1); the longest of the m runs then has 21 tokens, 25 words (``sizes``).
+
+Under a hash function all passages of a text whose least hash is at place c form one compact window: the nodes of the Cartesian tree over
+the hashes. Here they are windows over the hashes of 15-word shingles, and the passages are the runs of 25 words, which have 11 of these: two texts that share a
+run have a window with the same signature, the least hash. One hash function is therefore enough: no near-duplicate passage of distinct
+tokens is missed, where signatures of short tokens need several functions and still miss some. A text of n words has about n / 6 windows, and
+lines of under 15 words make no keys.
+
+Windows of two texts with equal signatures are anchors; those whose intervals lie in one stretch of the texts are joined and verified once, token by token:
+about an anchor the stretches are taken in which the tokens are common, and their sets decide.
+
+Equal texts are one node. The texts of a key are compared with one leader, the shortest. Those that it refutes (they share a line of 25 to 49 words with it, and
+no more) are compared with all others of the key; if they are many, with those that also have a token near the line in common, since a passage that is more than
+the line has one.
 """
 
 from __future__ import annotations
@@ -17,265 +24,313 @@ import re
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import WORD, Tables, arrow_udf, components, lower, named
+from tidewheel.llm.common import WORD, Tables, arrow_udf, components, lower, named, small
 
 SHINGLE = 5
 #: Least words of a passage.
 MIN_WORDS = 50
-#: Hash functions, up to 8. A key needs two that agree: of passages of just over 50 words 0.993 at similarity 0.8, by the binomial law.
-HASHES = 5
 SIMILARITY = 0.8
-#: From this round on, groups of at most so many members are compared in pairs.
-PAIRS_FROM, PAIRS_UP_TO = 2, 32
-MAX_ROUNDS = 200
+#: Texts of a key that are compared with all others of it in a round.
+FEW = 256
+#: Words that are hashed at once.
+_STEP = 1 << 18
 
 _word = re.compile(WORD).findall
+_PRIME = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-def tokens(text: str | None, n: int = SHINGLE) -> tuple[list[str], np.ndarray]:
-    """The words, and a 64-bit hash of each n-word shingle: a polynomial over the hashes of its words."""
-    words = _word(lower(text)) if text else []
-    if len(words) < n:
-        return words, np.zeros(0, dtype=np.uint64)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    out = h[: len(h) - n + 1].copy()
-    for i in range(1, n):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - n + 1 + i]
-    return words, out
+def sizes(min_words: int = MIN_WORDS) -> tuple[int, int, int]:
+    """(t, gram, w): tokens of the least passage, words of a shingle whose hash is a signature, and shingles in a run that any two such passages share."""
+    t = max(1, min_words - SHINGLE + 1)
+    lost = round(8 * SIMILARITY / (1 - SIMILARITY))
+    run = min(-(-max(t - 4 * (m - 1), lost * (m - 1)) // m) for m in range(1, t + 2)) + SHINGLE - 1
+    w = max(1, run * 11 // 25)
+    return t, run - w + 1, w
 
 
-def mixed(x: np.ndarray, salt: int) -> np.ndarray:
+def mixed(x: np.ndarray, salt: int = 0) -> np.ndarray:
     x = x + np.uint64((salt + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
     x = (x ^ (x >> np.uint64(30))) * _M1
     x = (x ^ (x >> np.uint64(27))) * _M2
     return x ^ (x >> np.uint64(31))
 
 
-def compact_windows(h: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(l, c, r) of the compact windows of length t or more, the leftmost of equal hashes counting as the least.
+def word_hashes(text: str | None) -> np.ndarray:
+    """A 64-bit hash of each word."""
+    words = _word(lower(text)) if text else []
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def grams(h: np.ndarray, n: int) -> np.ndarray:
+    """A hash of every n words in a row, by a polynomial over the lower 32 bits of theirs."""
+    if len(h) < n:
+        return np.zeros(0, dtype=np.uint64)
+    h = h & np.uint64(0xFFFFFFFF)
+    out = h[: len(h) - n + 1].copy()
+    for i in range(1, n):
+        out *= _PRIME
+        out += h[i : len(h) - n + 1 + i]
+    return mixed(out)
+
+
+def tokens(text: str | None) -> np.ndarray:
+    return grams(word_hashes(text), SHINGLE)
+
+
+def compact_windows(h: np.ndarray, w: int, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(c, first, last): the nodes of the Cartesian tree over h that hold w places or more. c is the least of the w places that begin at any
+    place from first to last (the leftmost, if several are least); where ``starts`` is false no w places begin.
 
-    A place is such a window's c exactly if it is the least of some t places in a row: a sliding minimum finds them. Its nearest lesser neighbours are
-    places of that kind too, so a stack over the few found gives l and r.
+    A sliding minimum over doubling lengths finds them for many texts in one array, without a stack.
     """
-    n = len(h)
-    if n < t:
+    if len(h) < w:
         return (np.zeros(0, dtype=np.int64),) * 3
-    at = np.arange(n)  # least of the windows of doubling length that begin here
-    size = 1
-    while size < t:
-        step = min(size, t - size)
+    at, size = np.arange(len(h)), 1
+    while size < w:
+        step = min(size, w - size)
         a, b = at[: len(at) - step], at[step:]
         at = np.where(h[b] < h[a], b, a)
         size += step
-    c = np.unique(at)
-    l, r = np.zeros(len(c), dtype=np.int64), np.full(len(c), n - 1, dtype=np.int64)
-    stack: list[int] = []
-    values = h[c].tolist()
-    for k, v in enumerate(values):
-        while stack and values[stack[-1]] > v:
-            r[stack.pop()] = c[k] - 1
-        if stack:
-            l[k] = c[stack[-1]] + 1
-        stack.append(k)
-    return l, c, r
-
-
-def windows(text: Column, t: int) -> Column:
-    """A struct: content hash of the words, number of words, and the windows under all hash functions as arrays of signatures and bounds."""
+    begin = np.arange(len(at)) if starts is None else np.flatnonzero(starts[: len(at)])
+    at = at[begin]
+    if not len(at):
+        return (np.zeros(0, dtype=np.int64),) * 3
+    new = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))  # the least place never moves left
+    return at[new], begin[new], begin[np.append(new[1:], len(at)) - 1]
+
+
+def windows(text: Column, min_words: int) -> Column:
+    """A struct: content hash of the words, number of words, and the windows as arrays of signature and place (of the signature's first word). Of a signature that a text
+    has at places less than a passage apart only the first is taken: one stretch holds them."""
+    t, gram, w = sizes(min_words)
+
+    def some(hashes):
+        """(signature, place, number for each text) of a few texts."""
+        counts = np.array([len(h) for h in hashes], dtype=np.int64)
+        begin = np.cumsum(counts) - counts
+        h = np.concatenate(hashes)
+        left = np.repeat(begin + counts, counts) - np.arange(len(h))  # words from each place to its text's end
+        g = grams(h, gram)
+        c, _, _ = compact_windows(g, w, (left >= gram + w - 1) & (np.repeat(counts, counts) >= min_words))
+        sig, of = g[c], np.searchsorted(begin, c, "right") - 1
+        order = np.lexsort((c, sig, of))
+        same = np.flatnonzero((sig[order][1:] == sig[order][:-1]) & (of[order][1:] == of[order][:-1]) & (np.diff(c[order]) < t)) + 1
+        keep = np.ones(len(c), dtype=bool)
+        keep[order[same]] = False
+        c, sig, of = c[keep], sig[keep], of[keep]
+        return sig.view(np.int64), (c - begin[of]).astype(np.int32), np.bincount(of, minlength=len(hashes))
 
     def run(texts):
         import pyarrow as pa
 
-        node, n_words, n, parts = [], [], [0], []
+        node, n_words, parts, hashes, size = [], [], [], [], 0
         for text in texts.to_pylist():
-            words, tok = tokens(text)
-            node.append(xxhash.xxh64_intdigest(" ".join(words)) - (1 << 63))
-            n_words.append(len(words))
-            found = 0
-            for s in range(HASHES if len(tok) >= t else 0):
-                h = mixed(tok, s)
-                l, c, r = compact_windows(h, t)
-                parts.append(((h[c] * np.uint64(8) + np.uint64(s)).view(np.int64), l, c, r))
-                found += len(c)
-            n.append(n[-1] + found)
-        sig, l, c, r = (np.concatenate(x) if parts else np.zeros(0, dtype=np.int64) for x in (zip(*parts) if parts else [()] * 4))
-        wins = pa.StructArray.from_arrays([pa.array(sig), *(pa.array(x.astype(np.int32)) for x in (l, c, r))], names=["sig", "l", "c", "r"])
-        lists = pa.ListArray.from_arrays(pa.array(n, pa.int32()), wins)
+            h = word_hashes(text)
+            node.append(xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63))
+            n_words.append(len(h))
+            hashes.append(h)
+            size += len(h)
+            if size >= _STEP:
+                parts.append(some(hashes))
+                hashes, size = [], 0
+        if hashes:
+            parts.append(some(hashes))
+        sig, at, n = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, dtype=k) for k in (np.int64, np.int32, np.int64))
+        wins = pa.StructArray.from_arrays([pa.array(sig), pa.array(at)], names=["key", "at"])
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), wins)
         return pa.StructArray.from_arrays([pa.array(node, pa.int64()), pa.array(n_words, pa.int32()), lists], names=["node", "n_words", "wins"])
 
-    return arrow_udf(run, "struct<node:bigint,n_words:int,wins:array<struct<sig:bigint,l:int,c:int,r:int>>>").asNondeterministic()(text)
-
-
-def _run(a: np.ndarray, b: np.ndarray, i: int, j: int) -> int:
-    """How many tokens from i and j on are equal."""
-    size, most, step = 0, min(len(a) - i, len(b) - j), 64
-    while size < most:
-        step = min(step, most - size)
-        unequal = np.flatnonzero(a[i + size : i + size + step] != b[j + size : j + size + step])
-        if len(unequal):
-            return size + int(unequal[0])
-        size, step = size + step, 2 * step
-    return size
-
-
-class _Chain:
-    """Equal runs of two token arrays, joined rightwards over gaps. A gap is as long as a passage of the similarity can have, whatever its diagonals."""
-
-    def __init__(self, a: np.ndarray, b: np.ndarray):
-        self.a, self.b, self.order = a, b, np.argsort(b, kind="stable")
-        inorder = b[self.order]
-        self.lo, self.hi = (np.searchsorted(inorder, a, side) for side in ("left", "right"))
-        self.hits = np.flatnonzero(self.hi > self.lo)
-        self.gap = int(min(len(a), len(b)) * 2 * (1 - SIMILARITY) / (2 * SIMILARITY))
-
-    def runs(self, i: int, j: int) -> list[tuple[int, int, int]]:
-        """(i, j, size) from equal places i and j on, each time to the nearest equal places."""
-        out = []
-        while True:
-            size = _run(self.a, self.b, i, j)
-            out.append((i, j, size))
-            i, j, best = i + size, j + size, None
-            for h in self.hits[np.searchsorted(self.hits, i) :].tolist():
-                if h - i > self.gap or best and h - i >= best[0]:
+    return arrow_udf(run, "struct<node:bigint,n_words:int,wins:array<struct<key:bigint,at:int>>>").asNondeterministic()(text)
+
+
+def coded(text: Column) -> Column:
+    """A struct: content hash of the words, and the lower 32 bits of the words' hashes as bytes."""
+
+    def run(texts):
+        import pyarrow as pa
+
+        hashes = [word_hashes(t) for t in texts.to_pylist()]
+        node = pa.array([xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63) for h in hashes], pa.int64())
+        return pa.StructArray.from_arrays([node, pa.array([h.astype(np.uint32).tobytes() for h in hashes], pa.binary())], names=["node", "h"])
+
+    return arrow_udf(run, "struct<node:bigint,h:binary>").asNondeterministic()(text)
+
+
+def _tokens_of(h: bytes) -> np.ndarray:
+    return grams(np.frombuffer(h, dtype=np.uint32).astype(np.uint64), SHINGLE)
+
+
+# Verifying two texts
+
+
+class Side:
+    """The tokens of a text, sorted for lookups."""
+
+    def __init__(self, tok: np.ndarray):
+        self.tok, self._sorted = tok, None
+
+    def has(self, x: np.ndarray) -> np.ndarray:
+        if self._sorted is None:
+            self._sorted = np.sort(self.tok)
+        return _isin(x, self._sorted)
+
+
+def _isin(x: np.ndarray, inorder: np.ndarray) -> np.ndarray:
+    if not len(inorder):
+        return np.zeros(len(x), dtype=bool)
+    return inorder[np.minimum(np.searchsorted(inorder, x), len(inorder) - 1)] == x
+
+
+def _gains(common: np.ndarray, need: float) -> np.ndarray:
+    return np.concatenate([[0.0], np.cumsum(common - need)])
+
+
+def _stretch(gain: np.ndarray, p: int, t: int) -> tuple[int, int] | None:
+    """First and last place of the stretch of t places or more about p with the greatest gain; None if there is no room."""
+    n, reach = len(gain) - 1, 512
+    if n < t:
+        return None
+    while True:
+        lo, hi = max(0, p - reach), min(n, p + reach)
+        before = -gain[lo : p + 1]
+        ends = np.arange(max(p, lo + t - 1), hi)
+        if len(ends):
+            begins = np.minimum(p, ends - t + 1) - lo
+            k = int(np.argmax(gain[ends + 1] + np.maximum.accumulate(before)[begins]))
+            x, y = lo + int(np.argmax(before[: begins[k] + 1])), int(ends[k])
+            if (x > lo or lo == 0) and (y < hi - 1 or hi == n):
+                return x, y
+        elif lo == 0 and hi == n:
+            return None
+        reach *= 4
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether the token sets have the similarity."""
+    a, b = np.unique(a), np.unique(b)
+    both = int(_isin(a, b).sum())
+    return both >= SIMILARITY * (len(a) + len(b) - both) - 1e-9
+
+
+#: Shares of common tokens in a stretch that are tried: that of two equally long passages of the similarity, and the least.
+_NEEDS = (2 * SIMILARITY / (1 + SIMILARITY), SIMILARITY)
+
+
+def _near(a: np.ndarray, b: np.ndarray, p: int, q: int, t: int, known: dict):
+    """Spans about p and q whose tokens are compared with those near the other place only, growing from a passage's length; None if none is similar.
+    ``known`` keeps results by the tokens nearby, which repeat in repetitive texts."""
+    x, y = max(0, p - 3 * t), max(0, q - 3 * t)
+    a, b, p, q = a[x : p + 3 * t + 1], b[y : q + 3 * t + 1], p - x, q - y
+    key = (p, q, a.tobytes(), b.tobytes())
+    if key not in known:
+        known[key] = _grown(a, b, p, q, t)
+    if (spans := known[key]) is None:
+        return None
+    (i, j), (k, m) = spans
+    return (i + x, j + x), (k + y, m + y)
+
+
+def _grown(a: np.ndarray, b: np.ndarray, p: int, q: int, t: int):
+    for need in _NEEDS:
+        for reach in (t + SHINGLE, 3 * t):
+            x, y = max(0, p - reach), max(0, q - reach)
+            one, two = a[x : p + reach + 1], b[y : q + reach + 1]
+            theirs = two
+            for _ in range(3):
+                mine = _stretch(_gains(_isin(one, np.sort(theirs)), need), p - x, t)
+                if mine is None:
                     break
-                places = self.order[self.lo[h] : self.hi[h]]
-                k = int(np.searchsorted(places, j))
-                if k < len(places):
-                    cost = h - i + int(places[k]) - j
-                    if cost <= self.gap and (best is None or cost < best[0]):
-                        best = (cost, h, int(places[k]))
-            if best is None:
-                return out
-            i, j = best[1:]
-
-
-def _stretch(runs: list[tuple[int, int, int]], need: float, least: float = 0.0) -> tuple[int, float, int, int]:
-    """(runs taken, gain, tokens of a, of b) of the prefix of runs, the first always taken, with the greatest gain; with ``least`` below 0 the longest one
-    whose gain is at least that. Equal tokens gain, all tokens of both texts cost the share that the similarity needs."""
-    equal, best, at = 0, None, runs[0]
-    for k, (i, j, size) in enumerate(runs):
-        equal += size
-        one, two = i + size - at[0], j + size - at[1]
-        gain = 2 * equal - need * (one + two)
-        if best is None or (gain >= least - 1e-9 if least < 0 else gain > best[1]):
-            best = (k + 1, gain, one, two)
-    return best
-
-
-def compare(a: np.ndarray, b: np.ndarray, anchors, t: int, held: set | None = None) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Spans (first and last token) of the near-duplicate passages of two token arrays. anchors: (l, c, r, l2, c2, r2); those that hold are added to ``held``.
-
-    About an anchor the passages are aligned at c and c2, and the longest stretch is taken in which the share of equal tokens means the similarity;
-    if the alignment breaks, equal runs of other diagonals are joined to it, for inserted and deleted words; then the sets of the tokens of both windows decide.
-    """
-    need, mine, theirs = 2 * SIMILARITY / (1 + SIMILARITY), [], []
-    held = set() if held is None else held
-    chains = None
-    for l, c, r, l2, c2, r2 in sorted(set(anchors), key=lambda w: (w[1], w)):
-        anchor = (l, c, r, l2, c2, r2)
-        if any(_inside(anchor, *spans) for spans in zip(mine, theirs)):
-            held.add(anchor)
-            continue  # inside passages found
-        left, right = min(c, c2), min(len(a) - c, len(b) - c2)
-        same = a[c - left : c + right] == b[c2 - left : c2 + right]
-        gain = np.concatenate([[0.0], np.cumsum(same - need)])
-        begin = int(np.argmin(gain[: left + 1]))
-        end = left + 1 + int(np.argmax(gain[left + 1 :]))
-        if end - begin < t:  # the best stretch is short: the longest that still has the share
-            ends = np.flatnonzero(gain[left + 1 :] >= gain[begin] - 1e-9)
-            end = left + 1 + int(ends[-1]) if len(ends) else begin
-        size = end - begin
-        spans = ((c - left + begin, c - left + end - 1), (c2 - left + begin, c2 - left + end - 1)) if size >= t else None
-        if spans is None and a[c] == b[c2]:
-            chains = chains or (_Chain(a, b), _Chain(a[::-1], b[::-1]))
-            spans = _joined(chains, c, c2, need, t)
-        if spans is None:
-            one, two = set(a[l : r + 1].tolist()), set(b[l2 : r2 + 1].tolist())
-            both = len(one & two)
-            if both >= SIMILARITY * (len(one) + len(two) - both):
-                spans = ((l, r), (l2, r2))
-        if spans is not None:
-            mine.append(spans[0])
-            theirs.append(spans[1])
-            held.add(anchor)
-    return mine, theirs
-
-
-def _inside(anchor, mine: tuple[int, int], theirs: tuple[int, int]) -> bool:
-    """Whether the anchor is on the diagonals of two spans, or its windows are parts of them."""
-    (l, c, r, l2, c2, r2), (x, y), (x2, y2) = anchor, mine, theirs
-    if not (x <= c <= y and x2 <= c2 <= y2):
-        return False
-    return min(x2 - x, y2 - y) <= c2 - c <= max(x2 - x, y2 - y) or (x <= l and r <= y and x2 <= l2 and r2 <= y2)
-
-
-def _joined(chains: tuple[_Chain, _Chain], c: int, c2: int, need: float, t: int) -> tuple[tuple[int, int], tuple[int, int]] | None:
-    """Spans of t tokens or more about equal places c and c2 whose equal runs, joined over gaps, have the share; None if there are none."""
-    n, n2 = len(chains[0].a), len(chains[0].b)
-    ahead, back = chains[0].runs(c, c2), chains[1].runs(n - 1 - c, n2 - 1 - c2)
-    one, two = _stretch(ahead, need), _stretch(back, need)
-    tries = [(one, two), (_stretch(ahead, need, -max(two[1], 1e-6)), two), (one, _stretch(back, need, -max(one[1], 1e-6)))]
-    for (_, gain, x, x2), (_, more, y, y2) in tries:
-        spare = gain + more - 2 * (1 - need)  # the anchor's token counts once
-        sides = []
-        for at, size, before, after in ((c, n, y, x), (c2, n2, y2, x2)):
-            first, last = at - before + 1, at + after - 1
-            pad = max(0, t - (last - first + 1))  # unequal tokens at the edges
-            spare -= need * pad
-            last, pad = min(size - 1, last + pad), max(0, pad - (size - 1 - last))
-            first -= pad
-            sides.append((first, last))
-        if spare >= -1e-9 and min(x for x, _ in sides) >= 0:
-            return sides[0], sides[1]
+                ours = one[mine[0] : mine[1] + 1]
+                back = _stretch(_gains(_isin(two, np.sort(ours)), need), q - y, t)
+                if back is None:
+                    break
+                if back[1] - back[0] + 1 == len(theirs):
+                    break
+                theirs = two[back[0] : back[1] + 1]
+                if similar(ours, theirs):
+                    return (mine[0] + x, mine[1] + x), (back[0] + y, back[1] + y)
     return None
 
 
-def keyed(sig: np.ndarray, l: np.ndarray, c: np.ndarray, r: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key, index) for every two windows of different functions that hold a common passage of length t: a hash of the two signatures in the order of
-    their places, and the first window. An interval join by blocks of rows: memory stays small for any text."""
-    order = np.argsort(c, kind="stable")
-    sig, l, c, r = sig.view(np.uint64)[order], l[order], c[order], r[order]
-    kind = sig & np.uint64(7)
-    keys, at = [], []
-    for begin in range(0, len(c), 256):
-        i = slice(begin, begin + 256)
-        far = int(np.searchsorted(c, r[i].max(), "right"))  # those that begin after all of these end can't meet them
-        j = slice(begin, far)
-        ok = (c[j] >= c[i, None]) & (c[j] <= r[i, None]) & (l[j] <= c[i, None]) & (kind[j] != kind[i, None])
-        ok &= np.minimum(r[j], r[i, None]) - np.maximum(l[j], l[i, None]) + 1 >= t
-        x, y = np.nonzero(ok)
-        keys.append(mixed(mixed(sig[i][x], 7) + sig[j][y], 8).view(np.int64))
-        at.append(order[begin + x])
-    return (np.concatenate(keys), np.concatenate(at)) if keys else (np.zeros(0, dtype=np.int64),) * 2
-
-
-def _keys(left: DataFrame, t: int) -> DataFrame:
-    """Rows (sig, node, n_words, l, c, r), sig now being the key of two windows, from windows; those of one text are one row of arrays."""
-    names = ("sig", "l", "c", "r")
-    rows = left.groupBy("node", "n_words").agg(F.collect_list(F.struct(*names)).alias("w")).select("node", "n_words", *[F.col(f"w.{x}").alias(x) for x in names])
+def _possible(gain: np.ndarray, t: int) -> np.ndarray:
+    """The places about which there is a stretch of t places or more that gains."""
+    n = len(gain) - 1
+    if n < t:
+        return np.zeros(n, dtype=bool)
+    least = np.minimum.accumulate(gain)
+    ending = np.full(n, -np.inf)  # best stretch that ends at a place
+    ending[t - 1 :] = gain[t:] - least[: n - t + 1]
+    best, size = ending, 1
+    while size < t:  # the greatest of t places in a row
+        step = min(size, t - size)
+        best = np.maximum(best, np.append(best[step:], np.full(step, -np.inf)))
+        size += step
+    far = np.maximum.accumulate(gain[::-1])[::-1]
+    after = np.append(far[t:], np.full(t - 1, -np.inf))[:n]  # ends t - 1 places on, or later
+    return np.maximum(best, after - least[:-1]) >= -1e-9
 
-    def run(batches):
-        import pyarrow as pa
 
-        for b in batches:
-            flat = [b.column(x).flatten().to_numpy(zero_copy_only=False) for x in names]
-            ends = np.cumsum([0, *b.column("sig").value_lengths().to_numpy(zero_copy_only=False)])
-            key, at, of = [], [], []
-            for k in range(b.num_rows):
-                x, y = keyed(*(f[ends[k] : ends[k + 1]] for f in flat), t)
-                key.append(x)
-                at.append(ends[k] + y)
-                of.append(np.full(len(x), k))
-            if key:
-                at, of = np.concatenate(at), np.concatenate(of)
-                node, words = (b.column(x).to_numpy(zero_copy_only=False)[of] for x in ("node", "n_words"))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key)), pa.array(node), pa.array(words), *(pa.array(f[at]) for f in flat[1:])], names=["sig", "node", "n_words", "l", "c", "r"])
-
-    return rows.mapInArrow(run, "sig bigint, node bigint, n_words int, l int, c int, r int")
+def compare(a: Side, b: Side, keys: list[tuple[list[int], list[int]]], t: int, gram: int):
+    """Spans (first and last token) of near-duplicate passages about the anchors, and for each key whether none of its places was verified.
+
+    keys: for each the places of its words in a and in b. About two places the stretches of a and b are taken whose tokens the other text has; if
+    those are not similar (a stretch may hold two passages), the stretches whose tokens are common near the places.
+    """
+    mine, theirs, tried, found = [], [], {}, {}
+    common = b.has(a.tok), a.has(b.tok)
+    gains = {(k, need): _gains(common[k], need) for k in (0, 1) for need in _NEEDS}
+    may = [_possible(gains[k, SIMILARITY], t) for k in (0, 1)]
+
+    def about(k: int, p: int, need: float):
+        if (k, p, need) not in found:
+            found[k, p, need] = _stretch(gains[k, need], p, t)
+        return found[k, p, need]
+
+    def spans(p: int, q: int):
+        for need in _NEEDS:
+            one, two = about(0, p, need), about(1, q, need)
+            if one is None or two is None:
+                return None
+            if (one, two) not in tried:
+                tried[one, two] = similar(a.tok[one[0] : one[1] + 1], b.tok[two[0] : two[1] + 1])
+            if tried[one, two]:
+                return one, two
+        return _near(a.tok, b.tok, p, q, t, near)
+
+    near = {}
+    half, refuted = (gram - SHINGLE) // 2, []
+    for at, there in keys:
+        places, held = [q + half for q in there if may[1][q + half]], False
+        for p in [p + half for p in at if may[0][p + half]] if places else ():
+            if any(x <= p <= y and any(x2 <= q <= y2 for q in places) for (x, y), (x2, y2) in zip(mine, theirs)):
+                held = True  # joined to passages found
+                continue
+            if len(places) > 1:  # those with enough tokens in common nearby, the most first
+                nearby = np.flatnonzero(_isin(b.tok, np.sort(a.tok[max(0, p - 2 * t) : p + 2 * t + 1])))
+                q = np.array(places)
+                n = np.searchsorted(nearby, q + 2 * t, "right") - np.searchsorted(nearby, q - 2 * t)
+                places = [places[k] for k in np.argsort(-n, kind="stable").tolist() if n[k] >= SIMILARITY * t]
+            one = next((s for s in (spans(p, q) for q in places) if s is not None), None)
+            if one is not None:
+                held = True
+                mine.append(one[0])
+                theirs.append(one[1])
+        refuted.append(not held)
+    return mine, theirs, refuted
+
+
+def _equal_run(a: np.ndarray, b: np.ndarray, p: int, q: int) -> tuple[int, int]:
+    """The first and last place of the equal tokens about equal places p and q of a and b."""
+    most = min(len(a) - p, len(b) - q)
+    unequal = np.flatnonzero(a[p : p + most] != b[q : q + most])
+    last = p + (int(unequal[0]) if len(unequal) else most) - 1
+    most = min(p, q)
+    unequal = np.flatnonzero(a[p - most : p][::-1] != b[q - most : q][::-1])
+    return p - (int(unequal[0]) if len(unequal) else most), last
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -288,114 +343,248 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _verify(pairs: DataFrame, t: int) -> DataFrame:
-    """pairs: u, v, n_words, keys (sig, star, and windows w and w2 of u and v), and texts a, b. Rows (u, v, n_words, mine, theirs, rest): word spans, and for the
-    keys with a star those windows of u that no window of v verified."""
+_SPANS = "array<struct<first:int,last:int>>"
+
+
+def _verify(met: DataFrame, arrays: DataFrame, t: int, gram: int) -> DataFrame:
+    """met: key, u, v, and the places of the key in u and in v. Rows (u, v, mine, theirs, rest): word spans, and the keys of which no place was verified."""
+    pairs = met.groupBy("u", "v").agg(F.collect_list(F.struct("key", "places", "there")).alias("keys"))  # of one text's windows
+    one = pairs.join(arrays.select(F.col("node").alias("u"), F.col("h").alias("a")), "u")
+    both = one.join(arrays.select(F.col("node").alias("v"), F.col("h").alias("b")), "v")
 
     def run(batches):
         import pyarrow as pa
 
-        window = pa.struct([(x, pa.int32()) for x in "lcr"])
-        kinds = (pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])), pa.list_(pa.struct([("sig", pa.int64()), ("w", pa.list_(window))])))
-        last, b = None, None
+        kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+        leader, b = None, None
         for batch in batches:
             mine, theirs, rest = [], [], []
+            us, vs, told = (batch.column(c).to_pylist() for c in ("u", "v", "keys"))
             for i in range(batch.num_rows):
-                lead = batch.column("v")[i].as_py()
-                if lead != last:  # rows arrive by leader
-                    last, (_, b) = lead, tokens(batch.column("b")[i].as_py())
-                _, a = tokens(batch.column("a")[i].as_py())
-                keys, held = batch.column("keys")[i].as_py(), set()
-                places = [([tuple(w.values()) for w in k["w"]], [tuple(w.values()) for w in k["w2"]]) for k in keys]
-                found = compare(a, b, {(*x, *y) for one, two in places for x in one for y in two}, t, held)
-                for side, spans in zip((mine, theirs), found):
-                    side.append([{"first": x, "last": y + SHINGLE - 1} for x, y in _merged(spans)])
-                left = [(k["sig"], [x for x in one if not any((*x, *y) in held for y in two)]) for k, (one, two) in zip(keys, places) if k["star"]]
-                rest.append([{"sig": sig, "w": [dict(zip("lcr", x)) for x in xs]} for sig, xs in left if xs])
+                if vs[i] != leader:  # rows arrive by leader
+                    leader, b = vs[i], Side(_tokens_of(batch.column("b")[i].as_py()))
+                a = Side(_tokens_of(batch.column("a")[i].as_py()))
+                *spans, refuted = compare(a, b, [(k["places"], k["there"]) for k in told[i]], t, gram)
+                for side, found in zip((mine, theirs), spans):
+                    side.append([{"first": x, "last": y + SHINGLE - 1} for x, y in _merged(found)])
+                rest.append([k["key"] for k, bad in zip(told[i], refuted) if bad])
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(x) for x in ("u", "v", "n_words")), pa.array(mine, kinds[0]), pa.array(theirs, kinds[0]), pa.array(rest, kinds[1])],
-                names=["u", "v", "n_words", "mine", "theirs", "rest"],
+                [pa.array(us, pa.int64()), pa.array(vs, pa.int64()), pa.array(mine, kind), pa.array(theirs, kind), pa.array(rest, pa.list_(pa.int64()))],
+                names=["u", "v", "mine", "theirs", "rest"],
             )
 
-    kind = "array<struct<first:int,last:int>>"
-    rest = "array<struct<sig:bigint,w:array<struct<l:int,c:int,r:int>>>>"
-    return pairs.select("u", "v", "n_words", "keys", "a", "b").mapInArrow(run, f"u bigint, v bigint, n_words int, mine {kind}, theirs {kind}, rest {rest}")
+    return both.select("u", "v", "keys", "a", "b").mapInArrow(run, f"u bigint, v bigint, mine {_SPANS}, theirs {_SPANS}, rest array<bigint>")
+
 
+def _told_apart(groups: DataFrame, arrays: DataFrame, t: int, gram: int) -> DataFrame:
+    """``groups`` (key, node, at, told, with the place ``there`` of the key's leader v) under every key together with a token near it. Tokens that are equal in the leader are left out where
+    ``told`` is false, that is where it refuted the text: what the text shares with others beyond that has one of the rest."""
+    rows = groups.join(arrays.select("node", F.col("h").alias("a")), "node").join(arrays.select(F.col("node").alias("v"), F.col("h").alias("b")), "v")
 
-def _shared(wins: DataFrame, tables: Tables) -> DataFrame:
-    """Those whose signature occurs in more than one text."""
-    return wins.join(tables.put(wins.groupBy("sig").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("sig")), "sig")
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            out = [[], [], []]
+            for r in b.to_pylist():
+                tok, lead, p = _tokens_of(r["a"]), _tokens_of(r["b"]), r["at"]
+                first, last = (0, -1) if r["told"] else _equal_run(tok, lead, p, r["there"])
+                near = np.unique(np.concatenate([tok[max(0, p - t) : first], tok[last + 1 : p + gram + t]]) if last >= first else tok[max(0, p - t) : p + gram + t])
+                mix = mixed(near ^ np.array([r["key"]]).view(np.uint64), 3).view(np.int64)
+                out[0] += mix.tolist()
+                out[1] += [r["node"]] * len(mix)
+                out[2] += [p] * len(mix)
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int64(), pa.int32()))], names=["key", "node", "at"])
+
+    return rows.select("key", "node", "at", "there", "told", "a", "b").mapInArrow(run, "key bigint, node bigint, at int")
+
+
+#: Texts that are compared with one group's leaders in one task, about.
+BLOCK = 4_096
+
+
+def _by_leaders(groups: DataFrame, arrays: DataFrame, t: int, gram: int) -> DataFrame:
+    """Rows (u, v, mine, theirs): verified pairs of the leaders and all others of ``groups`` (key, node, at, comp, covered, leads), in which two texts that are connected and
+    whose places are both covered are not compared. Groups are dealt in blocks, each with all the leaders first; only the words about a place travel."""
+    reach = 3 * t + SHINGLE
+    half, width = (gram - SHINGLE) // 2, 2 * reach + gram
+
+    def cut(batches):
+        import pyarrow as pa
+
+        kinds = dict(key=pa.int64(), node=pa.int64(), at=pa.int32(), comp=pa.int64(), covered=pa.bool_(), leads=pa.bool_(), block=pa.int32(), begin=pa.int32(), h=pa.binary())
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                h = r["h"]
+                for g in r["g"]:
+                    begin = max(0, g["at"] - reach)
+                    g = g | {"node": r["node"], "begin": begin, "h": h[4 * begin : 4 * (g["at"] + gram + reach)]}
+                    out += [g | {"block": k} for k in (range(g["blocks"]) if g["leads"] else (g["block"],))]
+            yield pa.RecordBatch.from_arrays([pa.array([g[c] for g in out], kind) for c, kind in kinds.items()], names=list(kinds))
+
+    blocks = groups.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = groups.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node", "at"), F.col("blocks")).cast("int"))
+    rows = rows.groupBy("node").agg(F.collect_list(F.struct("key", "at", "comp", "covered", "leads", "blocks", "block")).alias("g"))
+    rows = rows.join(arrays, "node").select("node", "g", "h")
+    rows = rows.mapInArrow(cut, "key bigint, node bigint, at int, comp bigint, covered boolean, leads boolean, block int, begin int, h binary")
+    rows = rows.repartition("key", "block").sortWithinPartitions("key", "block", F.col("leads").desc(), "node", "at")
+
+    def run(batches):
+        import pyarrow as pa
+
+        kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+        block = None
+        for batch in batches:
+            out = [[], [], [], []]
+            for r in batch.to_pylist():
+                if block is None or block.name != (r["key"], r["block"]):
+                    block = _Block((r["key"], r["block"]), t, half, width)
+                for u, v, mine, theirs in block.met(r):
+                    for x, value in zip(out, (u, v, [mine], [theirs])):
+                        x.append(value)
+            names = ["u", "v", "mine", "theirs"]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int64(), kind, kind))], names=names)
+
+    return rows.mapInArrow(run, f"u bigint, v bigint, mine {_SPANS}, theirs {_SPANS}")
+
+
+class _Block:
+    """The leaders of a group, each with the words about its place, and the texts that meet them one by one."""
+
+    def __init__(self, name, t: int, half: int, width: int):
+        self.name, self.t, self.half, self.width, self.middle = name, t, half, width, (width - half) // 2
+        self.leaders: list[dict] = []
+        self.lines, self.above, self.known = np.zeros((0, width), dtype=np.uint64), {}, {}
+        ends = np.arange(max(self.middle, t - 1), width)
+        self.ends, self.begins = ends + 1, np.minimum(self.middle, ends - t + 1)
+
+    def root(self, x):
+        while (y := self.above.get(x, x)) != x:
+            x = self.above[x] = self.above.get(y, y)
+        return x
+
+    def met(self, r: dict):
+        """(u, v, span of u, span of v) of the leaders v that a text has a passage in common with."""
+        tok = _tokens_of(r["h"])
+        p = r["at"] - r["begin"] + self.half
+        if p >= len(tok):
+            return
+        asked = [k for k, x in enumerate(self.leaders) if x["node"] != r["node"] and not (x["covered"] and r["covered"] and self.root(x["comp"]) == self.root(r["comp"]))]
+        if asked:
+            lines = self.lines[asked]
+            gain = np.zeros((len(asked), self.width + 1))
+            np.cumsum((_isin(lines.ravel(), np.sort(tok)).reshape(lines.shape) & (lines != 0)) - SIMILARITY, axis=1, out=gain[:, 1:])
+            best = (gain[:, self.ends] - np.minimum.accumulate(gain, axis=1)[:, self.begins]).max(axis=1)
+            for k in np.array(asked)[best >= -1e-9].tolist():
+                x = self.leaders[k]
+                if x["covered"] and r["covered"] and self.root(x["comp"]) == self.root(r["comp"]):
+                    continue
+                if (spans := _near(tok, x["tok"], p, x["p"], self.t, self.known)) is not None:
+                    one, two = self.root(r["comp"]), self.root(x["comp"])
+                    self.above[max(one, two)] = min(one, two)
+                    r["covered"] = x["covered"] = True
+                    yield r["node"], x["node"], *({"first": i + y["begin"], "last": j + y["begin"] + SHINGLE - 1} for (i, j), y in zip(spans, (r, x)))
+        if r["leads"]:
+            line = np.zeros((1, self.width), dtype=np.uint64)
+            left, right = min(p, self.middle), min(len(tok) - p, self.width - self.middle)
+            line[0, self.middle - left : self.middle + right] = tok[p - left : p + right]
+            self.lines = np.concatenate([self.lines, line])
+            self.leaders.append(r | {"tok": tok, "p": p})
+
+
+def _settled(cells: DataFrame, arrays: DataFrame, tables: Tables, t: int, gram: int) -> DataFrame:
+    """The verified pairs (u, v, mine, theirs) among ``cells`` (key, node, n_words, places, part).
+
+    First each text is compared with the leader of its keys. A text that is not connected to it then by any pair, or whose place no passage covers yet, becomes a leader of that key
+    itself and is compared with all others of the key, FEW a round; rounds end when none is left. No two texts of a key are then untried, but those that are
+    connected and have passages about the key. A key that still has more than FEW such texts after a round is told apart by the tokens nearby.
+    """
+    # The leader is a text whose windows are mostly shared: an edited copy has many of its own.
+    first = cells.groupBy("key").agg(F.min(F.struct("part", "n_words", "node", "places")).alias("lead"))
+    first = tables.put(first.select("key", F.col("lead.node").alias("v"), F.col("lead.places").alias("there")))
+    held = tables.put(_verify(cells.join(first, "key").where("node <> v").withColumnRenamed("node", "u"), arrays, t, gram))
+    found = held.where(F.size("mine") > 0).select("u", "v", "mine", "theirs")
+    refuted = tables.put(held.select(F.explode("rest").alias("key")).distinct())
+    groups = cells.join(refuted, "key").join(first, "key")
+    groups = groups.select("key", "node", F.explode("places").alias("at"), (F.col("node") == F.col("v")).alias("done"), "v", F.col("there")[0].alias("there"))
+    groups, turn = tables.put(groups), 0
+    while True:
+        comp = components(found.select("u", "v"), tables)
+        sides = found.select(F.col("u").alias("node"), F.explode("mine").alias("s")).union(found.select("v", F.explode("theirs")))
+        sides = sides.groupBy("node").agg(F.collect_set("s").alias("spans"))
+        now = groups.join(comp, "node", "left").join(sides, "node", "left").withColumn("comp", F.coalesce("root", "node"))
+        now = now.withColumn("covered", F.coalesce(F.exists("spans", lambda s: (s["first"] <= F.col("at")) & (s["last"] >= F.col("at") + gram - 1)), F.lit(False)))
+        now = tables.put(now.select("key", "node", "at", "done", "v", "there", "comp", "covered"))
+        main = now.groupBy("key").agg(F.min(F.struct(~F.col("done"), "comp")).alias("m"))
+        now = now.join(main, "key").withColumn("pending", ~F.col("done") & ((F.col("comp") != F.col("m.comp")) | ~F.col("covered"))).drop("m")
+        count = now.groupBy("key").agg(F.count_if("pending").alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).where("n > 0 and a < b")
+        now = tables.put(now.join(count.select("key", "n"), "key"))
+        if now.isEmpty():
+            return found
+        if turn == 1 and not (many := tables.put(now.where(F.col("n") > FEW))).isEmpty():
+            apart = _told_apart(many.withColumn("told", ~F.col("pending")), arrays, t, gram).distinct()
+            apart = apart.select("key", "node", "at", F.lit(False).alias("done"), F.col("node").alias("v"), F.col("at").alias("there"))
+            groups, turn = tables.put(now.where(F.col("n") <= FEW).select(apart.columns).union(apart)), 2
+            continue
+        rank = F.row_number().over(Window.partitionBy("key").orderBy("node", "at"))
+        lead = now.where("pending").select("key", "node", "at", rank.alias("rank")).where(F.col("rank") <= FEW).select("key", "node", "at", F.lit(True).alias("leads"))
+        now = tables.put(now.join(lead, ["key", "node", "at"], "left").withColumn("leads", F.coalesce("leads", F.lit(False))))
+        more = tables.put(_by_leaders(now.select("key", "node", "at", "comp", "covered", "leads"), arrays, t, gram))
+        found = tables.put(found.union(more))
+        groups = tables.put(now.select("key", "node", "at", (F.col("done") | F.col("leads")).alias("done"), "v", "there"))
+        turn += 1
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, label: str = "passages") -> DataFrame:
-    """Rows (doc_id, component_id, n_representatives, n_repeated, spans) for the documents that share a passage of min_words or more with another document.
+    """Rows (doc_id, component_id, n_representatives, n_repeated, spans), one for each row of ``docs`` (doc_id, text).
 
-    spans: word offsets ``first-last``, comma-joined; n_repeated: words in them; n_representatives: distinct representatives of a key (or members of small groups) it was verified with; component_id: the least
-    id that passages connect it to. Copies repeat as a whole; repeated rows are copies. Shorter texts, null and empty ones have no passages. A null id
-    never names a component unless all ids are null. An empty table gives an empty table.
+    spans: word offsets ``first-last``, comma-joined, of the passages of min_words or more that another document has too, or a near-duplicate of them; empty
+    if there are none. n_repeated: words in them; n_representatives: different texts that its passages were verified with; component_id: the least id that
+    passages connect it to, its own if none. Copies of min_words or more repeat as a whole; repeated rows are copies. Shorter texts, null and empty ones have no passages. A null
+    id never names a component unless all ids are null. An empty table gives an empty table. A text of any length is read whole.
     """
-    tables, t = Tables(docs.sparkSession, label), max(1, min_words - SHINGLE + 1)
-    told = tables.put(docs.select("doc_id", windows(F.col("text"), t).alias("w")).select("doc_id", "w.*"))
-    rows = told.where(F.col("n_words") >= min_words).select("doc_id", "node", "n_words")
+    tables, (t, gram, _) = Tables(docs.sparkSession, label), sizes(min_words)
+    told = tables.put(docs.select("doc_id", windows(F.col("text"), min_words).alias("w")).select("doc_id", "w.*"))
+    rows = told.select("doc_id", "node", "n_words")
     nodes = tables.put(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.min("n_words").alias("n_words")))
-    wins = told.where(F.size("wins") > 0).join(nodes.select("node", "least"), "node").where(F.col("doc_id").eqNullSafe(F.col("least")))
-    wins = wins.select("node", "n_words", F.explode("wins").alias("w")).select("node", "n_words", "w.*")
-    left = tables.put(_keys(_shared(wins, tables), t))
+    cells = told.select("node", "n_words", F.explode("wins").alias("w")).select("w.key", "node", "n_words", "w.at")
+    shared = tables.put(cells.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("key"))
     # One row for each key and text, with all the places where the text has it.
-    left = tables.put(_shared(left, tables).groupBy("sig", "node", "n_words").agg(F.sort_array(F.collect_set(F.struct("l", "c", "r"))).alias("w")))
-    texts = tables.put(docs.select("doc_id", "text").join(nodes.select(F.col("least").alias("doc_id"), "node"), "doc_id").select("node", "text").join(left.select("node").distinct(), "node", "left_semi"))
-    found = None
-    for turn in range(MAX_ROUNDS):
-        leader = left.groupBy("sig").agg(F.min(F.struct("n_words", "node", "w")).alias("lead"), F.max(F.struct("n_words", "node")).alias("other"), F.count("*").alias("n"))
-        leader = tables.put(leader.where("lead.node <> other.node").select("sig", "n", F.col("lead.node").alias("v"), F.col("lead.w").alias("w2")))
-        if leader.isEmpty():
-            break
-        few = F.col("n") <= (PAIRS_UP_TO if turn >= PAIRS_FROM else 0)
-        met = left.join(leader.where(~few).drop("n"), "sig").where("node <> v").withColumn("star", F.lit(True))
-        if turn >= PAIRS_FROM:
-            mine = left.join(leader.where(few).select("sig"), "sig")
-            theirs = mine.select("sig", F.col("node").alias("v"), F.col("w").alias("w2"))
-            met = met.union(mine.join(theirs, "sig").where("node > v").withColumn("star", F.lit(False)).select(*met.columns))  # at most PAIRS_UP_TO members
-        keys = F.collect_list(F.struct("sig", "star", "w", "w2")).alias("keys")
-        pairs = met.groupBy(F.col("node").alias("u"), "v", "n_words").agg(keys)  # of one text's windows
-        one = pairs.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
-        held = tables.put(_verify(one.join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v"), t))
-        good = held.where(F.size("mine") > 0).select("u", "v", "mine", "theirs")
-        found = good if found is None else found.union(good)
-        # A member stays in a key's group until a passage about that very key is verified.
-        left = tables.put(held.select(F.col("u").alias("node"), "n_words", F.explode("rest").alias("k")).select("k.sig", "node", "n_words", "k.w"))
-    else:
-        raise RuntimeError(f"leaders did not settle in {MAX_ROUNDS} rounds")
+    cells = tables.put(cells.join(shared, "key").groupBy("key", "node", "n_words").agg(F.sort_array(F.collect_set("at")).alias("places")))
+    own = cells.groupBy("node").agg(F.round(F.count("*") / F.first("n_words"), 2).alias("part"))
+    cells = tables.put(cells.join(own, "node").select("key", "node", "n_words", "places", (-F.col("part")).alias("part")))
+    asked = tables.put(cells.select("node").distinct())
+    ids = nodes.join(asked, "node").select(F.col("least").alias("doc_id"))
+    texts = docs.select("doc_id", "text")
+    texts = texts.join(small(ids.where("doc_id is not null")), "doc_id", "left_semi").union(texts.where("doc_id is null"))
+    arrays = texts.select(coded(F.col("text")).alias("c")).select("c.*").join(asked, "node", "left_semi")
+    arrays = tables.put(arrays.groupBy("node").agg(F.first("h").alias("h")))
+    found = _settled(cells, arrays, tables, t, gram)
 
     whole = F.array(F.struct(F.lit(0).alias("first"), (F.col("n_words") - 1).alias("last")))
-    sides = nodes.where("n > 1").select("node", F.lit(None).cast("bigint").alias("with"), whole.alias("spans"))
-    if found is not None:
-        sides = sides.union(found.select("u", "v", "mine")).union(found.select("v", "u", "theirs"))
-        roots = components(found.select("u", "v"), tables)
-    else:
-        roots = nodes.select("node", F.col("node").alias("root")).limit(0)
+    sides = nodes.where((F.col("n") > 1) & (F.col("n_words") >= min_words)).select("node", F.lit(None).cast("bigint").alias("with"), whole.alias("spans"))
+    sides = sides.union(found.select("u", "v", "mine")).union(found.select("v", "u", "theirs"))
+    sides = tables.put(sides)
+    roots = components(sides.where(F.col("with").isNotNull()).select(F.col("node").alias("u"), F.col("with").alias("v")), tables)
     # A text's spans are folded place by place: a text has few, however many others share them.
     edges = sides.select("node", F.explode("spans").alias("s")).groupBy("node", "s.first", "s.last").agg(F.lit(1))
     spans = edges.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans"))
-    start = F.array().cast("array<struct<first:int,last:int>>")
 
     def fold(acc: Column, s: Column) -> Column:
         last = F.element_at(acc, -1)
         wider = F.struct(last["first"].alias("first"), F.greatest(last["last"], s["last"]).alias("last"))
-        return F.when((F.size(acc) > 0) & (s["first"] <= last["last"] + 1), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(wider))).otherwise(F.concat(acc, F.array(s)))
+        return F.when(s["first"] <= last["last"] + 1, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(wider))).otherwise(F.concat(acc, F.array(s)))
 
-    # The guard keeps element_at from an empty array.
-    joined = F.aggregate(F.slice("spans", 2, 1 << 30), F.slice("spans", 1, 1).cast("array<struct<first:int,last:int>>"), fold)
-    spans = spans.select("node", F.when(F.size("spans") > 0, joined).otherwise(start).alias("spans"))
+    spans = spans.select("node", F.aggregate(F.slice("spans", 2, 1 << 30), F.slice("spans", 1, 1), fold).alias("spans"))
     links = sides.where(F.col("with").isNotNull()).groupBy("node").agg(F.count_distinct("with").alias("n_representatives"))
-    about = spans.join(links, "node", "left").join(nodes.select("node", "least"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    about = nodes.select("node", "least").join(spans, "node", "left").join(links, "node", "left").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     about = tables.put(about)
     names = about.groupBy("root").agg(F.min("least").alias("component_id"))
-    about = about.join(names, "root")
-    size = F.aggregate("spans", F.lit(0), lambda acc, s: acc + s["last"] - s["first"] + 1)
+    size = F.coalesce(F.aggregate("spans", F.lit(0), lambda acc, s: acc + s["last"] - s["first"] + 1), F.lit(0))
     text = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["first"].cast("string"), s["last"].cast("string"))), ",")
-    told_nodes = tables.put(about.select("node", "component_id", F.coalesce("n_representatives", F.lit(0)).alias("n_representatives"), size.cast("bigint").alias("n_repeated"), text.alias("spans")))
-    return rows.select("doc_id", "node").join(told_nodes, "node").select("doc_id", "component_id", "n_representatives", "n_repeated", "spans")
+    names = about.join(names, "root").select("node", "component_id", F.coalesce("n_representatives", F.lit(0)).alias("n_representatives"), size.cast("bigint").alias("n_repeated"), F.coalesce(text, F.lit("")).alias("spans"))
+    return rows.select("doc_id", "node").join(names, "node").select("doc_id", "component_id", "n_representatives", "n_repeated", "spans")
 
 
 def op2_repeated_passages(spark, sf_dir: str) -> DataFrame:

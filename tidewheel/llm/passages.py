@@ -48,7 +48,7 @@ def sizes(min_words: int = MIN_WORDS) -> tuple[int, int, int]:
     t = max(1, min_words - SHINGLE + 1)
     lost = round(8 * SIMILARITY / (1 - SIMILARITY))
     run = min(-(-max(t - 4 * (m - 1), lost * (m - 1)) // m) for m in range(1, t + 2)) + SHINGLE - 1
-    w = max(1, run * 11 // 25)
+    w = min(max(1, run * 11 // 25), run - SHINGLE + 1)
     return t, run - w + 1, w
 
 
@@ -221,10 +221,10 @@ _NEEDS = (2 * SIMILARITY / (1 + SIMILARITY), SIMILARITY)
 
 
 def _near(a: np.ndarray, b: np.ndarray, p: int, q: int, t: int, known: dict):
-    """Spans about p and q whose tokens are compared with those near the other place only, growing from a passage's length; None if none is similar.
+    """Spans about p and q whose tokens are compared with those near the other place only, up to two passages' length away; None if none is similar.
     ``known`` keeps results by the tokens nearby, which repeat in repetitive texts."""
-    x, y = max(0, p - 3 * t), max(0, q - 3 * t)
-    a, b, p, q = a[x : p + 3 * t + 1], b[y : q + 3 * t + 1], p - x, q - y
+    x, y = max(0, p - 2 * t), max(0, q - 2 * t)
+    a, b, p, q = a[x : p + 2 * t + 1], b[y : q + 2 * t + 1], p - x, q - y
     key = (p, q, a.tobytes(), b.tobytes())
     if key not in known:
         known[key] = _grown(a, b, p, q, t)
@@ -235,27 +235,35 @@ def _near(a: np.ndarray, b: np.ndarray, p: int, q: int, t: int, known: dict):
 
 
 def _grown(a: np.ndarray, b: np.ndarray, p: int, q: int, t: int):
-    for need in _NEEDS:
-        for reach in (t + SHINGLE, 3 * t):
-            x, y = max(0, p - reach), max(0, q - reach)
-            one, two = a[x : p + reach + 1], b[y : q + reach + 1]
-            theirs = two
-            for _ in range(3):
-                mine = _stretch(_gains(_isin(one, np.sort(theirs)), need), p - x, t)
-                if mine is None:
-                    break
-                ours = one[mine[0] : mine[1] + 1]
-                back = _stretch(_gains(_isin(two, np.sort(ours)), need), q - y, t)
-                if back is None:
-                    break
-                if back[1] - back[0] + 1 == len(theirs):
-                    break
-                theirs = two[back[0] : back[1] + 1]
-                if similar(ours, theirs):
-                    return (mine[0] + x, mine[1] + x), (back[0] + y, back[1] + y)
+    common = _isin(a, np.sort(b)), _isin(b, np.sort(a))
+    # Passages of the similarity have the least share on both sides, and on one side that of equally long ones.
+    best = [[_most(c, at, t, need) for c, at in zip(common, (p, q))] for need in _NEEDS]
+    if min(best[1]) < -1e-9 or max(best[0]) < -1e-9:
+        return None
+    for need in (*_NEEDS, 1.0):  # at last the stretches with the fewest tokens that are not common
+        mine, last = _stretch(_gains(common[0], need), p, t), None
+        while mine is not None and mine != last:
+            last, ours = mine, a[mine[0] : mine[1] + 1]
+            back = _stretch(_gains(_isin(b, np.sort(ours)), need), q, t)
+            if back is None:
+                break
+            theirs = b[back[0] : back[1] + 1]
+            if similar(ours, theirs):
+                return mine, back
+            narrow = _stretch(_gains(_isin(a, np.sort(theirs)), need), p, t)
+            if narrow is None or narrow[1] - narrow[0] >= mine[1] - mine[0]:
+                break
+            mine = narrow
     return None
 
 
+def _most(common: np.ndarray, p: int, t: int, need: float) -> float:
+    """The greatest gain of a stretch of t places or more about p."""
+    gain = _gains(common, need)
+    found = _stretch(gain, p, t)
+    return -np.inf if found is None else gain[found[1] + 1] - gain[found[0]]
+
+
 def _possible(gain: np.ndarray, t: int) -> np.ndarray:
     """The places about which there is a stretch of t places or more that gains."""
     n = len(gain) - 1
@@ -301,24 +309,32 @@ def compare(a: Side, b: Side, keys: list[tuple[list[int], list[int]]], t: int, g
                 return one, two
         return _near(a.tok, b.tok, p, q, t, near)
 
+    def best(p: int, places: list[int], side: int):
+        """The spans about place p of one side and one of the other's places: those with enough tokens in common nearby, the most first."""
+        if len(places) > 1:
+            own, other = (a.tok, b.tok) if side == 0 else (b.tok, a.tok)
+            nearby = np.flatnonzero(_isin(other, np.sort(own[max(0, p - 2 * t) : p + 2 * t + 1])))
+            q = np.array(places)
+            n = np.searchsorted(nearby, q + 2 * t, "right") - np.searchsorted(nearby, q - 2 * t)
+            places = [places[k] for k in np.argsort(-n, kind="stable").tolist() if n[k] >= SIMILARITY * t]
+        pairs = ((p, q) if side == 0 else (q, p) for q in places)
+        return next((s for s in (spans(*pair) for pair in pairs) if s is not None), None)
+
     near = {}
     half, refuted = (gram - SHINGLE) // 2, []
     for at, there in keys:
-        places, held = [q + half for q in there if may[1][q + half]], False
-        for p in [p + half for p in at if may[0][p + half]] if places else ():
-            if any(x <= p <= y and any(x2 <= q <= y2 for q in places) for (x, y), (x2, y2) in zip(mine, theirs)):
-                held = True  # joined to passages found
-                continue
-            if len(places) > 1:  # those with enough tokens in common nearby, the most first
-                nearby = np.flatnonzero(_isin(b.tok, np.sort(a.tok[max(0, p - 2 * t) : p + 2 * t + 1])))
-                q = np.array(places)
-                n = np.searchsorted(nearby, q + 2 * t, "right") - np.searchsorted(nearby, q - 2 * t)
-                places = [places[k] for k in np.argsort(-n, kind="stable").tolist() if n[k] >= SIMILARITY * t]
-            one = next((s for s in (spans(p, q) for q in places) if s is not None), None)
-            if one is not None:
-                held = True
-                mine.append(one[0])
-                theirs.append(one[1])
+        places = [[p + half for p in at if may[0][p + half]], [q + half for q in there if may[1][q + half]]]
+        held = False
+        for side, sides in ((0, (mine, theirs)), (1, (theirs, mine))):
+            for p in places[side] if places[1 - side] else ():
+                if any(x <= p <= y and any(x2 <= q <= y2 for q in places[1 - side]) for (x, y), (x2, y2) in zip(*sides)):
+                    held = True  # joined to passages found
+                elif (one := best(p, places[1 - side], side)) is not None:
+                    held = True
+                    mine.append(one[0])
+                    theirs.append(one[1])
+            if not held:
+                break
         refuted.append(not held)
     return mine, theirs, refuted
 
@@ -406,7 +422,8 @@ BLOCK = 4_096
 def _by_leaders(groups: DataFrame, arrays: DataFrame, t: int, gram: int) -> DataFrame:
     """Rows (u, v, mine, theirs): verified pairs of the leaders and all others of ``groups`` (key, node, at, comp, covered, leads), in which two texts that are connected and
     whose places are both covered are not compared. Groups are dealt in blocks, each with all the leaders first; only the words about a place travel."""
-    reach = 3 * t + SHINGLE
+    reach = 2 * t
+    parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     half, width = (gram - SHINGLE) // 2, 2 * reach + gram
 
     def cut(batches):
@@ -428,23 +445,44 @@ def _by_leaders(groups: DataFrame, arrays: DataFrame, t: int, gram: int) -> Data
     rows = rows.groupBy("node").agg(F.collect_list(F.struct("key", "at", "comp", "covered", "leads", "blocks", "block")).alias("g"))
     rows = rows.join(arrays, "node").select("node", "g", "h")
     rows = rows.mapInArrow(cut, "key bigint, node bigint, at int, comp bigint, covered boolean, leads boolean, block int, begin int, h binary")
-    rows = rows.repartition("key", "block").sortWithinPartitions("key", "block", F.col("leads").desc(), "node", "at")
+    rows = rows.repartition(parts, "key", "block").sortWithinPartitions("key", "block", F.col("leads").desc(), "node", "at")
 
     def run(batches):
         import pyarrow as pa
 
         kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
         block = None
+
+        def tell(found, out):
+            for u, v, mine, theirs in found:
+                for x, value in zip(out, (u, v, [mine], [theirs])):
+                    x.append(value)
+
+        def met(block, out):
+            """The leaders among themselves, once all have come."""
+            if block is not None and block.inorder is None:
+                for n in range(1, len(block.leaders)):
+                    tell(block.met(block.leaders[n], n), out)
+
+        def record(out):
+            kinds = (pa.int64(), pa.int64(), kind, kind)
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["u", "v", "mine", "theirs"])
+
         for batch in batches:
             out = [[], [], [], []]
             for r in batch.to_pylist():
                 if block is None or block.name != (r["key"], r["block"]):
+                    met(block, out)
                     block = _Block((r["key"], r["block"]), t, half, width)
-                for u, v, mine, theirs in block.met(r):
-                    for x, value in zip(out, (u, v, [mine], [theirs])):
-                        x.append(value)
-            names = ["u", "v", "mine", "theirs"]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int64(), kind, kind))], names=names)
+                r["tok"], r["p"] = _tokens_of(r["h"]), r["at"] - r["begin"] + half
+                if r["leads"] and r["p"] < len(r["tok"]):
+                    block.lead(r)
+                else:
+                    met(block, out)
+                    tell(block.met(r, len(block.leaders)), out)
+            yield record(out)
+        met(block, out := [[], [], [], []])
+        yield record(out)
 
     return rows.mapInArrow(run, f"u bigint, v bigint, mine {_SPANS}, theirs {_SPANS}")
 
@@ -455,42 +493,53 @@ class _Block:
     def __init__(self, name, t: int, half: int, width: int):
         self.name, self.t, self.half, self.width, self.middle = name, t, half, width, (width - half) // 2
         self.leaders: list[dict] = []
-        self.lines, self.above, self.known = np.zeros((0, width), dtype=np.uint64), {}, {}
-        ends = np.arange(max(self.middle, t - 1), width)
-        self.ends, self.begins = ends + 1, np.minimum(self.middle, ends - t + 1)
+        self.lines, self.above, self.known = [], {}, {}
+        self.inorder = None
 
     def root(self, x):
         while (y := self.above.get(x, x)) != x:
             x = self.above[x] = self.above.get(y, y)
         return x
 
-    def met(self, r: dict):
-        """(u, v, span of u, span of v) of the leaders v that a text has a passage in common with."""
-        tok = _tokens_of(r["h"])
-        p = r["at"] - r["begin"] + self.half
-        if p >= len(tok):
+    def lead(self, r: dict) -> None:
+        tok, p = r["tok"], r["p"]
+        line = np.zeros(self.width, dtype=np.uint64)
+        left, right = min(p, self.middle), min(len(tok) - p, self.width - self.middle)
+        line[self.middle - left : self.middle + right] = tok[p - left : p + right]
+        self.lines.append(line)
+        self.leaders.append(r)
+
+    def possible(self, tok: np.ndarray, n: int) -> np.ndarray:
+        """Which of the first n leaders have, about their places, t tokens or more in a row of which the similarity's share is in ``tok``."""
+        if self.inorder is None:  # the leaders are all there: their distinct tokens, by number
+            lines = np.array(self.lines)
+            self.inorder, numbers = np.unique(np.append(lines.ravel(), np.uint64(0)), return_inverse=True)
+            self.numbers = numbers[:-1].astype(np.int32).reshape(lines.shape)
+        t, at = self.t, self.middle
+        share = round(100 * SIMILARITY)
+        common = _isin(self.inorder, np.sort(tok))
+        common[0] = False  # no token: beyond the text
+        gain = np.zeros((n, self.width + 1), dtype=np.int32)
+        np.cumsum(np.where(common, 100 - share, -share).astype(np.int32)[self.numbers[:n]], axis=1, out=gain[:, 1:])
+        least = np.minimum.accumulate(gain[:, : at + 1], axis=1)
+        best = gain[:, at + t :].max(axis=1) - least[:, at]  # ends t - 1 places on, or later
+        ends = gain[:, max(at, t - 1) + 1 : at + t]
+        return np.maximum(best, (ends - least[:, max(0, at - t + 1) :][:, : ends.shape[1]]).max(axis=1)) >= 0
+
+    def met(self, r: dict, n: int):
+        """(u, v, span of u, span of v) of those of the first n leaders v that a text has a passage in common with."""
+        same = lambda x: x["covered"] and r["covered"] and self.root(x["comp"]) == self.root(r["comp"])
+        if r["p"] >= len(r["tok"]) or all(x["node"] == r["node"] or same(x) for x in self.leaders[:n]):
             return
-        asked = [k for k, x in enumerate(self.leaders) if x["node"] != r["node"] and not (x["covered"] and r["covered"] and self.root(x["comp"]) == self.root(r["comp"]))]
-        if asked:
-            lines = self.lines[asked]
-            gain = np.zeros((len(asked), self.width + 1))
-            np.cumsum((_isin(lines.ravel(), np.sort(tok)).reshape(lines.shape) & (lines != 0)) - SIMILARITY, axis=1, out=gain[:, 1:])
-            best = (gain[:, self.ends] - np.minimum.accumulate(gain, axis=1)[:, self.begins]).max(axis=1)
-            for k in np.array(asked)[best >= -1e-9].tolist():
-                x = self.leaders[k]
-                if x["covered"] and r["covered"] and self.root(x["comp"]) == self.root(r["comp"]):
-                    continue
-                if (spans := _near(tok, x["tok"], p, x["p"], self.t, self.known)) is not None:
-                    one, two = self.root(r["comp"]), self.root(x["comp"])
-                    self.above[max(one, two)] = min(one, two)
-                    r["covered"] = x["covered"] = True
-                    yield r["node"], x["node"], *({"first": i + y["begin"], "last": j + y["begin"] + SHINGLE - 1} for (i, j), y in zip(spans, (r, x)))
-        if r["leads"]:
-            line = np.zeros((1, self.width), dtype=np.uint64)
-            left, right = min(p, self.middle), min(len(tok) - p, self.width - self.middle)
-            line[0, self.middle - left : self.middle + right] = tok[p - left : p + right]
-            self.lines = np.concatenate([self.lines, line])
-            self.leaders.append(r | {"tok": tok, "p": p})
+        for k in np.flatnonzero(self.possible(r["tok"], n)).tolist():
+            x = self.leaders[k]
+            if x["node"] == r["node"] or same(x):
+                continue
+            if (spans := _near(r["tok"], x["tok"], r["p"], x["p"], self.t, self.known)) is not None:
+                one, two = self.root(r["comp"]), self.root(x["comp"])
+                self.above[max(one, two)] = min(one, two)
+                r["covered"] = x["covered"] = True
+                yield r["node"], x["node"], *({"first": i + y["begin"], "last": j + y["begin"] + SHINGLE - 1} for (i, j), y in zip(spans, (r, x)))
 
 
 def _settled(cells: DataFrame, arrays: DataFrame, tables: Tables, t: int, gram: int) -> DataFrame:
@@ -531,7 +580,11 @@ def _settled(cells: DataFrame, arrays: DataFrame, tables: Tables, t: int, gram:
         lead = now.where("pending").select("key", "node", "at", rank.alias("rank")).where(F.col("rank") <= FEW).select("key", "node", "at", F.lit(True).alias("leads"))
         now = tables.put(now.join(lead, ["key", "node", "at"], "left").withColumn("leads", F.coalesce("leads", F.lit(False))))
         more = tables.put(_by_leaders(now.select("key", "node", "at", "comp", "covered", "leads"), arrays, t, gram))
-        found = tables.put(found.union(more))
+        # About their keys the passages of these pairs are followed as far as they go.
+        pairs = more.select("u", "v").distinct().join(cells.select("key", F.col("node").alias("u"), "places"), "u")
+        met = pairs.join(cells.select("key", F.col("node").alias("v"), F.col("places").alias("there")), ["key", "v"])
+        whole = _verify(met.select("key", "u", "v", "places", "there"), arrays, t, gram).where(F.size("mine") > 0).select(found.columns)
+        found = tables.put(found.union(more).union(whole))
         groups = tables.put(now.select("key", "node", "at", (F.col("done") | F.col("leads")).alias("done"), "v", "there"))
         turn += 1
 
@@ -584,7 +637,8 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, label: str =
     size = F.coalesce(F.aggregate("spans", F.lit(0), lambda acc, s: acc + s["last"] - s["first"] + 1), F.lit(0))
     text = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["first"].cast("string"), s["last"].cast("string"))), ",")
     names = about.join(names, "root").select("node", "component_id", F.coalesce("n_representatives", F.lit(0)).alias("n_representatives"), size.cast("bigint").alias("n_repeated"), F.coalesce(text, F.lit("")).alias("spans"))
-    return rows.select("doc_id", "node").join(names, "node").select("doc_id", "component_id", "n_representatives", "n_repeated", "spans")
+    component = F.when(F.col("n_words") >= min_words, F.col("component_id")).otherwise(F.col("doc_id"))  # short texts are no copies
+    return rows.join(names, "node").select("doc_id", component.alias("component_id"), "n_representatives", "n_repeated", "spans")
 
 
 def op2_repeated_passages(spark, sf_dir: str) -> DataFrame:

@@ -7,6 +7,8 @@ floor(t / n) times, and once more the documents that come first in a seeded orde
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from tidewheel.llm.common import Tables, named, small
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = "mix-1"
+#: Rows of a bucket of the seeded order, about; one task ranks the rows of the bucket in which a target is reached.
+EDGE_ROWS = 4_096
 
 
 def word_count(text):
@@ -45,17 +49,20 @@ def water_fill(sources: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS
     return s.select("source", "source_size", "weight", target.alias("target"))
 
 
-def mix(sized: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+def mix(sized: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED, more: tuple[str, ...] = ()) -> DataFrame:
     """Rows (doc_id, source, size, and others) with source_size, target and copies (times the mix takes the row), replacing columns of those names.
 
     The words taken from a source differ from its target by half of one document at most. Each source's order is cut into
-    4,096 buckets by the hash; only the bucket in which the target is reached is ranked row by row, so a hot source is
-    never ordered in one task. Null sources form a source of their own, the last. Rows of size 0 and null ids are allowed; rows with the same
-    id are ordered by size. An empty table gives an empty table.
+    buckets by the hash, so many that one holds some EDGE_ROWS rows; only the bucket in which the target is reached is ranked row by row, so a hot source is
+    never ordered in one task. The hash takes the id, the size and ``more`` (columns that tell rows of one id, or of none, apart): only rows alike in all of them share a bucket.
+    Null sources form a source of their own, the last. Rows of size 0 and null ids are allowed; rows with the same
+    id are ordered by size. A row of size 0 is taken as often as its source's rows are at least. An empty table gives an empty table.
     """
-    mark = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    rows_in_all = sized.count()
+    digits = min(12, max(3, math.ceil(math.log(max(rows_in_all, 1) / EDGE_ROWS, 16))))
+    mark = F.md5(F.concat_ws("|", F.lit(seed), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "size", *more)]))
     own = [c for c in sized.columns if c not in ("source_size", "target", "copies")]
-    rows = sized.select(*own, mark.alias("__mark")).withColumn("__bucket", F.substring("__mark", 1, 3))
+    rows = sized.select(*own, mark.alias("__mark")).withColumn("__bucket", F.substring("__mark", 1, digits))
     buckets = rows.groupBy("source", "__bucket").agg(F.sum("size").alias("n"))
     goals = water_fill(buckets.groupBy("source").agg(F.sum("n").alias("source_size")), weights, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
@@ -76,19 +83,20 @@ def mix(sized: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: s
     )
     plan = small(plan).alias("p")  # one row a source
     met = rows.alias("__rows").join(plan, F.expr("__rows.source <=> p.source")).select("__rows.*", "p.source_size", "p.target", "p.whole", "p.rest", "p.cut_at", "p.cut_before")
-    outside = met.where("__bucket <> cut_at").withColumn("copies", F.col("whole") + (F.col("__bucket") < F.col("cut_at")).cast("long"))
+    outside = met.where("__bucket <> cut_at").withColumn("copies", F.col("whole") + ((F.col("__bucket") < F.col("cut_at")) & (F.col("size") > 0)).cast("long"))
     inside = Window.partitionBy("source").orderBy("__mark", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     upto = F.col("cut_before") + F.sum("size").over(inside)
-    edge = met.where("__bucket = cut_at").withColumn("copies", F.col("whole") + (2 * upto - F.col("size") <= 2 * F.col("rest")).cast("long"))
+    edge = met.where("__bucket = cut_at").withColumn("copies", F.col("whole") + ((2 * upto - F.col("size") <= 2 * F.col("rest")) & (F.col("size") > 0)).cast("long"))
     keep = [*own, "source_size", "target", "copies"]
     return outside.select(*keep).union(edge.select(*keep))
 
 
 def repeat_by_mix(docs: DataFrame) -> DataFrame:
-    """The documents as often as the mix takes them, with their own columns. Only rows where a target is reached are shuffled."""
+    """The documents as often as the mix takes them, with their own columns. Only rows where a target is reached are shuffled. Null and empty texts, null ids and sources,
+    repeated rows and an empty table: as in ``mix``."""
     own = [F.col(f"__doc.`{c}`").alias(c) for c in docs.columns]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), "doc_id", "source", word_count(F.col("text")).alias("size"))
-    taken = mix(rows).where("copies > 0")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), "doc_id", "source", word_count(F.col("text")).alias("size"), F.crc32("text").alias("__crc"))
+    taken = mix(rows, more=("__crc",)).where("copies > 0")
     return taken.select(F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))), "__doc").select(*own)
 
 
@@ -101,9 +109,9 @@ def op5_mix_sources(spark, sf_dir: str) -> DataFrame:
 
 
 OP5_SQL = """
-WITH d AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-         md5('mix-1|' || coalesce(doc_id::VARCHAR, '')) AS mark FROM documents),
+WITH e AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
+d AS (SELECT *, md5('mix-1|' || coalesce(doc_id::VARCHAR, '') || '|' || size) AS mark FROM e),
 s AS (SELECT source, sum(size)::BIGINT AS n FROM d GROUP BY source),
 w AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight, 3 * n AS cap FROM s),
 l AS (

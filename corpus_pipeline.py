@@ -30,7 +30,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows in a uniform order over 16 shards: the columns of documents, shard and slot."""
-    return sharding.shuffle_into_shards(docs, 16, number_copies=True)
+    return sharding.shuffle_rows(docs, 16)
 
 
 STAGES = [

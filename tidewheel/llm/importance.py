@@ -1,9 +1,9 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text, and a Gumbel top-k sample.
 
 Words and word pairs are hashed into buckets. Bucket counts over all documents give the raw model, those over the documents labelled good the
-target model; a document's weight is the ratio of its likelihoods, taken for a text of a standard length, so that long texts are not
-favoured for being long, and with short texts drawn to the target's mean. Adding seeded Gumbel noise to the log weights and taking the k
-largest samples k documents without replacement, in proportion to their weights.
+target model; a document's weight is the ratio of its likelihoods. Adding seeded Gumbel noise to the log weights and taking the k
+largest samples k documents without replacement, in proportion to their weights. Plain likelihoods grow with a text's length, so that among good texts the longest have
+nearly all the weight; with ``standard`` the ratio is taken for a text of that many features, and short texts are drawn to the target's mean.
 """
 
 from __future__ import annotations
@@ -12,14 +12,14 @@ import re
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.llm.common import WORD, Tables, lower, named, per_text, small
 
 BUCKETS = 1 << 16
 SMOOTHING = 1.0
-#: Features that every text counts as having, and features of prior belief that short texts get.
+#: Features that every text counts as having in the query, and features of prior belief that short texts get then.
 STANDARD, PRIOR = 1_000.0, 100.0
 SEED = 4
 _BINS = 4_096
@@ -66,14 +66,15 @@ def log_ratios(raw: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, float]:
     return ratio, float((p_target * ratio).sum())
 
 
-def log_weights(text: Column, ratios, mean: float) -> Column:
-    """Of each text, for a text of the standard length; null and empty texts have the target's mean."""
+def log_weights(text: Column, ratios, mean: float, standard: float | None = None) -> Column:
+    """The log likelihood ratio of each text, 0 for null and empty ones; with ``standard`` that of a text of so many features, null and empty texts having the target's mean."""
 
     def rows(texts):
         ratio = ratios.value
         for t in texts:
             f = features(t)
-            yield (float((ratio[f].sum() + PRIOR * mean) / (len(f) + PRIOR) * STANDARD),)
+            total = float(ratio[f].sum())
+            yield (total if standard is None else (total + PRIOR * mean) / (len(f) + PRIOR) * standard,)
 
     return per_text(rows, "weight double")(text)["weight"]
 
@@ -84,41 +85,51 @@ def gumbel(*keys: Column) -> Column:
     return -F.log(-F.log(u))
 
 
-def kth_largest(scores: DataFrame, k: int, tables: Tables) -> tuple[float, int | None]:
-    """The score of rank k and the greatest doc_id, among rows of that score, that still is in: by histograms that narrow to one bin; rows of the last
-    bin, a few thousandths of all, are ranked by distributed counts of distinct scores."""
+def tie(*keys: Column) -> Column:
+    """A seeded number that orders rows of one score, whatever the type of their ids."""
+    return F.xxhash64(F.lit(SEED + 1), *keys)
+
+
+def kth_largest(scores: DataFrame, k: int, tables: Tables) -> tuple[float, int]:
+    """The score and tie of rank k among ``scores`` (score, tie), by score from the greatest and tie from the least: by histograms that narrow to one bin, first of scores, then of
+    the ties of one score, until few rows are left. At most _BINS rows reach the driver at once."""
     low, high, above = *scores.agg(F.min("score"), F.max("score")).first(), 0
-    rows = scores
-    while True:
-        n = rows.count()
+    rows, n = scores, scores.count()
+
+    def ranked():
+        few = sorted((-score, x) for score, x in rows.collect())  # at most _BINS
+        return -few[k - above - 1][0], few[k - above - 1][1]
+
+    def narrowed(bin_of: Column, descending: bool):
+        counts = dict(rows.groupBy(bin_of.alias("b")).count().collect())  # at most _BINS rows, or as many scores as lie within some ulps
+        passed = above
+        for b in sorted(counts, reverse=descending):
+            if passed + counts[b] >= k:
+                return b, passed, counts[b]
+            passed += counts[b]
+
+    while n > _BINS and low < high:
         width = (high - low) / _BINS
-        if n <= _BINS or width <= 0 or low + width == low:
-            break
-        bin_of = F.least(F.floor((F.col("score") - low) / width), F.lit(_BINS - 1)).cast("int")
-        counts = dict(rows.groupBy(bin_of.alias("b")).count().collect())  # at most _BINS rows
-        for b in sorted(counts, reverse=True):
-            if above + counts[b] >= k:
-                break
-            above += counts[b]
+        apart = width > 0 and low + width > low
+        bin_of = F.least(F.floor((F.col("score") - low) / width), F.lit(_BINS - 1)).cast("int") if apart else F.col("score")
+        b, above, n = narrowed(bin_of, True)
         rows = tables.put(rows.where(bin_of == b))
         low, high = rows.agg(F.min("score"), F.max("score")).first()
-    place = F.sum("n").over(Window.orderBy(F.col("score").desc(), F.col("doc_id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0))
-    if low == high and n > _BINS:  # a great tie: by id, whose k-th smallest is found in the same way
-        if above + n <= k:
-            return low, None
-        ids = rows.where("doc_id is not null").select((-F.col("doc_id")).cast("double").alias("score"), "doc_id")
-        return low, int(-kth_largest(ids, k - above, tables)[0])
-    ranked = rows.groupBy("score", "doc_id").agg(F.count("*").alias("n")).withColumn("upto", place)
-    last = ranked.where(F.col("upto") >= k - above).orderBy("upto").select("score", "doc_id").first()
-    return last[0], last[1]
-
-
-def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, label: str = "quality") -> DataFrame:
+    for shift in range(52, -1, -13):
+        if n <= _BINS:
+            break
+        bin_of = F.shiftrightunsigned(F.col("tie").bitwiseXOR(F.lit(-(1 << 63)).cast("bigint")), shift).bitwiseAND((1 << 13) - 1)
+        b, above, n = narrowed(bin_of, False)
+        rows = tables.put(rows.where(bin_of == b))
+    return ranked() if n <= _BINS else tuple(rows.select("score", "tie").first())
+
+
+def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, standard: float | None = None, label: str = "quality") -> DataFrame:
     """Rows (doc_id, log_weight, score, kept) for ``docs`` (doc_id, text), given ``labels`` (doc_id, quality, toxic).
 
-    Kept are the k = round(share * rows) rows of the largest scores, ties by id; by default the share of good ones (quality 1, toxic 0) among the
-    labelled. Rows alike in id and score are kept alike. Without a good label all weights are equal and the noise decides. An empty table
-    gives an empty table.
+    Kept are the k = round(share * rows) rows of the largest scores, ties by a hash of the id, which may be null or of any type; by default the share of good ones (quality 1, toxic 0) among the
+    labelled. Rows alike in id and score are kept alike, so there may be a few more than k. Null and empty texts are rows like any other; texts of any length are read whole. Without a
+    good label all weights are equal and the noise decides. An empty table gives an empty table.
     """
     spark, tables = docs.sparkSession, Tables(docs.sparkSession, label)
     marks = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.expr("quality = 1 and coalesce(toxic, 0) = 0")).alias("good"))
@@ -128,19 +139,18 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, lab
     marked = docs.join(small(marks.where("good")), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
     raw, target = count_features(marked)
     ratio, mean = log_ratios(raw, target) if target.sum() else (np.zeros(BUCKETS), 0.0)
-    weight = log_weights(F.col("text"), spark.sparkContext.broadcast(ratio), mean)
+    weight = log_weights(F.col("text"), spark.sparkContext.broadcast(ratio), mean, standard)
     scored = docs.select("doc_id", weight.alias("log_weight")).select("doc_id", "log_weight", (F.col("log_weight") + gumbel(F.col("doc_id"))).alias("score"))
     scored = tables.put(scored)
     n = scored.count()
     k = round(share * n)
     if k <= 0 or k >= n:
         return scored.withColumn("kept", F.lit(k > 0))
-    edge, last = kth_largest(scored.select("doc_id", "score"), k, tables)
-    tie = (F.col("score") == edge) & (F.lit(True) if last is None else F.coalesce(F.col("doc_id") <= last, F.lit(False)))
-    return scored.withColumn("kept", (F.col("score") > edge) | tie)
+    edge, last = kth_largest(scored.select("score", tie(F.col("doc_id")).alias("tie")), k, tables)
+    return scored.withColumn("kept", (F.col("score") > edge) | ((F.col("score") == edge) & (tie(F.col("doc_id")) <= last)))
 
 
 def op4_importance_resample(spark, sf_dir: str) -> DataFrame:
     docs = named(spark.read.parquet(f"{sf_dir}/documents.parquet"), doc_id="doc_id", text="text")
     labels = named(spark.read.parquet(f"{sf_dir}/labels.parquet"), doc_id="doc_id", quality="quality", toxic="toxic")
-    return resample(docs, labels)
+    return resample(docs, labels, standard=STANDARD)

@@ -4,7 +4,7 @@ The listed keys (rules and blocked sites) are encoded by a first Bloom filter. A
 universe, it also lets some unlisted keys pass: these go into a second filter; listed keys that pass that one go into a third, and so on
 until no key is left in error. On the universe the cascade then answers exactly, with a few bits a listed key, and
 pages are judged without a join. The first filter's error rate follows the ratio of listed to unlisted keys, so that the
-filters' size follows the list and not the corpus; it is checked before they are broadcast.
+filters' size follows the list and not the corpus; lists are cut into slices by hash, so that no slice's filters exceed a bound, and pages meet one slice after another.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.common import Tables, arrow_udf, named
+from tidewheel.llm.common import Tables, arrow_udf, lower_ascii, named
 
 RULES = (
     ("com/", "allow"),
@@ -26,9 +26,8 @@ RULES = (
 )
 #: Sites that the method blocks where no rule fits: the host or a parent of it is listed.
 BLOCKED_SITES = tuple(f"{name}.example.{top}" for name in ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm") for top in ("com", "net", "org"))
-#: Most bytes of all filters of a cascade.
-MAX_FILTER_BYTES = 64 << 20
-MAX_LEVELS = 64
+#: Listed keys of a slice, about: its filters take 8 bytes a key at most, 32 MB.
+SLICE_KEYS = 4 << 20
 BITMAP_BITS = 32_768  # of Spark's bitmap functions
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -95,7 +94,7 @@ def build_cascade(universe: DataFrame, tables: Tables) -> Cascade:
     Keys in error halve from level to level; only those are kept for the next one. Two keys with one 64-bit hash, one
     listed and one not, could not be told apart: that raises an error rather than misjudge.
     """
-    spark, cascade, used = universe.sparkSession, Cascade(), 0
+    spark, cascade, level = universe.sparkSession, Cascade(), 0
     sizes = universe.agg(F.count_if("listed"), F.count_if(~F.col("listed"))).first()
     twins = universe.groupBy("key_hash").agg(F.max("listed").alias("a"), F.min("listed").alias("b")).where("a <> b").limit(1).count()
     if twins:
@@ -104,19 +103,15 @@ def build_cascade(universe: DataFrame, tables: Tables) -> Cascade:
     n_in, n_out = sizes
     if n_in == 0:
         return cascade  # no levels: nothing is listed
-    for level in range(MAX_LEVELS):
+    while True:  # keys in error halve, and each level hashes anew
         rate = min(0.5, max(1e-9, n_in / n_out / math.sqrt(2))) if level == 0 and n_out else 0.5
         hashes = max(1, round(-math.log2(rate)))
         bits = max(64, -(-math.ceil(n_in * hashes * 1.4427) // 8) * 8)
-        used += bits // 8
-        if used > MAX_FILTER_BYTES:
-            raise ValueError(f"the filters need more than {MAX_FILTER_BYTES} bytes; split the list")
-
         spread = inside.select(F.explode(_bits_udf(level, hashes, bits)("key_hash")).alias("bit"))
         maps = (
             spread.groupBy(F.floor(F.col("bit") / BITMAP_BITS).cast("long").alias("at"))
             .agg(F.bitmap_construct_agg(F.col("bit") % BITMAP_BITS).alias("map"))
-            .collect()  # at most the bytes just checked, in maps of 4 KB
+            .collect()  # 8 bytes a listed key of the slice at most, in maps of 4 KB
         )
         filled = np.zeros(-(-bits // BITMAP_BITS) * BITMAP_BITS // 8, dtype=np.uint8)
         for r in maps:
@@ -128,8 +123,7 @@ def build_cascade(universe: DataFrame, tables: Tables) -> Cascade:
         n_err = errors.count()
         if n_err == 0:
             return cascade
-        inside, outside, n_in, n_out = errors, inside, n_err, n_in
-    raise RuntimeError(f"keys are still in error after {MAX_LEVELS} levels")
+        inside, outside, n_in, n_out, level = errors, inside, n_err, n_in, level + 1
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -141,18 +135,25 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.coalesce(host, F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def judge(pages: DataFrame, rules=RULES, sites=BLOCKED_SITES, label: str = "urls") -> DataFrame:
-    """Rows (page_id, host, path, rule, verdict) for ``pages`` (page_id, url).
+def listing(spark, rules=RULES, sites=BLOCKED_SITES) -> DataFrame:
+    """A list for ``judge`` from rules (host and path, verdict) and blocked sites (hosts)."""
+    return spark.createDataFrame([*rules, *((s, "block") for s in sites)], "entry string, verdict string")
+
+
+def judge(pages: DataFrame, listed: DataFrame, label: str = "urls") -> DataFrame:
+    """Rows (page_id, host, path, rule, verdict) for ``pages`` (page_id, url), given ``listed`` (entry, verdict: allow or block), a table of any size.
 
-    A rule or site fits its host and all subdomains; a rule also needs the path to begin with its own. The longest rule wins; where
-    none fits the page is blocked if a site fits, else allowed. A rule both allowed and blocked is blocked. Hosts are cut at
-    dots, so empty labels count as labels. An empty table gives an empty table.
+    An entry with a slash is a rule, host and path; one without is a blocked site. A rule or site fits its host and all subdomains; a rule also needs the path to begin with its own. The longest
+    rule wins; where none fits the page is blocked if a site fits, else allowed. A rule both allowed and blocked is blocked. Hosts are cut at
+    dots, so empty labels count as labels. Null and very long urls, repeated rows and entries are allowed; an empty table gives an empty table, an empty list allows all.
     """
     spark, tables = pages.sparkSession, Tables(pages.sparkSession, label)
-    split = [(h.lower(), "/" + p, v) for r, v in rules for h, _, p in [r.partition("/")]]
-    lengths = sorted({len(p) for _, p, _ in split})
-    labels = max([h.count(".") + 1 for h, _, _ in split] + [s.count(".") + 1 for s in sites], default=1)
-    listed = [(h + p, v) for h, p, v in split] + [(s.lower(), "block") for s in sites]
+    entry = F.concat(lower_ascii(F.substring_index("entry", "/", 1)), F.expr("substring(entry, length(substring_index(entry, '/', 1)) + 1)"))
+    listed = listed.where("entry is not null").select(entry.alias("key"), (F.col("verdict") == "block").alias("blocks"))
+    listed = tables.put(listed.groupBy("key").agg(F.max("blocks").alias("blocks")).where("blocks or instr(key, '/') > 0"))
+    shape = listed.select(F.length("key") - F.length(F.substring_index("key", "/", 1)), F.size(F.split(F.substring_index("key", "/", 1), r"\.")))
+    shape = [tuple(r) for r in shape.distinct().collect()]  # lengths of paths times numbers of labels
+    lengths, labels = sorted({n for n, _ in shape if n}), max([k for _, k in shape], default=1)
 
     page = tables.put(pages.select("page_id", *[c.alias(n) for n, c in zip(("host", "path"), host_and_path(F.col("url")))]))
 
@@ -166,25 +167,19 @@ def judge(pages: DataFrame, rules=RULES, sites=BLOCKED_SITES, label: str = "urls
 
     asked = page.groupBy("host", F.substring("path", 1, max(lengths, default=0)).alias("path")).agg(F.lit(1))
     universe = asked.select(F.explode(keys(F.col("host"), F.col("path"))).alias("key")).groupBy("key").agg(F.lit(1))
-    hashed = tables.put(universe.select("key", F.xxhash64("key").alias("key_hash")))
-    cascades = {}
-    for verdict in ("allow", "block"):
-        mine = [k for k, v in listed if v == verdict]
-        known = hashed.select("key_hash", (F.col("key").isin(mine) if mine else F.lit(False)).alias("listed"))
-        cascades[verdict] = build_cascade(tables.put(known), tables)
-    both = spark.sparkContext.broadcast(cascades)
-
-    def verdicts(asked):
-        """For each list of hashes: 0 unlisted, 1 allowed, 2 blocked."""
-        import pyarrow as pa
-
-        flat = asked.flatten().to_numpy(zero_copy_only=False)
-        found = np.where(both.value["block"].member(flat), 2, np.where(both.value["allow"].member(flat), 1, 0)).astype(np.int32)
-        offsets = asked.offsets.to_numpy() - asked.offsets.to_numpy()[0]
-        return pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), pa.array(found))
-
+    known = universe.join(listed, "key", "left").select(F.xxhash64("key").alias("key_hash"), "blocks")
+    known = tables.put(known)
+    slices = max(1, -(-known.where("blocks is not null").count() // SLICE_KEYS))
     told = page.withColumn("__keys", keys(F.col("host"), F.col("path")))
-    told = told.withColumn("__found", arrow_udf(verdicts, "array<int>").asNondeterministic()(F.transform("__keys", lambda k: F.xxhash64(k))))
+    told = told.withColumn("__hash", F.transform("__keys", lambda k: F.xxhash64(k))).withColumn("__found", F.transform("__keys", lambda k: F.lit(0)))
+    for piece in range(slices):
+        one = known.where(F.pmod("key_hash", F.lit(slices)) == piece)
+        cascades = [build_cascade(tables.put(one.select("key_hash", F.coalesce(listed_as, F.lit(False)).alias("listed"))), tables) for listed_as in (~F.col("blocks"), F.col("blocks"))]
+        both = spark.sparkContext.broadcast((piece, slices, cascades))
+        told = told.withColumn("__found", F.zip_with("__found", _verdicts(both)("__hash"), lambda a, b: F.greatest(a, b)))
+        if piece + 1 < slices:
+            told = tables.put(told)
+            both.destroy()
     hits = F.filter(F.arrays_zip("__keys", "__found"), lambda x: x["__found"] > 0)
     told = told.withColumn("__hits", F.transform(hits, lambda x: F.struct(F.length(x["__keys"]).alias("n"), x["__keys"].alias("key"), x["__found"].alias("found"))))
     told = told.withColumn("__rule", F.array_max(F.filter("__hits", lambda x: F.instr(x["key"], "/") > 0)))
@@ -193,8 +188,24 @@ def judge(pages: DataFrame, rules=RULES, sites=BLOCKED_SITES, label: str = "urls
     return told.select("page_id", "host", "path", F.col("__rule.key").alias("rule"), verdict.alias("verdict"))
 
 
+def _verdicts(cascades):
+    """For each list of hashes: 0 unlisted or of another slice, 1 allowed, 2 blocked."""
+
+    def run(asked):
+        import pyarrow as pa
+
+        piece, slices, (allow, block) = cascades.value
+        flat = asked.flatten().to_numpy(zero_copy_only=False)
+        found = np.where(block.member(flat), 2, np.where(allow.member(flat), 1, 0)).astype(np.int32)
+        found[flat % slices != piece] = 0
+        offsets = asked.offsets.to_numpy() - asked.offsets.to_numpy()[0]
+        return pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), pa.array(found))
+
+    return arrow_udf(run, "array<int>").asNondeterministic()
+
+
 def op3_url_filter(spark, sf_dir: str) -> DataFrame:
-    return judge(named(spark.read.parquet(f"{sf_dir}/pages.parquet"), page_id="page_id", url="url"))
+    return judge(named(spark.read.parquet(f"{sf_dir}/pages.parquet"), page_id="page_id", url="url"), listing(spark))
 
 
 _FITS = "(host = '{h}' OR ends_with(host, '.{h}'))"

@@ -9,10 +9,9 @@ Those that meet are verified.
 
 Fingerprints that share their value in a partition with many others are a crowd, whose members are not paired with each other in buckets. For tau of 2
 or less, two fingerprints within tau share a point within one bit of both; so the crowd meets at its 65 points, where at most 65 fingerprints
-can be, and is linked in a star there: exact, and linear in the members. For greater tau the crowd is compared in blocks within the values of tau + 1
-partitions, of which few pairs of the still unconnected leave the task at a time (see ``links``).
+can be, and is linked in a star there: exact, and linear in the members. For greater tau the members meet within the values of tau + 1 partitions by leaders (see ``settled``).
 
-64 bits miss most pairs of similarity 0.8, so near-duplicates also take candidates from bands of min-hashes (see ``banded_links``).
+64 bits miss most pairs of similarity 0.8, so near-duplicates also take candidates from bands of min-hashes: texts that share a band meet by leaders too.
 """
 
 from __future__ import annotations
@@ -21,9 +20,8 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewheel.llm.common import WORD, Tables, components, lower, named, per_text, small
@@ -32,10 +30,8 @@ BITS = 64
 SEED = 42
 #: More fingerprints than this that share their value in a partition are a crowd.
 HOT = 8
-#: Members of a crowd that one task compares with as many others.
-BLOCK = 1024
-#: Pairs that a round proposes for a node of a crowd's bucket at most; the next round goes on.
-PER_NODE = 512
+#: Leaders of a key that a round compares with all its members, and members that one task takes, about.
+FEW, BLOCK = 256, 4_096
 #: Bands of min-hashes, and min-hashes a band: texts of similarity s share a band with chance 1 - (1 - s ** ROWS) ** BANDS, 0.998 at 0.8.
 BANDS, ROWS = 16, 5
 
@@ -218,62 +214,118 @@ def _points(hot: DataFrame) -> DataFrame:
     return met.select(F.explode("ids").alias("v"), F.array_min("ids").alias("u")).where("u <> v").select("u", "v")
 
 
-def _proposed(members: DataFrame, tau: int, how: Plan, forest_only: bool) -> DataFrame:
-    """Pairs (u, v) to verify: nodes of one bucket within tau bits, in different components, and not refuted before. With forest_only those of a
-    spanning forest, nearest first; else up to PER_NODE of each node, nearest first. ``members``: part, key, blocks, block, id, fp, comp, refuted
-    (ids). Each block meets each other one once."""
-    pairs = members.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    pairs = pairs.select("part", "key", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "id", "fp", "comp", "refuted")
-
-    def proposed(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", ignore_index=True)
-        fp, ids, comp = pdf["fp"].to_numpy().view(np.uint64), pdf["id"].to_numpy(), pdf["comp"].to_numpy()
-        block, (a, b) = pdf["block"].to_numpy(), (pdf["a"].iloc[0], pdf["b"].iloc[0])
-        earlier = [np.uint64(m) for m in how.masks[: int(pdf["part"].iloc[0])]]
-        bad = {(i, j) for i, js in zip(ids.tolist(), pdf["refuted"]) if js is not None for j in js}
-        found: list[tuple[int, int, int]] = []
-        for i in np.flatnonzero(block == a):
-            apart = fp ^ fp[i]
-            far = np.bitwise_count(apart)
-            ok = (far <= tau) & (comp != comp[i]) & (block == b)
-            for mask in earlier:  # a pair counts in the first partition where it agrees
-                ok &= (apart & mask) != 0
-            if a == b:
-                ok[: i + 1] = False
-            js = [j for j in np.flatnonzero(ok).tolist() if (int(ids[i]), int(ids[j])) not in bad and (int(ids[j]), int(ids[i])) not in bad]
-            found += sorted((int(far[j]), int(i), j) for j in js)[: None if forest_only else PER_NODE]
-            if forest_only and len(found) > 1 << 18:  # keep the forest of what was found: the rest can't enter it
-                found = list(_kruskal(found, comp))
-        out = [(int(ids[i]), int(ids[j])) for _, i, j in (_kruskal(found, comp) if forest_only else found)]
-        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
-
-    def _kruskal(edges, comp):
-        above: dict = {}
-
-        def root(x):
-            while (y := above.get(x, x)) != x:
-                above[x] = above.get(y, y)
-                x = y
-            return x
-
-        for d, i, j in sorted(edges):
-            x, y = root(comp[i]), root(comp[j])
-            if x != y:
-                above[max(x, y)] = min(x, y)
-                yield d, i, j
-
-    out = pairs.groupBy("part", "key", "a", "b").applyInPandas(proposed, "u bigint, v bigint")
-    return out.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-
-
-def links(nodes: DataFrame, tau: int, tables: Tables, verify=None, max_rounds: int = 50) -> DataFrame:
-    """Links (u, v) between ``nodes`` (id, fp: long, ids distinct) whose components are those of all links: pairs within tau bits
-    that ``verify`` (pairs (u, v) to those that hold) accepts.
-
-    Pairs outside crowds, or of a member with another node, are all verified: a bucket has few such. Within crowds with tau over 2 the first
-    round proposes a spanning forest of what is not yet connected, and later ones up to PER_NODE more pairs of each node that is still apart from another.
-    Verified links join components, refuted pairs are left out from then on, and rounds end when nothing is left to propose: no two
-    components then have an untried pair. Whatever a crowd's size, rows stay within PER_NODE times its members.
+class Prints:
+    """Leaders' fingerprints, and which of them are within tau bits of another."""
+
+    kind = "bigint"
+
+    def __init__(self, tau: int):
+        self.tau, self.fps = tau, []
+
+    def add(self, fp: int) -> None:
+        self.fps.append(fp)
+
+    def match(self, fp: int, asked: list[int]) -> np.ndarray:
+        return np.bitwise_count(np.array(self.fps, dtype=np.int64)[asked].view(np.uint64) ^ np.array([fp]).view(np.uint64)) <= self.tau
+
+
+class Sets:
+    """Leaders' sets of hashes, and which of them have a Jaccard similarity with another."""
+
+    kind = "array<bigint>"
+
+    def __init__(self, similarity: float):
+        self.similarity, self.sets = similarity, []
+
+    def add(self, parts: list[int]) -> None:
+        self.sets.append(np.array(parts, dtype=np.int64))
+
+    def match(self, parts: list[int], asked: list[int]) -> np.ndarray:
+        own, sizes = np.array(parts, dtype=np.int64), np.array([len(self.sets[k]) for k in asked])
+        # Sizes that differ by more can't have the similarity.
+        fits = np.flatnonzero((sizes >= self.similarity * len(own) - 1e-9) & (self.similarity * sizes <= len(own) + 1e-9) & (sizes > 0))
+        out = np.zeros(len(asked), dtype=bool)
+        if len(fits) and len(own):
+            flat, sizes = np.concatenate([self.sets[asked[k]] for k in fits]), sizes[fits]
+            common = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+            both = np.add.reduceat(common.astype(np.int64), np.cumsum(sizes) - sizes)
+            out[fits] = both >= self.similarity * (sizes + len(own) - both)
+        return out
+
+
+def _by_leaders(groups: DataFrame, items: DataFrame, matcher, parts: int) -> DataFrame:
+    """Links (u, v) between the leaders and all others of ``groups`` (key, id, comp, leads) whose items match, except of those connected. Groups are dealt in blocks, each
+    with all its leaders first; a task holds those of one block."""
+    sizes = groups.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = F.array(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    block = F.when(F.col("leads"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own)  # FEW leaders at most go to every block
+    rows = groups.join(sizes, "key").join(items, "id").select("key", "id", "comp", "leads", "item", F.explode(block).alias("block"))
+    rows = rows.repartition(parts, "key", "block").sortWithinPartitions("key", "block", F.col("leads").desc(), "id")
+
+    def run(batches):
+        import pyarrow as pa
+
+        name = known = None
+        for b in batches:
+            out = [[], []]
+            columns = [b.column(c) for c in ("key", "block", "id", "comp", "leads", "item")]
+            for i in range(b.num_rows):
+                key, block, node, comp, leads, item = (c[i].as_py() for c in columns)
+                if name != (key, block):
+                    name, known, leaders, above = (key, block), matcher(), [], {}
+
+                def root(x):
+                    while (y := above.get(x, x)) != x:
+                        x = above[x] = above.get(y, y)
+                    return x
+
+                asked = [k for k, x in enumerate(leaders) if root(x[1]) != root(comp)]
+                if asked:
+                    for k in np.array(asked)[known.match(item, asked)].tolist():
+                        one, two = root(comp), root(leaders[k][1])
+                        if one != two:
+                            above[max(one, two)] = min(one, two)
+                            out[0].append(min(node, leaders[k][0]))
+                            out[1].append(max(node, leaders[k][0]))
+                if leads:
+                    leaders.append((node, comp))
+                    known.add(item)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["u", "v"])
+
+    return rows.mapInArrow(run, "u bigint, v bigint")
+
+
+def settled(cells: DataFrame, items: DataFrame, good: DataFrame, tables: Tables, verify, matcher) -> DataFrame:
+    """``good`` (u, v) and more links, until no two ids of a key of ``cells`` (key, id) are apart and untried.
+
+    First each id is compared with the least of its key (``verify``: pairs (u, v) to those that hold). An id that no link connects with it then is a leader of the key itself, and is
+    compared with all others of the key (``matcher`` makes an object that compares ``items`` (id, item)), FEW a round; links join
+    components, and rounds end when every id of a key is connected to its first or was a leader.
+    """
+    first = cells.groupBy("key").agg(F.min("id").alias("v"), F.max("id").alias("other")).where("v < other").select("key", "v")
+    cells = tables.put(cells.join(first, "key").select("key", "id", "v"))
+    pairs = cells.where("id <> v").select(F.col("v").alias("u"), F.col("id").alias("v")).distinct()
+    good = tables.put(good.union(verify(pairs.join(good, ["u", "v"], "left_anti"))))
+    groups, parts = cells.select("key", "id", (F.col("id") == F.col("v")).alias("done")), int(tables.spark.conf.get("spark.sql.shuffle.partitions"))
+    while True:
+        comp = components(good, tables).select(F.col("node").alias("id"), "root")
+        now = tables.put(groups.join(comp, "id", "left").select("key", "id", "done", F.coalesce("root", "id").alias("comp")))
+        main = now.groupBy("key").agg(F.min(F.struct(~F.col("done"), "comp")).alias("m"), F.max("comp").alias("last"), F.min("comp").alias("least")).where("least < last")
+        now = now.join(main, "key").withColumn("pending", ~F.col("done") & (F.col("comp") != F.col("m.comp"))).select("key", "id", "done", "comp", "pending")
+        now = tables.put(now.join(tables.put(now.where("pending").select("key").distinct()), "key"))
+        if now.isEmpty():
+            return good
+        rank = F.row_number().over(Window.partitionBy("key").orderBy("id"))
+        lead = now.where("pending").select("key", "id", rank.alias("rank")).where(F.col("rank") <= FEW).select("key", "id", F.lit(True).alias("leads"))
+        now = tables.put(now.join(lead, ["key", "id"], "left").withColumn("leads", F.coalesce("leads", F.lit(False))))
+        good = tables.put(good.union(_by_leaders(now.select("key", "id", "comp", "leads"), items, matcher, parts).distinct()))
+        groups = tables.put(now.select("key", "id", (F.col("done") | F.col("leads")).alias("done")))
+
+
+def links(nodes: DataFrame, tau: int, tables: Tables) -> DataFrame:
+    """Links (u, v) between ``nodes`` (id, fp: long, ids distinct) whose components are those of all pairs within tau bits.
+
+    Pairs outside crowds, or of a member with another node, are all links: a bucket has few such. The members of a crowd are linked in stars about points (tau of 2 or less), or by leaders.
     """
     n, both = bit_counts(nodes)
     if n < 2:
@@ -293,58 +345,19 @@ def links(nodes: DataFrame, tau: int, tables: Tables, verify=None, max_rounds: i
     once = once.otherwise(reach < inside.bitwiseXOR(reach))
     pair = x.join(y, (F.col("x.part") == F.col("y.part")) & (F.col("x.key") == F.col("y.key")) & ((F.col("x.id") < F.col("y.id")) | F.col("y.crowd")))
     pair = pair.where((F.bit_count(apart) <= tau) & (F.col("x.own") | F.col("y.own")) & once)
-    pair = pair.select(F.least("x.id", "y.id").alias("u"), F.greatest("x.id", "y.id").alias("v")).distinct()
-    good = tables.put(verify(pair) if verify else pair)
+    good = tables.put(pair.select(F.least("x.id", "y.id").alias("u"), F.greatest("x.id", "y.id").alias("v")).distinct())
     if crowd.isEmpty():
         return good
     if tau <= 2:
-        more = _points(crowd)
-        return tables.put(good.union(verify(more) if verify else more))
+        return tables.put(good.union(_points(crowd)))
     how = Plan([sum(1 << b for b in g) for g in grouped(both / n, tau + 1)], [0] * (tau + 1), 0)
-    cells = tables.put(_buckets(crowd, how).drop("own"))
-    sizes = cells.groupBy("part", "key").count().where("count > 1")
-    return _settled(cells, sizes, good, tau, how, tables, verify, max_rounds)
-
-
-def _settled(cells: DataFrame, sizes: DataFrame, good: DataFrame, tau: int, how: Plan, tables: Tables, verify, max_rounds: int) -> DataFrame:
-    """``good`` and the links found in rounds among the members of the buckets ``sizes`` (part, key, count) of ``cells`` (part, key, id, fp)."""
-    sizes = tables.put(sizes.select("part", "key", "count"))
-    blocks = F.ceil(F.col("count") / BLOCK).cast("int")
-    crowd = tables.put(cells.join(sizes, ["part", "key"]).select("part", "key", "id", "fp", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block")))
-    refuted = None
-    for turn in range(max_rounds):
-        comp = components(good, tables)
-        told = crowd.join(comp, crowd["id"] == comp["node"], "left").select(crowd["*"], F.coalesce("root", "id").alias("comp"))
-        if refuted is None:
-            told = told.withColumn("refuted", F.lit(None).cast("array<bigint>"))
-        else:
-            told = told.join(refuted.groupBy(F.col("u").alias("id")).agg(F.collect_list("v").alias("refuted")), "id", "left")
-        mixed = told.groupBy("part", "key").agg((F.min("comp") < F.max("comp")).alias("mixed")).where("mixed").select("part", "key")
-        tried = tables.put(_proposed(told.join(mixed, ["part", "key"], "left_semi"), tau, how, turn == 0))
-        if tried.isEmpty():
-            return good
-        held = tables.put(verify(tried) if verify else tried)
-        failed = tried.join(held, ["u", "v"], "left_anti")
-        refuted = tables.put(failed if refuted is None else refuted.union(failed))
-        good = tables.put(good.union(held))
-    raise RuntimeError(f"links did not settle in {max_rounds} rounds")
-
+    cells = tables.put(_buckets(crowd, how).select(F.xxhash64("part", "key").alias("key"), "id"))
 
-def banded_links(nodes: DataFrame, good: DataFrame, tables: Tables, verify, max_rounds: int = 50) -> DataFrame:
-    """``good`` and verified links of ``nodes`` (id, fp, bands) that share a band key, until no two of one key are untried and apart.
+    def within(pairs: DataFrame) -> DataFrame:
+        one, two = (crowd.select(F.col("id").alias(c), F.col("fp").alias(f"{c}_fp")) for c in "uv")
+        return pairs.join(one, "u").join(two, "v").where(F.bit_count(F.col("u_fp").bitwiseXOR(F.col("v_fp"))) <= tau).select("u", "v")
 
-    In a key of up to HOT nodes all pairs that ``good`` leaves apart are verified; the members of greater ones meet in rounds like a crowd.
-    """
-    cells = tables.put(nodes.select("id", "fp", F.posexplode("bands").alias("part", "key")))
-    sizes = tables.put(cells.groupBy("part", "key").count().where("count > 1"))
-    comp = components(good, tables)
-    few = cells.join(sizes.where(F.col("count") <= HOT), ["part", "key"], "left_semi")
-    few = tables.put(few.join(comp, few["id"] == comp["node"], "left").select("part", "key", "id", F.coalesce("root", "id").alias("comp")))
-    x, y = few.alias("x"), few.alias("y")
-    pair = x.join(y, (F.col("x.part") == F.col("y.part")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")))
-    good = tables.put(good.union(verify(pair.select(F.col("x.id").alias("u"), F.col("y.id").alias("v")).distinct())))
-    hot = sizes.where(F.col("count") > HOT)
-    return good if hot.isEmpty() else _settled(cells, hot, good, BITS, Plan([], [], 0), tables, verify, max_rounds)
+    return settled(cells, crowd.select("id", F.col("fp").alias("item")), good, tables, within, lambda: Prints(tau))
 
 
 def fingerprint_components(docs: DataFrame, n: int = 3, tau: int = 2, label: str = "simhash") -> DataFrame:
@@ -375,29 +388,35 @@ def shingle_sets(text: Column, n: int) -> Column:
     return per_text(rows, "content bigint, parts array<bigint>")(text)
 
 
-def drop_near_duplicates(docs: DataFrame, n: int = 5, tau: int = 8, similarity: float = 0.8, label: str = "neardup") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, n: int = 5, tau: int = 2, similarity: float = 0.8, label: str = "neardup") -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest id, with all its columns.
 
     Two texts are linked if their words are the same (A-Z lower-cased), or if their SimHashes of n-word shingles are within tau bits or they share a
     band of min-hashes, and the Jaccard similarity of the shingle sets is at least ``similarity``; groups are components of links. An id is one document: rows that
-    share an id stay or go together. Rows with a null id stay. Texts without words are one group.
+    share an id stay or go together. Rows with a null id stay, but link others. Texts without words are one group. An empty table gives an empty table; a text of any length is read whole.
     """
     tables = Tables(docs.sparkSession, label)
     told = tables.put(docs.select("doc_id", banded_prints(F.col("text"), n).alias("p")).select("doc_id", "p.*"))
     nodes = tables.put(told.groupBy(F.col("content").alias("id")).agg(F.min("fp").alias("fp"), F.min("doc_id").alias("least"), F.min("bands").alias("bands")))
+    near = links(nodes.select("id", "fp"), tau, tables)
+    cells = nodes.select("id", F.explode("bands").alias("key"))
+    shared = cells.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("key")
+    cells = tables.put(cells.join(shared, "key"))
+    # The shingles of all candidates, written once.
+    asked = tables.put(near.select(F.col("u").alias("id")).union(near.select("v")).union(cells.select("id")).distinct())
+    ids = asked.join(nodes, "id").where("least is not null").select(F.col("least").alias("doc_id"))
+    texts = docs.select("doc_id", "text")
+    texts = texts.join(small(ids), "doc_id", "left_semi").union(texts.where("doc_id is null"))
+    sets = texts.select(shingle_sets(F.col("text"), n).alias("s")).select(F.col("s.content").alias("id"), F.col("s.parts").alias("item")).join(asked, "id", "left_semi")
+    sets = tables.put(sets.groupBy("id").agg(F.first("item").alias("item")))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        pairs = tables.put(pairs)
-        asked = pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct()
-        asked = tables.put(asked.join(nodes, "id").select(F.col("least").alias("doc_id"), "id"))
-        found = docs.select("doc_id", "text").join(small(asked), "doc_id").select("id", shingle_sets(F.col("text"), n).alias("s"))
-        sets = tables.put(found.where("id = s.content").groupBy("id").agg(F.first("s.parts").alias("parts")))
-        met = pairs.join(sets.select(F.col("id").alias("u"), F.col("parts").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("parts").alias("b")), "v")
+        met = pairs.join(sets.select(F.col("id").alias("u"), F.col("item").alias("a")), "u").join(sets.select(F.col("id").alias("v"), F.col("item").alias("b")), "v")
         both = F.size(F.array_intersect("a", "b"))
         return met.where(both >= similarity * (F.size("a") + F.size("b") - both)).select("u", "v")
 
-    near = links(nodes.select("id", "fp"), tau, tables, verify)
-    found = components(banded_links(nodes.select("id", "fp", "bands"), near, tables, verify), tables)
+    good = settled(cells, sets, tables.put(verify(near)), tables, verify, lambda: Sets(similarity))
+    found = components(good, tables)
     group = F.coalesce("root", "content")
     grouped_rows = tables.put(told.join(found, F.col("content") == F.col("node"), "left").select("doc_id", group.alias("group")))
     kept = grouped_rows.groupBy("group").agg(F.min("doc_id").alias("doc_id")).select("doc_id")

@@ -393,7 +393,7 @@ def _verify(met: DataFrame, arrays: DataFrame, t: int, gram: int) -> DataFrame:
 
 
 def _told_apart(groups: DataFrame, arrays: DataFrame, t: int, gram: int) -> DataFrame:
-    """``groups`` (key, node, at, told, with the place ``there`` of the key's leader v) under every key together with a token near it. Tokens that are equal in the leader are left out where
+    """``groups`` (key, base, node, at, told, with the place ``there`` of the key's leader v) under every key together with a token near it. Tokens that are equal in the leader are left out where
     ``told`` is false, that is where it refuted the text: what the text shares with others beyond that has one of the rest."""
     rows = groups.join(arrays.select("node", F.col("h").alias("a")), "node").join(arrays.select(F.col("node").alias("v"), F.col("h").alias("b")), "v")
 
@@ -401,18 +401,19 @@ def _told_apart(groups: DataFrame, arrays: DataFrame, t: int, gram: int) -> Data
         import pyarrow as pa
 
         for b in batches:
-            out = [[], [], []]
+            out = [[], [], [], []]
             for r in b.to_pylist():
                 tok, lead, p = _tokens_of(r["a"]), _tokens_of(r["b"]), r["at"]
                 first, last = (0, -1) if r["told"] else _equal_run(tok, lead, p, r["there"])
                 near = np.unique(np.concatenate([tok[max(0, p - t) : first], tok[last + 1 : p + gram + t]]) if last >= first else tok[max(0, p - t) : p + gram + t])
                 mix = mixed(near ^ np.array([r["key"]]).view(np.uint64), 3).view(np.int64)
                 out[0] += mix.tolist()
-                out[1] += [r["node"]] * len(mix)
-                out[2] += [p] * len(mix)
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, (pa.int64(), pa.int64(), pa.int32()))], names=["key", "node", "at"])
+                for x, value in zip(out[1:], (r["base"], r["node"], p)):
+                    x += [value] * len(mix)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["key", "base", "node", "at"])
 
-    return rows.select("key", "node", "at", "there", "told", "a", "b").mapInArrow(run, "key bigint, node bigint, at int")
+    return rows.select("key", "base", "node", "at", "there", "told", "a", "b").mapInArrow(run, "key bigint, base bigint, node bigint, at int")
 
 
 #: Texts that are compared with one group's leaders in one task, about.
@@ -420,8 +421,9 @@ BLOCK = 4_096
 
 
 def _by_leaders(groups: DataFrame, arrays: DataFrame, t: int, gram: int) -> DataFrame:
-    """Rows (u, v, mine, theirs): verified pairs of the leaders and all others of ``groups`` (key, node, at, comp, covered, leads), in which two texts that are connected and
-    whose places are both covered are not compared. Groups are dealt in blocks, each with all the leaders first; only the words about a place travel."""
+    """Rows (u, v, mine, theirs): verified pairs of the leaders and all others of ``groups`` (key, base, node, at, comp, covered, leads), in which two texts that are connected and
+    whose places are both covered are not compared. The groups of one base meet together, each place once; they are dealt in blocks, each with all the leaders first; only the words about a
+    place travel."""
     reach = 2 * t
     parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     half, width = (gram - SHINGLE) // 2, 2 * reach + gram
@@ -429,7 +431,7 @@ def _by_leaders(groups: DataFrame, arrays: DataFrame, t: int, gram: int) -> Data
     def cut(batches):
         import pyarrow as pa
 
-        kinds = dict(key=pa.int64(), node=pa.int64(), at=pa.int32(), comp=pa.int64(), covered=pa.bool_(), leads=pa.bool_(), block=pa.int32(), begin=pa.int32(), h=pa.binary())
+        kinds = dict(base=pa.int64(), keys=pa.list_(pa.int64()), node=pa.int64(), at=pa.int32(), comp=pa.int64(), covered=pa.bool_(), leads=pa.bool_(), block=pa.int32(), begin=pa.int32(), h=pa.binary())
         for b in batches:
             out = []
             for r in b.to_pylist():
@@ -440,12 +442,13 @@ def _by_leaders(groups: DataFrame, arrays: DataFrame, t: int, gram: int) -> Data
                     out += [g | {"block": k} for k in (range(g["blocks"]) if g["leads"] else (g["block"],))]
             yield pa.RecordBatch.from_arrays([pa.array([g[c] for g in out], kind) for c, kind in kinds.items()], names=list(kinds))
 
-    blocks = groups.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = groups.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node", "at"), F.col("blocks")).cast("int"))
-    rows = rows.groupBy("node").agg(F.collect_list(F.struct("key", "at", "comp", "covered", "leads", "blocks", "block")).alias("g"))
+    rows = groups.groupBy("base", "node", "at").agg(F.collect_list("key").alias("keys"), F.first("comp").alias("comp"), F.first("covered").alias("covered"), F.max("leads").alias("leads"))
+    blocks = groups.groupBy("base").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = rows.join(blocks, "base").withColumn("block", F.pmod(F.xxhash64("node", "at"), F.col("blocks")).cast("int"))
+    rows = rows.groupBy("node").agg(F.collect_list(F.struct("base", "keys", "at", "comp", "covered", "leads", "blocks", "block")).alias("g"))
     rows = rows.join(arrays, "node").select("node", "g", "h")
-    rows = rows.mapInArrow(cut, "key bigint, node bigint, at int, comp bigint, covered boolean, leads boolean, block int, begin int, h binary")
-    rows = rows.repartition(parts, "key", "block").sortWithinPartitions("key", "block", F.col("leads").desc(), "node", "at")
+    rows = rows.mapInArrow(cut, "base bigint, keys array<bigint>, node bigint, at int, comp bigint, covered boolean, leads boolean, block int, begin int, h binary")
+    rows = rows.repartition(parts, "base", "block").sortWithinPartitions("base", "block", F.col("leads").desc(), "node", "at")
 
     def run(batches):
         import pyarrow as pa
@@ -471,9 +474,9 @@ def _by_leaders(groups: DataFrame, arrays: DataFrame, t: int, gram: int) -> Data
         for batch in batches:
             out = [[], [], [], []]
             for r in batch.to_pylist():
-                if block is None or block.name != (r["key"], r["block"]):
+                if block is None or block.name != (r["base"], r["block"]):
                     met(block, out)
-                    block = _Block((r["key"], r["block"]), t, half, width)
+                    block = _Block((r["base"], r["block"]), t, half, width)
                 r["tok"], r["p"] = _tokens_of(r["h"]), r["at"] - r["begin"] + half
                 if r["leads"] and r["p"] < len(r["tok"]):
                     block.lead(r)
@@ -493,7 +496,7 @@ class _Block:
     def __init__(self, name, t: int, half: int, width: int):
         self.name, self.t, self.half, self.width, self.middle = name, t, half, width, (width - half) // 2
         self.leaders: list[dict] = []
-        self.lines, self.above, self.known = [], {}, {}
+        self.lines, self.above, self.known, self.by_key = [], {}, {}, {}
         self.inorder = None
 
     def root(self, x):
@@ -507,10 +510,12 @@ class _Block:
         left, right = min(p, self.middle), min(len(tok) - p, self.width - self.middle)
         line[self.middle - left : self.middle + right] = tok[p - left : p + right]
         self.lines.append(line)
+        for key in r["keys"]:
+            self.by_key.setdefault(key, []).append(len(self.leaders))
         self.leaders.append(r)
 
-    def possible(self, tok: np.ndarray, n: int) -> np.ndarray:
-        """Which of the first n leaders have, about their places, t tokens or more in a row of which the similarity's share is in ``tok``."""
+    def possible(self, tok: np.ndarray, asked: np.ndarray) -> np.ndarray:
+        """Which of the leaders asked have, about their places, t tokens or more in a row of which the similarity's share is in ``tok``."""
         if self.inorder is None:  # the leaders are all there: their distinct tokens, by number
             lines = np.array(self.lines)
             self.inorder, numbers = np.unique(np.append(lines.ravel(), np.uint64(0)), return_inverse=True)
@@ -519,35 +524,70 @@ class _Block:
         share = round(100 * SIMILARITY)
         common = _isin(self.inorder, np.sort(tok))
         common[0] = False  # no token: beyond the text
-        gain = np.zeros((n, self.width + 1), dtype=np.int32)
-        np.cumsum(np.where(common, 100 - share, -share).astype(np.int32)[self.numbers[:n]], axis=1, out=gain[:, 1:])
+        gain = np.zeros((len(asked), self.width + 1), dtype=np.int32)
+        np.cumsum(np.where(common, 100 - share, -share).astype(np.int32)[self.numbers[asked]], axis=1, out=gain[:, 1:])
         least = np.minimum.accumulate(gain[:, : at + 1], axis=1)
         best = gain[:, at + t :].max(axis=1) - least[:, at]  # ends t - 1 places on, or later
         ends = gain[:, max(at, t - 1) + 1 : at + t]
         return np.maximum(best, (ends - least[:, max(0, at - t + 1) :][:, : ends.shape[1]]).max(axis=1)) >= 0
 
     def met(self, r: dict, n: int):
-        """(u, v, span of u, span of v) of those of the first n leaders v that a text has a passage in common with."""
+        """(u, v, span of u, span of v) of those of the first n leaders v that share a key with a text, and a passage."""
         same = lambda x: x["covered"] and r["covered"] and self.root(x["comp"]) == self.root(r["comp"])
-        if r["p"] >= len(r["tok"]) or all(x["node"] == r["node"] or same(x) for x in self.leaders[:n]):
+        if r["p"] >= len(r["tok"]):
+            return
+        asked = {k for key in r["keys"] for k in self.by_key.get(key, ()) if k < n}
+        asked = [k for k in sorted(asked) if (x := self.leaders[k])["node"] != r["node"] and not same(x)]
+        if not asked:
             return
-        for k in np.flatnonzero(self.possible(r["tok"], n)).tolist():
+        asked = np.array(asked)
+        for k in asked[self.possible(r["tok"], asked)].tolist():
             x = self.leaders[k]
-            if x["node"] == r["node"] or same(x):
-                continue
-            if (spans := _near(r["tok"], x["tok"], r["p"], x["p"], self.t, self.known)) is not None:
+            if not same(x) and (spans := _near(r["tok"], x["tok"], r["p"], x["p"], self.t, self.known)) is not None:
                 one, two = self.root(r["comp"]), self.root(x["comp"])
                 self.above[max(one, two)] = min(one, two)
                 r["covered"] = x["covered"] = True
                 yield r["node"], x["node"], *({"first": i + y["begin"], "last": j + y["begin"] + SHINGLE - 1} for (i, j), y in zip(spans, (r, x)))
 
 
-def _settled(cells: DataFrame, arrays: DataFrame, tables: Tables, t: int, gram: int) -> DataFrame:
+def _by_runs(groups: DataFrame, arrays: DataFrame, t: int, gram: int, w: int) -> DataFrame:
+    """Rows (key, base, node, at): the places of ``groups`` (key, node, at; the key is the base) under the runs of words about them that any two near-duplicate passages share, of which the window's shingle is the
+    least; only runs that several texts have, and one of those that the same texts have."""
+    rows = groups.groupBy("node").agg(F.collect_set("at").alias("places")).join(arrays, "node")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            keys, bases, nodes, places = [], [], [], []
+            for node, at, h in zip(b.column("node").to_pylist(), b.column("places").to_pylist(), b.column("h").to_pylist()):
+                h = np.frombuffer(h, dtype=np.uint32).astype(np.uint64)
+                g, runs = grams(h, gram), grams(h, gram + w - 1)
+                least = np.lib.stride_tricks.sliding_window_view(g, w).min(axis=1)
+                for c in at:
+                    lo, hi = max(0, c - w + 1), min(len(runs), c + t)  # the places that stand for this one, too
+                    found = np.unique(runs[lo:hi][least[lo:hi] == g[c]])
+                    keys.append(found)
+                    bases += [int(g[c : c + 1].view(np.int64)[0])] * len(found)
+                    nodes += [node] * len(found)
+                    places += [c] * len(found)
+            keys = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, dtype=np.int64)
+            columns = [pa.array(keys), pa.array(bases, pa.int64()), pa.array(nodes, pa.int64()), pa.array(places, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "base", "node", "at"])
+
+    out = rows.select("node", "places", "h").mapInArrow(run, "key bigint, base bigint, node bigint, at int")
+    member = F.xxhash64("node", "at")
+    alike = out.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("n"), F.sum(F.shiftright(member, 8)).alias("x"), F.bit_xor(member).alias("y")).where("a < b")
+    return out.join(alike.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "key")
+
+
+def _settled(cells: DataFrame, arrays: DataFrame, tables: Tables, t: int, gram: int, w: int) -> DataFrame:
     """The verified pairs (u, v, mine, theirs) among ``cells`` (key, node, n_words, places, part).
 
-    First each text is compared with the leader of its keys. A text that is not connected to it then by any pair, or whose place no passage covers yet, becomes a leader of that key
-    itself and is compared with all others of the key, FEW a round; rounds end when none is left. No two texts of a key are then untried, but those that are
-    connected and have passages about the key. A key that still has more than FEW such texts after a round is told apart by the tokens nearby.
+    First each text is compared with the leader of its keys. The places of keys where the leader refuted some are then grouped by the runs about them that near-duplicate passages
+    share: an edited copy has few such runs in common with others. A text that is not connected to all of its group, or whose place no passage covers yet, is compared with all
+    others of the group, FEW such texts a round; rounds end when none is left. No two texts that share a run are then untried, but those that are
+    connected and have passages about it. A group that still has more than FEW such texts after a round is told apart by the tokens nearby.
     """
     # The leader is a text whose windows are mostly shared: an edited copy has many of its own.
     first = cells.groupBy("key").agg(F.min(F.struct("part", "n_words", "node", "places")).alias("lead"))
@@ -555,37 +595,38 @@ def _settled(cells: DataFrame, arrays: DataFrame, tables: Tables, t: int, gram:
     held = tables.put(_verify(cells.join(first, "key").where("node <> v").withColumnRenamed("node", "u"), arrays, t, gram))
     found = held.where(F.size("mine") > 0).select("u", "v", "mine", "theirs")
     refuted = tables.put(held.select(F.explode("rest").alias("key")).distinct())
-    groups = cells.join(refuted, "key").join(first, "key")
-    groups = groups.select("key", "node", F.explode("places").alias("at"), (F.col("node") == F.col("v")).alias("done"), "v", F.col("there")[0].alias("there"))
-    groups, turn = tables.put(groups), 0
+    groups = tables.put(_by_runs(cells.join(refuted, "key").select("key", "node", F.explode("places").alias("at")), arrays, t, gram, w))
+    groups, turn = groups.withColumn("done", F.lit(False)), 0
     while True:
         comp = components(found.select("u", "v"), tables)
         sides = found.select(F.col("u").alias("node"), F.explode("mine").alias("s")).union(found.select("v", F.explode("theirs")))
         sides = sides.groupBy("node").agg(F.collect_set("s").alias("spans"))
         now = groups.join(comp, "node", "left").join(sides, "node", "left").withColumn("comp", F.coalesce("root", "node"))
         now = now.withColumn("covered", F.coalesce(F.exists("spans", lambda s: (s["first"] <= F.col("at")) & (s["last"] >= F.col("at") + gram - 1)), F.lit(False)))
-        now = tables.put(now.select("key", "node", "at", "done", "v", "there", "comp", "covered"))
-        main = now.groupBy("key").agg(F.min(F.struct(~F.col("done"), "comp")).alias("m"))
-        now = now.join(main, "key").withColumn("pending", ~F.col("done") & ((F.col("comp") != F.col("m.comp")) | ~F.col("covered"))).drop("m")
-        count = now.groupBy("key").agg(F.count_if("pending").alias("n"), F.min("node").alias("a"), F.max("node").alias("b")).where("n > 0 and a < b")
-        now = tables.put(now.join(count.select("key", "n"), "key"))
+        now = tables.put(now.select("key", "base", "node", "at", "done", "comp", "covered"))
+        main = now.groupBy("key").agg(F.min("comp").alias("m"), F.min(F.struct("node", "at")).alias("lead"))
+        now = now.join(main, "key").withColumn("pending", ~F.col("done") & ((F.col("comp") != F.col("m")) | ~F.col("covered"))).drop("m")
+        count = now.groupBy("key").agg(F.count_if("pending").alias("n")).where("n > 0")
+        now = tables.put(now.join(count, "key"))
         if now.isEmpty():
             return found
         if turn == 1 and not (many := tables.put(now.where(F.col("n") > FEW))).isEmpty():
-            apart = _told_apart(many.withColumn("told", ~F.col("pending")), arrays, t, gram).distinct()
-            apart = apart.select("key", "node", "at", F.lit(False).alias("done"), F.col("node").alias("v"), F.col("at").alias("there"))
-            groups, turn = tables.put(now.where(F.col("n") <= FEW).select(apart.columns).union(apart)), 2
+            told = many.select("key", "base", "node", "at", F.col("lead.node").alias("v"), F.col("lead.at").alias("there"), (~F.col("pending")).alias("told"))
+            apart = tables.put(_told_apart(told, arrays, t, gram).distinct())
+            shared = apart.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("key")
+            few = now.where(F.col("n") <= FEW).select("key", "base", "node", "at", "done")
+            groups, turn = tables.put(few.union(apart.join(shared, "key").select("key", "base", "node", "at", F.lit(False).alias("done")))), 2
             continue
         rank = F.row_number().over(Window.partitionBy("key").orderBy("node", "at"))
         lead = now.where("pending").select("key", "node", "at", rank.alias("rank")).where(F.col("rank") <= FEW).select("key", "node", "at", F.lit(True).alias("leads"))
         now = tables.put(now.join(lead, ["key", "node", "at"], "left").withColumn("leads", F.coalesce("leads", F.lit(False))))
-        more = tables.put(_by_leaders(now.select("key", "node", "at", "comp", "covered", "leads"), arrays, t, gram))
+        more = tables.put(_by_leaders(now.select("key", "base", "node", "at", "comp", "covered", "leads"), arrays, t, gram))
         # About their keys the passages of these pairs are followed as far as they go.
         pairs = more.select("u", "v").distinct().join(cells.select("key", F.col("node").alias("u"), "places"), "u")
         met = pairs.join(cells.select("key", F.col("node").alias("v"), F.col("places").alias("there")), ["key", "v"])
         whole = _verify(met.select("key", "u", "v", "places", "there"), arrays, t, gram).where(F.size("mine") > 0).select(found.columns)
         found = tables.put(found.union(more).union(whole))
-        groups = tables.put(now.select("key", "node", "at", (F.col("done") | F.col("leads")).alias("done"), "v", "there"))
+        groups = tables.put(now.select("key", "base", "node", "at", (F.col("done") | F.col("leads")).alias("done")))
         turn += 1
 
 
@@ -597,7 +638,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, label: str =
     passages connect it to, its own if none. Copies of min_words or more repeat as a whole; repeated rows are copies. Shorter texts, null and empty ones have no passages. A null
     id never names a component unless all ids are null. An empty table gives an empty table. A text of any length is read whole.
     """
-    tables, (t, gram, _) = Tables(docs.sparkSession, label), sizes(min_words)
+    tables, (t, gram, w) = Tables(docs.sparkSession, label), sizes(min_words)
     told = tables.put(docs.select("doc_id", windows(F.col("text"), min_words).alias("w")).select("doc_id", "w.*"))
     rows = told.select("doc_id", "node", "n_words")
     nodes = tables.put(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"), F.min("n_words").alias("n_words")))
@@ -613,7 +654,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, label: str =
     texts = texts.join(small(ids.where("doc_id is not null")), "doc_id", "left_semi").union(texts.where("doc_id is null"))
     arrays = texts.select(coded(F.col("text")).alias("c")).select("c.*").join(asked, "node", "left_semi")
     arrays = tables.put(arrays.groupBy("node").agg(F.first("h").alias("h")))
-    found = _settled(cells, arrays, tables, t, gram)
+    found = _settled(cells, arrays, tables, t, gram, w)
 
     whole = F.array(F.struct(F.lit(0).alias("first"), (F.col("n_words") - 1).alias("last")))
     sides = nodes.where((F.col("n") > 1) & (F.col("n_words") >= min_words)).select("node", F.lit(None).cast("bigint").alias("with"), whole.alias("spans"))

@@ -191,6 +191,16 @@ def budget_prefix(turn_commands: DataFrame, base: Column, caps: Capabilities, ke
     return turn_commands.withColumn("spent", spent).withColumn("kept", F.col("spent") <= advancement_budget(caps) - base)
 
 
+def preflight(turns: DataFrame, instances: DataFrame, tasks: DataFrame) -> DataFrame:
+    """``turns`` (instance_id, next_seq, task_id, worker_id, attempt) with ``conflict``: null if the turn may be applied, else why not: its instance is not found, has another next sequence, or
+    the turn's token does not own a workflow task of the instance."""
+    heads = instances.select(F.col("id").alias("instance_id"), F.col("next_seq").alias("__next"))
+    owned = tasks.where("kind = 'workflow'").select("instance_id", F.col("id").alias("task_id"), "worker_id", "attempt", F.lit(True).alias("__own"))
+    met = turns.join(heads, "instance_id", "left").join(owned, ["instance_id", "task_id", "worker_id", "attempt"], "left")
+    why = F.when(F.col("__next").isNull(), "not found").when(F.col("__next") != F.col("next_seq"), "sequence").when(F.col("__own").isNull(), "token")
+    return met.withColumn("conflict", why).drop("__next", "__own")
+
+
 def drain(inbox: DataFrame, heads: DataFrame, caps: Capabilities = Capabilities()) -> DataFrame:
     """Each undrained event with the journal seq that it gets: next_seq on, in inbox order, up to the drain limit of a turn. heads: instance_id, next_seq."""
     place = F.row_number().over(Window.partitionBy("instance_id").orderBy("seq", "created_at", "id"))

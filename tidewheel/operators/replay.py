@@ -12,11 +12,11 @@ import uuid
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta, timezone
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.model import COMMANDS, COMPLETIONS
+from tidewheel.functions.scalars import advancement_budget, drain_limit
+from tidewheel.model import COMMANDS, COMPLETIONS, Capabilities
 
 
 class Suspend(Exception):
@@ -338,45 +338,108 @@ def run_query(flow, events: list[Event], now: datetime, query: str, arg=None, va
 
 
 _END = {"completed": "workflow_completed", "failed": "workflow_failed", "canceled": "workflow_canceled", "continued": "continued_as_new"}
+#: Statuses of turns of which nothing is applied: the task is to be tried again later.
+REFUSED = ("violation", "over_budget")
 TURN_DDL = "instance_id string, status string, seq bigint, type string, name string, ref_seq bigint, payload string"
-
-
-def advance(flow, instance_id: str, log: list[Event], drained: list[Event], now: datetime, value=None) -> tuple[str, list[Event]]:
-    """(status, new events): drained inbox events take the next seqs, then the commands, then the end."""
+FOLD_DDL = TURN_DDL + ", inbox_id bigint, cut boolean"
+_COST = {"activity_scheduled": 2, "timer_created": 2, "child_scheduled": 4}
+
+
+def fitting(status: str, commands: list[Event], drained: int, caps: Capabilities, parent: bool = False) -> int | None:
+    """How many of a turn's commands one commit may carry; None if not even the first one, or not all of a turn that ends. The costs are those of ``advancement_ops``."""
+    budget, kids = advancement_budget(caps), sum(c.type == "child_scheduled" for c in commands)
+    if status != "suspended":
+        events = drained + len(commands) + (status in _END)
+        cost = 2 + events + 3 * (kids + (status == "continued")) + (0 if caps.swept else drained) + (parent and status != "continued")
+        return len(commands) if cost <= budget else None
+    left, kept = budget - 2 - 2 * drained, 0
+    for c in commands:
+        left -= _COST.get(c.type, 1)
+        if left < 0:
+            break
+        kept += 1
+    return None if commands and not kept else kept
+
+
+def advance(
+    flow, instance_id: str, log: list[Event], drained: list[Event], now: datetime, value=None, caps: Capabilities | None = None, attributes: dict | None = None, notes: dict | None = None, parent: bool = False
+) -> tuple[str, list[Event], bool]:
+    """(status, new events, cut): drained inbox events take the next seqs, then the commands, then the end. With ``caps`` a turn keeps the commands that fit its budget (cut: some
+    did not, and replay asks for them again), and one that ends over budget is refused."""
     seq = max((e.seq for e in log), default=0) + 1
     drained = [Event(seq + i, e.type, e.name, e.ref_seq, e.payload) for i, e in enumerate(drained)]
-    turn = run_turn(flow, [*log, *drained], now, value, instance_id=instance_id)
+    turn = run_turn(flow, [*log, *drained], now, value, instance_id=instance_id, attributes=attributes or {}, notes=notes or {})
     if turn.status == "violation":
-        return "violation", []
-    new = [*drained, *turn.commands]
+        return "violation", [], False
+    keep = len(turn.commands)
+    if caps is not None and (keep := fitting(turn.status, turn.commands, len(drained), caps, parent)) is None:
+        return "over_budget", [], False
+    new = [*drained, *turn.commands[:keep]]
     if turn.status in _END:
         new.append(Event(seq + len(new), _END[turn.status], "", 0, turn.payload))
-    return turn.status, new
-
-
-def fold_turns(journal: DataFrame, inbox: DataFrame, flow, now: datetime, idle_too: bool = False) -> DataFrame:
-    """One turn of every instance that has undrained events, or with idle_too of every one in ``journal``: rows of TURN_DDL. ``flow`` is a workflow, or
-    workflows by name; an instance of a name that is not there is left alone. A turn without new events is one row with a null seq. One instance's journal is one group, as replay needs all of it; a long
-    journal should be continued as new."""
-
-    def events(pdf: pd.DataFrame, order: list[str]) -> list[Event]:
-        rows = pdf.sort_values(order).itertuples(index=False)
-        return [Event(int(r.seq), r.type, r.name or "", int(r.ref_seq or 0), r.payload) for r in rows]
-
-    def one(key, log: pd.DataFrame, box: pd.DataFrame) -> pd.DataFrame:
-        columns = ["instance_id", "status", "seq", "type", "name", "ref_seq", "payload"]
-        if log.empty or box.empty and not idle_too:
-            return pd.DataFrame(columns=columns)
-        old = events(log, ["seq"])
-        code = flow.get(old[0].name) if isinstance(flow, dict) else flow
+    return turn.status, new, keep < len(turn.commands)
+
+
+def fold_turns(journal: DataFrame, inbox: DataFrame, flow, now: datetime, idle_too: bool = False, about: DataFrame | None = None, caps: Capabilities | None = None) -> DataFrame:
+    """One turn of every instance that has undrained events, or with idle_too of every one in ``journal``: rows of FOLD_DDL. ``flow`` is a workflow, or
+    workflows by name; an instance of a name that is not there is left alone. A turn without new events is one row with a null seq. inbox_id: the inbox row that an event was drained from.
+
+    about: instance_id, search_attributes, memo and parent_id, which the workflow's context starts with. caps: limits of a commit, which cap the drained events and the commands.
+    The rows of an instance are neighbours in one sorted partition, and read one by one. Replay needs all of its journal; a long one should be continued as new.
+    """
+    # New names for all columns: the sides may come from one table.
+    columns = {c: F.col(c) for c in ("instance_id", "seq", "type", "name", "payload")} | {"ref_seq": F.coalesce("ref_seq", F.lit(0)).cast("bigint")}
+    sides = [
+        journal.select(F.lit(1).alias("side"), F.lit(0).cast("bigint").alias("id"), *[v.alias(k) for k, v in columns.items()]),
+        inbox.select(F.lit(2).alias("side"), F.col("id"), *[v.alias(k) for k, v in columns.items()]),
+    ]
+    if about is not None:
+        said = F.to_json(F.struct(F.col("search_attributes").alias("attributes"), F.col("memo").alias("notes"), F.col("parent_id").isNotNull().alias("parent")))
+        sides.append(about.select(F.lit(0).alias("side"), F.lit(0).cast("bigint").alias("id"), "instance_id", F.lit(0).cast("bigint").alias("seq"), F.lit("about").alias("type"), F.lit("").alias("name"), said.alias("payload"), F.lit(0).cast("bigint").alias("ref_seq")))
+    rows = sides[0]
+    for side in sides[1:]:
+        rows = rows.unionByName(side)
+    parts = int(journal.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, "instance_id").sortWithinPartitions("instance_id", "side", "seq", "id")
+    order = ("instance_id", "side", "id", "seq", "type", "name", "ref_seq", "payload")
+
+    def one(key: str, told: dict, log: list[Event], box: list[tuple[int, Event]]):
+        if not log or not box and not idle_too:
+            return
+        code = flow.get(log[0].name) if isinstance(flow, dict) else flow
         if code is None:
-            return pd.DataFrame(columns=columns)
-        status, new = advance(code, key[0], old, events(box, ["seq", "id"]), now, _loads(old[0].payload))
-        rows = [(key[0], status, e.seq, e.type, e.name, e.ref_seq, e.payload) for e in new]
-        return pd.DataFrame(rows or [(key[0], status, None, None, None, None, None)], columns=columns).astype({"seq": "Int64", "ref_seq": "Int64"})
-
-    # New names for all columns: the two sides may come from one table.
-    columns = {c: F.col(c) for c in ("instance_id", "seq", "type", "name", "payload")} | {"ref_seq": F.coalesce("ref_seq", F.lit(0))}
-    j = journal.select(*[v.alias(k) for k, v in columns.items()])
-    b = inbox.select(*[v.alias(k) for k, v in (columns | {"id": F.col("id")}).items()])
-    return j.groupBy("instance_id").cogroup(b.groupBy("instance_id")).applyInPandas(one, TURN_DDL)
+            return
+        box = box[: drain_limit(caps)] if caps is not None else box
+        status, new, cut = advance(code, key, log, [e for _, e in box], now, _loads(log[0].payload), caps, **told)
+        for i, e in enumerate(new):
+            yield key, status, e.seq, e.type, e.name, e.ref_seq, e.payload, box[i][0] if i < len(box) else None, cut
+        if not new:
+            yield key, status, None, None, None, None, None, None, cut
+
+    def run(batches):
+        import pyarrow as pa
+
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
+        names = [c.split()[0] for c in FOLD_DDL.split(", ")]
+        key, told, log, box = None, {}, [], []
+
+        def record(out):
+            columns = list(zip(*out)) if out else [()] * len(kinds)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+        for b in batches:
+            out: list[tuple] = []
+            for instance, side, id, seq, kind, name, ref, payload in zip(*(b.column(c).to_pylist() for c in order)):
+                if instance != key:
+                    out.extend(one(key, told, log, box))
+                    key, told, log, box = instance, {}, [], []
+                if side == 0:
+                    told = _loads(payload)
+                elif side == 1:
+                    log.append(Event(seq, kind, name or "", ref, payload))
+                else:
+                    box.append((id, Event(seq, kind, name or "", ref, payload)))
+            yield record(out)
+        yield record(list(one(key, told, log, box)))
+
+    return rows.select(*order).mapInArrow(run, FOLD_DDL)

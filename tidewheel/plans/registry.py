@@ -78,20 +78,36 @@ def list_page_has_more(spark, sf):
     return rows.agg(F.least(F.count("*"), F.lit(size)).alias("shown"), (F.count("*") > size).alias("has_more"))
 
 
-@query("SELECT id, place FROM (SELECT event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY 0, ts, event_id) AS place FROM events) WHERE place <= 3")
+@query("SELECT id, place FROM (SELECT event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY 0, ts, event_id) AS place FROM events)")
 def inbox_order(spark, sf):
     box = S.events(spark, sf).select(F.col("event_id").alias("id"), F.lit(0).alias("seq"), F.col("ts").alias("created_at"), "user_id")
-    return box.withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy("seq", "created_at", "id"))).where("place <= 3").select("id", "place")
+    return box.withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy("seq", "created_at", "id"))).select("id", "place")
 
 
-@query(f"WITH {_I}, {_T} SELECT i.id, count(t.id) AS n_inbox, arg_min(t.id, (t.visible_at, t.id)) AS first_id FROM i LEFT JOIN t ON t.instance_id = i.id::VARCHAR WHERE i.id < 200 GROUP BY i.id")
+@query(f"WITH {_I}, {_T} SELECT i.id, count(t.id) AS n_inbox, arg_min(t.id, (t.visible_at, t.id)) AS first_id FROM i LEFT JOIN t ON t.instance_id = i.id::VARCHAR GROUP BY i.id")
 def load_heads(spark, sf):
-    inst = S.instances(spark, sf).where("id < 200").select(F.col("id").cast("string").alias("id"), "status")
+    inst = S.instances(spark, sf).select(F.col("id").cast("string").alias("id"), "status")
     box = S.events(spark, sf).select(F.col("user_id").cast("string").alias("instance_id"), F.lit(0).alias("seq"), F.col("ts").alias("created_at"), F.col("event_id").alias("id"), F.lit("signal_received").alias("type"), F.col("event_type").alias("name"), F.lit(0).alias("ref_seq"), F.col("props").alias("payload"))
     heads = reads.load_heads(inst, box)
     return heads.select(F.col("id").cast("bigint").alias("id"), F.coalesce(F.size("inbox"), F.lit(0)).cast("bigint").alias("n_inbox"), F.col("inbox")[0]["id"].alias("first_id"))
 
 
+@query(f"""WITH {_I}, {_J}, l AS (SELECT instance_id, count(*) AS n, arg_min(payload, seq) AS first, max(seq) AS last FROM j GROUP BY 1)
+  SELECT i.id, coalesce(l.n, 0) AS n_events, l.first AS first_payload, l.last AS last_seq FROM i LEFT JOIN l ON l.instance_id = i.id::VARCHAR""")
+def load_states(spark, sf):
+    inst = S.instances(spark, sf).select(F.col("id").cast("string").alias("id"), "status")
+    log = S.event_journal(spark, sf)
+    box = log.limit(0).withColumns({"id": F.col("seq"), "created_at": F.current_timestamp()})
+    rows = reads.load_states(inst, box, log)
+    last = F.element_at("journal", -1)
+    return rows.select(F.col("id").cast("bigint").alias("id"), F.coalesce(F.size("journal"), F.lit(0)).cast("bigint").alias("n_events"), F.col("journal")[0]["payload"].alias("first_payload"), last["seq"].alias("last_seq"))
+
+
+@query("SELECT 's3' AS id, o_orderdate AS next_run_at FROM orders WHERE o_orderkey = 3")
+def get_schedule(spark, sf):
+    return reads.get_schedule(_schedules(spark, sf), "s3").select("id", F.col("next_run_at").cast("timestamp_ntz").alias("next_run_at"))
+
+
 @query(f"WITH {_C} SELECT instance_id, seq FROM j WHERE seq > 3")
 def journal_since(spark, sf):
     log = S.journal(spark, sf)
@@ -157,9 +173,9 @@ def _leased(spark, sf):
     return S.tasks(spark, sf).withColumns({"worker_id": F.when(F.col("id") % 2 == 0, "w1").otherwise("w2"), "attempt": (F.col("id") % 3).cast("int"), "heartbeat": F.lit(None).cast("binary")})
 
 
-@query(f"SELECT event_id AS id, CASE WHEN event_id = 6 THEN TIMESTAMP '2024-01-20 00:01:00' ELSE ts END AS visible_at, CASE WHEN event_id = 8 THEN NULL WHEN event_id % 2 = 0 THEN 'w1' ELSE 'w2' END AS worker_id FROM events WHERE event_id < 20 AND event_id <> 8 UNION ALL SELECT 8, TIMESTAMP '{NOW}', NULL")
+@query(f"SELECT event_id AS id, CASE WHEN event_id = 6 THEN TIMESTAMP '2024-01-20 00:01:00' ELSE ts END AS visible_at, CASE WHEN event_id = 8 THEN NULL WHEN event_id % 2 = 0 THEN 'w1' ELSE 'w2' END AS worker_id FROM events WHERE event_id <> 8 UNION ALL SELECT 8, TIMESTAMP '{NOW}', NULL")
 def lease_changes(spark, sf):
-    rows = _leased(spark, sf).where("id < 20")
+    rows = _leased(spark, sf)
     rows = claims.extend_lease(rows, {"id": 6, "worker_id": "w1", "attempt": 0}, at(), 60_000)
     rows = claims.extend_lease(rows, {"id": 7, "worker_id": "w1", "attempt": 1}, at(), 60_000)  # another worker's: no change
     rows = claims.release_lease(rows, {"id": 8, "worker_id": "w1", "attempt": 2}, at())
@@ -179,9 +195,9 @@ def last_attributes(spark, sf):
     return J.last_value(S.event_journal(spark, sf), "signal_received")
 
 
-@query(f"WITH {_J} SELECT instance_id, bool_or(type = 'activity_failed' AND seq < 2000) AS found FROM j GROUP BY 1")
+@query(f"WITH {_J} SELECT instance_id, bool_or(type = 'activity_failed') AS found FROM j GROUP BY 1")
 def event_exists(spark, sf):
-    return J.has_event(S.event_journal(spark, sf).withColumn("type", F.when((F.col("type") == "activity_failed") & (F.col("seq") >= 2000), "other").otherwise(F.col("type"))), "activity_failed")
+    return J.has_event(S.event_journal(spark, sf), "activity_failed")
 
 
 @query(f"WITH {_J} SELECT instance_id, count(*) AS n FROM j GROUP BY 1 HAVING count(*) >= 60")
@@ -324,12 +340,12 @@ def orphan_tasks(spark, sf):
 # Mutations
 
 
-@query("WITH n AS (SELECT user_id * 100 AS id, event_type AS name, row_number() OVER (PARTITION BY user_id ORDER BY event_type) AS k FROM events) SELECT CASE WHEN k = 1 AND id NOT IN (SELECT o_orderkey FROM orders) THEN 'created' ELSE 'rejected' END AS what, count(*) AS n FROM n GROUP BY 1")
+@query("WITH n AS (SELECT user_id * 100 AS id, event_type AS name, row_number() OVER (PARTITION BY user_id ORDER BY event_type) AS k FROM events) SELECT CASE WHEN k = 1 AND id NOT IN (SELECT o_orderkey FROM orders) THEN 'created' ELSE 'rejected' END AS what, id, name, count(*) AS n FROM n GROUP BY ALL")
 def create_instances(spark, sf):
     new = S.events(spark, sf).select((F.col("user_id") * 100).alias("id"), F.col("event_type").alias("name"), F.lit("").alias("queue"), F.lit(None).cast("string").alias("input"))
     out = M.create_instances(S.instances(spark, sf), new, at())
-    rows = out["instances"].select(F.lit("created").alias("what")).union(out["rejected"].select(F.lit("rejected")))
-    return rows.groupBy("what").agg(F.count("*").alias("n"))
+    rows = out["instances"].select(F.lit("created").alias("what"), "id", "name").union(out["rejected"].select(F.lit("rejected"), "id", "name"))
+    return rows.groupBy("what", "id", "name").agg(F.count("*").alias("n"))
 
 
 @query("""WITH e AS (SELECT event_id, user_id, json_extract_string(props, '$.k') AS k FROM events),
@@ -340,20 +356,24 @@ def signal_dedupe(spark, sf):
     return M.deliver(e.where("event_id >= 200"), e.where("event_id < 200")).select(F.col("event_id").alias("id"))
 
 
-@query(f"WITH {_I}, d AS (SELECT event_id, user_id FROM events WHERE event_id % 2 = 0 AND event_id % 3 = 1) SELECT 'inbox' AS what, count(*) AS n FROM d JOIN i ON i.id = d.user_id WHERE i.status = 'running' UNION ALL SELECT 'tasks', (SELECT count(*) FROM events) - (SELECT count(*) FROM d) UNION ALL SELECT 'superseded', count(*) FROM events WHERE event_id % 2 = 0 AND event_id % 3 <> 1")
+@query(f"""WITH {_I}, d AS (SELECT event_id, user_id FROM events WHERE event_id % 2 = 0 AND event_id % 3 = 1)
+  SELECT 'inbox' AS what, event_id AS id FROM d JOIN i ON i.id = d.user_id WHERE i.status = 'running' UNION ALL SELECT 'tasks', event_id FROM events WHERE event_id NOT IN (SELECT event_id FROM d)
+  UNION ALL SELECT 'superseded', event_id FROM events WHERE event_id % 2 = 0 AND event_id % 3 <> 1""")
 def complete_activity(spark, sf):
     tasks = _leased(spark, sf).withColumn("instance_id", F.col("instance_id").cast("bigint"))
     done = tasks.where("id % 2 = 0").select(F.col("id").alias("task_id"), "worker_id", F.lit(1).alias("attempt"), F.lit("activity_completed").alias("type"), F.lit("1").alias("payload"), F.lit(0).cast("bigint").alias("ref_seq"))
     out = M.complete_activities(tasks, S.instances(spark, sf), done)
-    count = lambda k: out[k].agg(F.lit(k).alias("what"), F.count("*").alias("n"))
-    return count("inbox").union(count("tasks")).union(count("superseded"))
+    rows = lambda k, id: out[k].select(F.lit(k).alias("what"), F.col(id).alias("id"))
+    return rows("inbox", "ref_seq").union(rows("tasks", "id")).union(rows("superseded", "task_id"))
 
 
-@query("SELECT 7 AS id, 'terminated' AS status, count(*) AS left_children FROM lineitem WHERE l_orderkey <> 7")
+@query(f"""WITH {_I} SELECT id, CASE WHEN id = 7 THEN 'terminated' ELSE status END AS status, coalesce(n, 0) AS left_children FROM i
+  LEFT JOIN (SELECT l_orderkey AS id, count(*) AS n FROM lineitem WHERE l_orderkey <> 7 GROUP BY 1) USING (id)""")
 def terminate_instance(spark, sf):
     kids = S.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("instance_id"))
     out = M.terminate({"instances": S.instances(spark, sf)} | {t: kids for t in ("tasks", "timers", "signal_dedupe", "inbox")}, 7, at())
-    return out["instances"].where("id = 7").select(F.col("id").cast("int").alias("id"), "status").crossJoin(out["tasks"].agg(F.count("*").alias("left_children")))  # one row each
+    left = out["tasks"].groupBy(F.col("instance_id").alias("id")).agg(F.count("*").alias("n"))
+    return out["instances"].join(left, "id", "left").select("id", "status", F.coalesce("n", F.lit(0)).alias("left_children"))
 
 
 @query(f"SELECT o_orderkey AS instance_id, o_orderkey AS seq FROM orders WHERE o_orderdate <= TIMESTAMP '{ORDERS_NOW}' ORDER BY o_orderdate, o_orderkey LIMIT 100")
@@ -362,11 +382,12 @@ def due_timers(spark, sf):
     return M.due_timers(timers, at(ORDERS_NOW)).select("instance_id", "seq")
 
 
-@query(f"WITH d AS (SELECT * FROM orders WHERE o_orderdate <= TIMESTAMP '{ORDERS_NOW}' ORDER BY o_orderdate, o_orderkey LIMIT 100) SELECT count(*) AS fired, count_if(o_orderstatus = 'O') AS delivered FROM d")
+@query(f"SELECT o_orderkey AS instance_id, o_orderkey AS seq, o_orderstatus = 'O' AS delivered FROM orders WHERE o_orderdate <= TIMESTAMP '{ORDERS_NOW}' ORDER BY o_orderdate, o_orderkey LIMIT 100")
 def fire_timers(spark, sf):
     timers = S.table(spark, sf, "orders").select(F.col("o_orderkey").alias("instance_id"), F.col("o_orderkey").alias("seq"), F.col("o_orderdate").alias("fire_at"))
     out = M.fire_timers(timers, S.instances(spark, sf), at(ORDERS_NOW))
-    return out["fired"].join(out["inbox"].select("instance_id", F.lit(1).alias("got")), "instance_id", "left").agg(F.count("*").alias("fired"), F.count("got").alias("delivered"))
+    got = out["inbox"].select("instance_id", F.col("ref_seq").alias("seq"), F.lit(True).alias("got"))
+    return out["fired"].join(got, ["instance_id", "seq"], "left").select("instance_id", "seq", F.coalesce("got", F.lit(False)).alias("delivered"))
 
 
 def _schedules(spark, sf):
@@ -401,12 +422,13 @@ def purge_victims(spark, sf):
     return M.purge_victims(S.instances(spark, sf), at(ORDERS_NOW), 3_600_000).select("id")
 
 
-@query(f"WITH v AS ({_VICTIMS}) SELECT (SELECT count(*) FROM orders WHERE o_orderkey NOT IN (SELECT id FROM v)) AS instances, (SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT id FROM v)) AS children")
+@query(f"WITH v AS ({_VICTIMS}) SELECT 'instance' AS what, o_orderkey AS id, 1 AS n FROM orders WHERE o_orderkey NOT IN (SELECT id FROM v) UNION ALL SELECT 'child', l_orderkey, count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT id FROM v) GROUP BY ALL")
 def purge_survivors(spark, sf):
     inst = S.instances(spark, sf)
     kids = S.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("instance_id"))
     out = M.purge({"instances": inst, "journal": kids}, M.purge_victims(inst, at(ORDERS_NOW), 3_600_000))
-    return out["instances"].agg(F.count("*").alias("instances")).crossJoin(out["journal"].agg(F.count("*").alias("children")))  # one row each
+    kids = out["journal"].groupBy("instance_id").agg(F.lit("child").alias("what"), F.count("*").alias("n"))
+    return out["instances"].select(F.lit("instance").alias("what"), "id", F.lit(1).cast("bigint").alias("n")).union(kids.select("what", "instance_id", "n"))
 
 
 # Turns
@@ -493,10 +515,111 @@ def _flow(ctx, value):
     return [a, b]
 
 
-@query()
-def turn_fold_batch(spark, sf):
+def _clicks(spark, sf):
+    """Journals of one event, and clicks as signals to them."""
     e = S.events(spark, sf).where("event_type = 'click'")
     u = F.col("user_id").cast("string")
     started = e.select(u.alias("instance_id")).distinct().select("instance_id", F.lit(1).cast("bigint").alias("seq"), F.lit("workflow_started").alias("type"), F.lit("w").alias("name"), F.lit(0).cast("bigint").alias("ref_seq"), F.lit(None).cast("string").alias("payload"))
     box = e.select(u.alias("instance_id"), F.col("event_id").alias("id"), F.col("event_id").alias("seq"), F.lit("signal_received").alias("type"), F.lit("go").alias("name"), F.lit(0).cast("bigint").alias("ref_seq"), F.get_json_object("props", "$.k").alias("payload"))
-    return replay.fold_turns(started, box, _flow, datetime(2024, 2, 1, tzinfo=timezone.utc))
+    return started, box
+
+
+_THEN = datetime(2024, 2, 1, tzinfo=timezone.utc)
+_DRAINED = "SELECT user_id::VARCHAR AS instance_id, 'suspended' AS status, 1 + row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, 'signal_received' AS type, 'go' AS name, 0 AS ref_seq, json_extract_string(props, '$.k') AS payload, event_id AS inbox_id, false AS cut FROM events WHERE event_type = 'click'"
+
+
+@query(_DRAINED + " UNION ALL SELECT user_id::VARCHAR, 'suspended', 2 + count(*), 'timer_created', '', 0, '{\"fire_at\": \"2024-02-01T01:00:00+00:00\"}', NULL, false FROM events WHERE event_type = 'click' GROUP BY user_id HAVING count(*) >= 2")
+def turn_fold_batch(spark, sf):
+    return replay.fold_turns(*_clicks(spark, sf), _flow, _THEN)
+
+
+def _fans_out(ctx, value):
+    ctx.all(*[ctx.start("a", k) for k in range(20)])
+
+
+@query(f"""WITH d AS ({_DRAINED}), n AS (SELECT instance_id, least(count(*), 10) AS n FROM d GROUP BY 1)
+  SELECT instance_id, count(*) AS events, max(seq) AS last_seq, true AS cut FROM (SELECT instance_id, seq FROM d WHERE seq <= 11
+  UNION ALL SELECT instance_id, 1 + n + k FROM n, (SELECT unnest(range(1, 21)) AS k) WHERE 2 * k <= 40 - 2 - 2 * n) GROUP BY 1""")
+def turn_budget(spark, sf):
+    """Turns under a limit of 40 effects: 10 signals drained at most, and the activities that fit beside them."""
+    rows = replay.fold_turns(*_clicks(spark, sf), _fans_out, _THEN, caps=Capabilities(40))
+    return rows.groupBy("instance_id").agg(F.count("seq").alias("events"), F.max("seq").alias("last_seq"), F.bool_or("cut").alias("cut"))
+
+
+def _ends(ctx, value):
+    for _ in range(value):
+        ctx.start_child("c")
+
+
+@query("SELECT user_id::VARCHAR AS instance_id, CASE WHEN 2 + k + 1 + 3 * k + (user_id % 2) <= 100 THEN 'completed' ELSE 'over_budget' END AS status FROM (SELECT user_id, count(*) AS k FROM events WHERE event_type = 'click' GROUP BY 1)")
+def terminal_over_budget(spark, sf):
+    """Turns that end with as many children as the user has clicks: over 100 operations they are refused whole."""
+    e = S.events(spark, sf).where("event_type = 'click'").groupBy("user_id").agg(F.count("*").alias("n"))
+    started = e.select(F.col("user_id").cast("string").alias("instance_id"), F.lit(1).cast("bigint").alias("seq"), F.lit("workflow_started").alias("type"), F.lit("w").alias("name"), F.lit(0).alias("ref_seq"), F.col("n").cast("string").alias("payload"))
+    about = e.select(F.col("user_id").cast("string").alias("instance_id"), F.lit(None).cast("map<string,string>").alias("search_attributes"), F.lit(None).cast("map<string,string>").alias("memo"), F.when(F.col("user_id") % 2 == 1, "p").alias("parent_id"))
+    rows = replay.fold_turns(started, _clicks(spark, sf)[1].limit(0), _ends, _THEN, True, about, Capabilities())
+    return rows.select("instance_id", "status").distinct()
+
+
+def _notes(ctx, value):
+    ctx.upsert_attributes({"b": "x", "c": ""})
+    ctx.upsert_memo({"note": "m"})
+    ctx.receive("never")
+
+
+@query("SELECT user_id::VARCHAR AS instance_id, t.type, CASE t.type WHEN 'search_attributes_updated' THEN '{\"a\": \"' || user_id || '\", \"b\": \"x\"}' ELSE '{\"old\": \"1\", \"note\": \"m\"}' END AS payload FROM (SELECT DISTINCT user_id FROM events WHERE event_type = 'click'), (VALUES ('search_attributes_updated'), ('memo_updated')) t(type)")
+def attributes_upserted(spark, sf):
+    """What instances were started with stays, unless it is patched."""
+    started, box = _clicks(spark, sf)
+    about = started.select("instance_id", F.create_map(F.lit("a"), "instance_id", F.lit("c"), F.lit("2")).alias("search_attributes"), F.create_map(F.lit("old"), F.lit("1")).alias("memo"), F.lit(None).cast("string").alias("parent_id"))
+    return replay.fold_turns(started, box.limit(0), _notes, _THEN, True, about).select("instance_id", "type", "payload")
+
+
+def _reads_back(ctx, value):
+    return [ctx.clock().isoformat(), ctx.side_effect(lambda: -1), ctx.version("c", 1, 2)]
+
+
+@query("SELECT user_id::VARCHAR AS instance_id, 5 AS seq, '[\"2024-01-01T00:00:00+00:00\", ' || count(*) || ', 1]' AS payload FROM events GROUP BY user_id")
+def replay_recorded(spark, sf):
+    """Recorded clocks, side effects and versions are read back, whatever the code would give now."""
+    e = S.events(spark, sf).groupBy(F.col("user_id").cast("string").alias("instance_id")).agg(F.count("*").alias("n"))
+    kinds = [("workflow_started", "w", F.lit(None)), ("now_recorded", "", F.lit('"2024-01-01T00:00:00+00:00"')), ("side_effect", "", F.col("n").cast("string")), ("version_marker", "c", F.lit('{"change_id": "c", "version": 1}'))]
+    rows = F.array(*[F.struct(F.lit(k).cast("bigint").alias("seq"), F.lit(t).alias("type"), F.lit(n).alias("name"), F.lit(0).alias("ref_seq"), p.cast("string").alias("payload")) for k, (t, n, p) in enumerate(kinds, 1)])
+    log = e.select("instance_id", F.explode(rows).alias("r")).select("instance_id", "r.*")
+    out = replay.fold_turns(log, _clicks(spark, sf)[1].limit(0), _reads_back, _THEN, True)
+    return out.where("type = 'workflow_completed'").select("instance_id", "seq", "payload")
+
+
+@query(f"""WITH {_I}, t AS (SELECT event_id, user_id, event_id % 4 AS next_seq FROM events)
+  SELECT event_id AS id, CASE WHEN i.id IS NULL THEN 'not found' WHEN t.next_seq <> 2 THEN 'sequence' WHEN event_id % 3 <> 1 THEN 'token' END AS conflict FROM t LEFT JOIN i ON i.id = t.user_id""")
+def turn_preflight(spark, sf):
+    """Turns of the events' users, of which each owns the task with the event's id if the attempt is 1."""
+    turns = S.events(spark, sf).select(F.col("event_id").alias("id"), F.col("user_id").alias("instance_id"), (F.col("event_id") % 4).alias("next_seq"), F.col("event_id").alias("task_id"), F.when(F.col("event_id") % 2 == 0, "w1").otherwise("w2").alias("worker_id"), F.lit(1).alias("attempt"))
+    inst = S.instances(spark, sf).select("id", F.lit(2).alias("next_seq"))
+    tasks = _leased(spark, sf).withColumns({"instance_id": F.col("instance_id").cast("bigint"), "kind": F.lit("workflow")})
+    return J.preflight(turns, inst, tasks).select("id", "conflict")
+
+
+@query(f"""SELECT event_id AS id, CASE event_id WHEN 6 THEN TIMESTAMP '2024-01-20 00:01:00' WHEN 10 THEN TIMESTAMP '2024-01-20 00:00:05' WHEN 14 THEN TIMESTAMP '2024-01-20 00:00:09' ELSE ts END AS visible_at,
+  CASE WHEN event_id IN (10, 14) THEN NULL WHEN event_id % 2 = 0 THEN 'w1' ELSE 'w2' END AS worker_id, CASE WHEN event_id = 6 THEN 'half' END AS details FROM events""")
+def lease_ends(spark, sf):
+    """A heartbeat with details, a nack, a retry, and a retry whose attempt is an older one."""
+    rows = claims.record_heartbeat(_leased(spark, sf), {"id": 6, "worker_id": "w1", "attempt": 0}, at(), 60_000, b"half")
+    rows = claims.nack(rows, {"id": 10, "worker_id": "w1", "attempt": 1}, at(), 5_000)
+    rows = claims.retry_activity(rows, {"id": 14, "worker_id": "w1", "attempt": 2}, at(), 9_000)
+    rows = claims.retry_activity(rows, {"id": 15, "worker_id": "w2", "attempt": 2}, at(), 9_000)
+    return rows.select("id", F.col("visible_at").cast("timestamp_ntz").alias("visible_at"), "worker_id", F.col("heartbeat").cast("string").alias("details"))
+
+
+@query("SELECT event_id AS id, CASE WHEN strlen(props) <= 5 THEN props ELSE substr(props, 1, 5) || '…' END AS shown FROM events")
+def shortened(spark, sf):
+    return S.events(spark, sf).select(F.col("event_id").alias("id"), X.shorten(F.col("props"), 5).alias("shown"))
+
+
+@query(f"SELECT 's' || o_orderkey AS id, CASE WHEN o_orderstatus = 'O' THEN '@daily' ELSE '0 * * * *' END AS cron, CASE WHEN o_orderkey = 3 THEN true ELSE o_orderstatus = 'P' END AS paused, CASE WHEN o_orderstatus = 'O' THEN TIMESTAMP '2000-01-02 00:00:00' ELSE o_orderdate END AS next_run_at FROM orders")
+def schedule_changes(spark, sf):
+    """The open orders' schedules with another rule, and one paused."""
+    rows = _schedules(spark, sf).withColumns({"queue": F.lit("default"), "input": F.lit(None).cast("string"), "updated_at": at(ORDERS_NOW)})
+    new = S.table(spark, sf, "orders").where("o_orderstatus = 'O'").select(F.concat(F.lit("s"), "o_orderkey").alias("id"), F.lit("@daily").alias("cron"), F.lit("w").alias("workflow"), F.lit("").alias("queue"), F.lit(None).cast("string").alias("input"), F.lit(False).alias("paused"))
+    out = M.pause_schedule(M.upsert_schedules(rows, new, at(ORDERS_NOW)), "s3", True)
+    return out.select("id", "cron", "paused", F.col("next_run_at").cast("timestamp_ntz").alias("next_run_at"))

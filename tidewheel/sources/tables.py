@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.model import DDL, schema
+from tidewheel.model import DDL, Conflict, schema
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,53 +59,99 @@ def instances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class Store:
-    """The seven tables as parquet folders under one path. The journal only grows; other tables are replaced as a whole, by a new version
-    that becomes current when its pointer file is renamed into place."""
+    """The seven tables as parquet folders under one path. A manifest names the folders of every table; a commit writes new folders and then one new manifest, so that changes of
+    several tables become visible together or not at all. The greatest manifest counts."""
+
+    #: Folders of a table from which on an append rewrites it as one.
+    MOST_FOLDERS = 64
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
+    def _manifests(self) -> list[int]:
+        folder = self._path(f"{self.path}/_manifests")
+        if not self._fs.exists(folder):
+            return []
+        return sorted(int(s.getPath().getName()) for s in self._fs.listStatus(folder) if s.getPath().getName().isdigit())
+
+    def _load(self, n: int) -> dict[str, list[str]]:
+        stream = self._fs.open(self._path(f"{self.path}/_manifests/{n:012d}"))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def _tables(self) -> dict[str, list[str]]:
+        found = self._manifests()
+        return self._load(found[-1]) if found else {}
+
+    def version(self) -> int:
+        """The number of the last commit, 0 before any."""
+        return max(self._manifests(), default=0)
+
     def migrate(self) -> list[str]:
         """Create what is missing; returns the names of the tables created."""
-        made = [name for name in DDL if self.version(name) is None]
-        for name in made:
-            self.replace(name, self.spark.createDataFrame([], schema(name)))
+        made = [name for name in DDL if name not in self._tables()]
+        if made:
+            self.commit({name: self.spark.createDataFrame([], schema(name)) for name in made})
         return made
 
     def validate(self) -> None:
         """Fail if a table is missing or its columns are not the model's."""
+        tables = self._tables()
         for name in DDL:
-            if self.version(name) is None:
+            if name not in tables:
                 raise LookupError(f"table {name} is missing; run migrate()")
             if [(f.name, f.dataType) for f in self.read(name).schema] != [(f.name, f.dataType) for f in schema(name)]:
                 raise TypeError(f"table {name} has other columns than the model")
 
-    def version(self, name: str) -> int | None:
-        folder = self._path(f"{self.path}/{name}")
-        if not self._fs.exists(folder):
-            return None
-        found = [int(s.getPath().getName()[8:]) for s in self._fs.listStatus(folder) if s.getPath().getName().startswith("current-")]
-        return max(found, default=None)
-
     def read(self, name: str) -> DataFrame:
-        if (v := self.version(name)) is None:
+        if (folders := self._tables().get(name)) is None:
             raise LookupError(f"table {name} is missing; run migrate()")
-        return self.spark.read.schema(schema(name)).parquet(f"{self.path}/{name}/v{v}")
+        return self.spark.read.schema(schema(name)).parquet(*[f"{self.path}/{name}/{f}" for f in folders])
+
+    def commit(self, replace: dict[str, DataFrame] | None = None, append: dict[str, DataFrame] | None = None, base: int | None = None) -> int:
+        """Replace whole tables and append to others in one step. With ``base`` the step is refused (Conflict) if there was a commit after that version; readers of older versions
+        are not disturbed for two commits more. Rows may come from the tables that they replace."""
+        made: dict[str, tuple[str, bool]] = {}
+        tables = self._tables()
+        for name, rows, whole in [*((k, v, True) for k, v in (replace or {}).items()), *((k, v, False) for k, v in (append or {}).items())]:
+            rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in schema(name)])
+            if not whole and len(tables.get(name, ())) >= self.MOST_FOLDERS:
+                rows, whole = self.read(name).unionByName(rows), True
+                base = self.version() if base is None else base
+            made[name] = uuid.uuid4().hex, whole
+            rows.write.parquet(f"{self.path}/{name}/{made[name][0]}")
+        found = self._manifests()
+        last = max(found, default=0)
+        if base is not None and base != last:
+            raise Conflict(f"version {last} came after {base}")
+        tables = self._load(last) if found else {}
+        for name, (folder, whole) in made.items():
+            tables[name] = [folder] if whole else [*tables.get(name, ()), folder]
+        # Written aside and renamed: a reader never sees half of a manifest, and of two writers one finds its name taken.
+        aside, place = self._path(f"{self.path}/_manifests/{uuid.uuid4().hex}.part"), self._path(f"{self.path}/_manifests/{last + 1:012d}")
+        stream = self._fs.create(aside)
+        stream.write(bytearray(json.dumps(tables).encode()))
+        stream.close()
+        if self._fs.exists(place) or not self._fs.rename(aside, place):
+            raise Conflict(f"version {last + 1} was taken")
+        for old in found[:-2]:
+            gone = {(name, f) for name, folders in self._load(old).items() for f in folders}
+            for n in [*[x for x in found if x > old], last + 1]:
+                gone -= {(name, f) for name, folders in self._load(n).items() for f in folders}
+            for name, f in gone:
+                self._fs.delete(self._path(f"{self.path}/{name}/{f}"), True)
+            self._fs.delete(self._path(f"{self.path}/_manifests/{old:012d}"), False)
+        return last + 1
 
     def replace(self, name: str, rows: DataFrame) -> None:
-        """Write a new version; readers of the old one are not disturbed. Only one writer may replace a table."""
-        v = (self.version(name) or 0) + 1
-        rows.select(*[F.col(f.name).cast(f.dataType) for f in schema(name)]).write.mode("overwrite").parquet(f"{self.path}/{name}/v{v}")
-        self._fs.createNewFile(self._path(f"{self.path}/{name}/current-{v}"))
-        if v > 2:  # the version before the last is no longer read
-            self._fs.delete(self._path(f"{self.path}/{name}/current-{v - 2}"), False)
-            self._fs.delete(self._path(f"{self.path}/{name}/v{v - 2}"), True)
+        self.commit({name: rows})
 
     def append(self, name: str, rows: DataFrame) -> None:
-        v = self.version(name)
-        rows.select(*[F.col(f.name).cast(f.dataType) for f in schema(name)]).write.mode("append").parquet(f"{self.path}/{name}/v{v}")
+        self.commit(append={name: rows})
 
     def hold(self, rows: DataFrame) -> DataFrame:
         """A written copy of rows that depend on tables about to change: a cache would be dropped with them."""

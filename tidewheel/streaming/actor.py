@@ -6,11 +6,14 @@ import json
 from datetime import datetime, timezone
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidewheel.operators.replay import TURN_DDL, Event, advance
 
+#: Status of rows that are not journal events but starts of new instances: children, and runs that go on as new.
+SPAWNED = "spawned"
 INBOX_DDL = "instance_id string, id bigint, type string, name string, ref_seq bigint, payload string, dedupe_id string, ts timestamp"
 
 
@@ -30,7 +33,8 @@ class Actor(StatefulProcessor):
         log = [Event(r[0], r[1], r[2], r[3], r[4]) for r in self.log.get()]
         now = datetime.fromtimestamp(now_ms / 1000, timezone.utc)
         value = json.loads(log[0].payload) if log and log[0].payload else None
-        status, new = advance(self.flow, key[0], log, fresh, now, value)
+        held = {e.type: json.loads(e.payload) for e in log if e.type in ("search_attributes_updated", "memo_updated")}  # the last of either
+        status, new, _ = advance(self.flow, key[0], log, fresh, now, value, attributes=held.get("search_attributes_updated"), notes=held.get("memo_updated"))
         if new:
             self.log.appendList([(e.seq, e.type, e.name, e.ref_seq, e.payload) for e in new])
         for e in new:
@@ -39,7 +43,14 @@ class Actor(StatefulProcessor):
                 self.handle.registerTimer(max(int(due.timestamp() * 1000), now_ms + 1))
         if status not in ("suspended", "violation"):
             self.ended.update((status,))
-        return pd.DataFrame([(key[0], status, e.seq, e.type, e.name, e.ref_seq, e.payload) for e in new], columns=["instance_id", "status", "seq", "type", "name", "ref_seq", "payload"])
+        rows = [(key[0], status, e.seq, e.type, e.name, e.ref_seq, e.payload) for e in new]
+        for e in new:
+            said = json.loads(e.payload) if e.payload and e.type == "child_scheduled" else {}
+            if e.type == "child_scheduled":
+                rows.append((said["child_id"], SPAWNED, 1, "workflow_started", said["name"], 0, json.dumps(said.get("input"))))
+            elif e.type == "continued_as_new":
+                rows.append((f"{key[0]}~{e.seq}", SPAWNED, 1, "workflow_started", log[0].name, 0, e.payload))
+        return pd.DataFrame(rows, columns=["instance_id", "status", "seq", "type", "name", "ref_seq", "payload"])
 
     def handleInputRows(self, key, rows, timerValues):
         box = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "id"])
@@ -48,18 +59,21 @@ class Actor(StatefulProcessor):
         known, fresh, out = self.log.exists(), [], []
         for r in box.itertuples(index=False):
             if not known:
+                if r.type != "workflow_started":
+                    continue  # no such instance
                 first = Event(1, "workflow_started", r.name or "", 0, r.payload)
                 self.log.put([(1, first.type, first.name, 0, first.payload)])
                 out.append((key[0], "running", 1, first.type, first.name, 0, first.payload))
                 known = True
-                if r.type == "workflow_started":
-                    continue
+                continue
             if r.dedupe_id:
                 if self.seen.containsKey((r.dedupe_id,)):
                     continue
                 self.seen.updateValue((r.dedupe_id,), (int(r.id),))
             if r.type != "workflow_started":
                 fresh.append(Event(0, r.type, r.name or "", int(r.ref_seq or 0), r.payload))
+        if not known:
+            return
         if out:
             yield pd.DataFrame(out, columns=["instance_id", "status", "seq", "type", "name", "ref_seq", "payload"])
         yield self._turn(key, fresh, int(box["ts"].max().timestamp() * 1000))
@@ -79,7 +93,8 @@ class Actor(StatefulProcessor):
 
 
 def run_actors(inbox: DataFrame, flow, watermark: str = "0 seconds") -> DataFrame:
-    """Journal events of all instances (rows of TURN_DDL) from a stream of INBOX_DDL. An instance starts with its first event."""
+    """Journal events of all instances (rows of TURN_DDL) from a stream of INBOX_DDL. An instance starts with a workflow_started event; other events for an id that never started are
+    dropped. Rows of status SPAWNED start further instances: ``spawned`` makes inbox rows of them, for the stream that feeds this one."""
     return (
         inbox.withWatermark("ts", watermark)
         .groupBy("instance_id")
@@ -91,6 +106,12 @@ def journal_sink(path: str):
     """A foreachBatch function that appends each micro-batch to its own folder: written again after a failure, it replaces itself."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        batch.where(F.col("status") != SPAWNED).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return write
+
+
+def spawned(rows: DataFrame, ts: Column) -> DataFrame:
+    """Inbox rows (INBOX_DDL) that start the children and continued runs among ``run_actors``' rows. Starting an instance again has no effect."""
+    new = rows.where(F.col("status") == SPAWNED)
+    return new.select("instance_id", F.lit(0).cast("bigint").alias("id"), "type", "name", "ref_seq", "payload", F.lit(None).cast("string").alias("dedupe_id"), ts.alias("ts"))

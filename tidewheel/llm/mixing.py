@@ -54,14 +54,15 @@ def mix(sized: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: s
 
     The words taken from a source differ from its target by half of one document at most. Each source's order is cut into
     buckets by the hash, so many that one holds some EDGE_ROWS rows; only the bucket in which the target is reached is ranked row by row, so a hot source is
-    never ordered in one task. The hash takes the id, the size and ``more`` (columns that tell rows of one id, or of none, apart): only rows alike in all of them share a bucket.
+    never ordered in one task. The hash takes the id and ``more`` (columns that tell rows of one id, or of none, apart): only rows alike in all of them share a bucket.
     Null sources form a source of their own, the last. Rows of size 0 and null ids are allowed; rows with the same
     id are ordered by size. A row of size 0 is taken as often as its source's rows are at least. An empty table gives an empty table.
     """
     rows_in_all = sized.count()
     digits = min(12, max(3, math.ceil(math.log(max(rows_in_all, 1) / EDGE_ROWS, 16))))
-    mark = F.md5(F.concat_ws("|", F.lit(seed), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", "size", *more)]))
+    mark = F.md5(F.concat_ws("|", F.lit(seed), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("doc_id", *more)]))
     own = [c for c in sized.columns if c not in ("source_size", "target", "copies")]
+    some = F.col("__some") if "__some" in own else F.col("size") > 0  # cheaper than the size, where that is not written
     rows = sized.select(*own, mark.alias("__mark")).withColumn("__bucket", F.substring("__mark", 1, digits))
     buckets = rows.groupBy("source", "__bucket").agg(F.sum("size").alias("n"))
     goals = water_fill(buckets.groupBy("source").agg(F.sum("n").alias("source_size")), weights, max_epochs)
@@ -83,10 +84,10 @@ def mix(sized: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: s
     )
     plan = small(plan).alias("p")  # one row a source
     met = rows.alias("__rows").join(plan, F.expr("__rows.source <=> p.source")).select("__rows.*", "p.source_size", "p.target", "p.whole", "p.rest", "p.cut_at", "p.cut_before")
-    outside = met.where("__bucket <> cut_at").withColumn("copies", F.col("whole") + ((F.col("__bucket") < F.col("cut_at")) & (F.col("size") > 0)).cast("long"))
+    outside = met.where("__bucket <> cut_at").withColumn("copies", F.col("whole") + ((F.col("__bucket") < F.col("cut_at")) & some).cast("long"))
     inside = Window.partitionBy("source").orderBy("__mark", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     upto = F.col("cut_before") + F.sum("size").over(inside)
-    edge = met.where("__bucket = cut_at").withColumn("copies", F.col("whole") + ((2 * upto - F.col("size") <= 2 * F.col("rest")) & (F.col("size") > 0)).cast("long"))
+    edge = met.where("__bucket = cut_at").withColumn("copies", F.col("whole") + ((2 * upto - F.col("size") <= 2 * F.col("rest")) & some).cast("long"))
     keep = [*own, "source_size", "target", "copies"]
     return outside.select(*keep).union(edge.select(*keep))
 
@@ -95,7 +96,7 @@ def repeat_by_mix(docs: DataFrame) -> DataFrame:
     """The documents as often as the mix takes them, with their own columns. Only rows where a target is reached are shuffled. Null and empty texts, null ids and sources,
     repeated rows and an empty table: as in ``mix``."""
     own = [F.col(f"__doc.`{c}`").alias(c) for c in docs.columns]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), "doc_id", "source", word_count(F.col("text")).alias("size"), F.crc32("text").alias("__crc"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), "doc_id", "source", word_count(F.col("text")).alias("size"), F.crc32("text").alias("__crc"), F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)).alias("__some"))
     taken = mix(rows, more=("__crc",)).where("copies > 0")
     return taken.select(F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))), "__doc").select(*own)
 
@@ -104,7 +105,7 @@ def op5_mix_sources(spark, sf_dir: str) -> DataFrame:
     """The mix of all documents: words that it takes of each. A null text has size 0."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     sized = Tables(spark, "mix").put(named(docs, doc_id="doc_id", source="source", size=word_count(F.col("text"))))
-    out = mix(sized)
+    out = mix(sized, more=("size",))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 

@@ -296,7 +296,7 @@ def _by_leaders(groups: DataFrame, items: DataFrame, matcher, parts: int) -> Dat
 
 
 def settled(cells: DataFrame, items: DataFrame, good: DataFrame, tables: Tables, verify, matcher) -> DataFrame:
-    """``good`` (u, v) and more links, until no two ids of a key of ``cells`` (key, id) are apart and untried.
+    """A link (u, v) from each id to the least one that ``good`` (u, v) and more links connect it with: links are sought until no two ids of a key of ``cells`` (key, id) are apart and untried.
 
     First each id is compared with the least of its key (``verify``: pairs (u, v) to those that hold). An id that no link connects with it then is a leader of the key itself, and is
     compared with all others of the key (``matcher`` makes an object that compares ``items`` (id, item)), FEW a round; links join
@@ -309,6 +309,7 @@ def settled(cells: DataFrame, items: DataFrame, good: DataFrame, tables: Tables,
     groups, parts = cells.select("key", "id", (F.col("id") == F.col("v")).alias("done")), int(tables.spark.conf.get("spark.sql.shuffle.partitions"))
     while True:
         comp = components(good, tables).select(F.col("node").alias("id"), "root")
+        good = comp.where("id <> root").select(F.col("root").alias("u"), F.col("id").alias("v"))  # from here on one link for each id
         now = tables.put(groups.join(comp, "id", "left").select("key", "id", "done", F.coalesce("root", "id").alias("comp")))
         main = now.groupBy("key").agg(F.min(F.struct(~F.col("done"), "comp")).alias("m"), F.max("comp").alias("last"), F.min("comp").alias("least")).where("least < last")
         now = now.join(main, "key").withColumn("pending", ~F.col("done") & (F.col("comp") != F.col("m.comp"))).select("key", "id", "done", "comp", "pending")
@@ -364,7 +365,8 @@ def fingerprint_components(docs: DataFrame, n: int = 3, tau: int = 2, label: str
     """Rows (doc_id, fp, component_id) for ``docs`` (doc_id, text): components of fingerprints within tau bits, named by the smallest id.
 
     Equal fingerprints are one node, so copies cost one row each and no pairs. Null and empty texts, and texts of blanks, have fingerprint
-    zero and are linked like any other. A null id never names a component unless all its ids are null. Repeated rows come out as often as they came in.
+    zero and are linked like any other. A null id never names a component unless all its ids are null. Repeated rows come out as often as they came in. Texts of any length are read whole; an
+    empty table gives an empty table.
     """
     tables = Tables(docs.sparkSession, label)
     told = tables.put(docs.select("doc_id", prints(F.col("text"), n)["fp"].alias("fp")))

@@ -581,8 +581,8 @@ def _by_runs(groups: DataFrame, arrays: DataFrame, t: int, gram: int, w: int) ->
     return out.join(alike.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "key")
 
 
-def _settled(cells: DataFrame, arrays: DataFrame, tables: Tables, t: int, gram: int, w: int) -> DataFrame:
-    """The verified pairs (u, v, mine, theirs) among ``cells`` (key, node, n_words, places, part).
+def _settled(cells: DataFrame, arrays: DataFrame, tables: Tables, t: int, gram: int, w: int) -> tuple[DataFrame, DataFrame]:
+    """The verified pairs (u, v, mine, theirs) among ``cells`` (key, node, n_words, places, part), and (node, root) of the components that they make.
 
     First each text is compared with the leader of its keys. The places of keys where the leader refuted some are then grouped by the runs about them that near-duplicate passages
     share: an edited copy has few such runs in common with others. A text that is not connected to all of its group, or whose place no passage covers yet, is compared with all
@@ -596,9 +596,9 @@ def _settled(cells: DataFrame, arrays: DataFrame, tables: Tables, t: int, gram:
     found = held.where(F.size("mine") > 0).select("u", "v", "mine", "theirs")
     refuted = tables.put(held.select(F.explode("rest").alias("key")).distinct())
     groups = tables.put(_by_runs(cells.join(refuted, "key").select("key", "node", F.explode("places").alias("at")), arrays, t, gram, w))
-    groups, turn = groups.withColumn("done", F.lit(False)), 0
+    groups, turn, links = groups.withColumn("done", F.lit(False)), 0, found.select("u", "v")
     while True:
-        comp = components(found.select("u", "v"), tables)
+        comp = components(links, tables)
         sides = found.select(F.col("u").alias("node"), F.explode("mine").alias("s")).union(found.select("v", F.explode("theirs")))
         sides = sides.groupBy("node").agg(F.collect_set("s").alias("spans"))
         now = groups.join(comp, "node", "left").join(sides, "node", "left").withColumn("comp", F.coalesce("root", "node"))
@@ -609,7 +609,8 @@ def _settled(cells: DataFrame, arrays: DataFrame, tables: Tables, t: int, gram:
         count = now.groupBy("key").agg(F.count_if("pending").alias("n")).where("n > 0")
         now = tables.put(now.join(count, "key"))
         if now.isEmpty():
-            return found
+            return found, comp
+        links = comp.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
         if turn == 1 and not (many := tables.put(now.where(F.col("n") > FEW))).isEmpty():
             told = many.select("key", "base", "node", "at", F.col("lead.node").alias("v"), F.col("lead.at").alias("there"), (~F.col("pending")).alias("told"))
             apart = tables.put(_told_apart(told, arrays, t, gram).distinct())
@@ -626,6 +627,7 @@ def _settled(cells: DataFrame, arrays: DataFrame, tables: Tables, t: int, gram:
         met = pairs.join(cells.select("key", F.col("node").alias("v"), F.col("places").alias("there")), ["key", "v"])
         whole = _verify(met.select("key", "u", "v", "places", "there"), arrays, t, gram).where(F.size("mine") > 0).select(found.columns)
         found = tables.put(found.union(more).union(whole))
+        links = links.union(more.select("u", "v"))
         groups = tables.put(now.select("key", "base", "node", "at", (F.col("done") | F.col("leads")).alias("done")))
         turn += 1
 
@@ -654,13 +656,12 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, label: str =
     texts = texts.join(small(ids.where("doc_id is not null")), "doc_id", "left_semi").union(texts.where("doc_id is null"))
     arrays = texts.select(coded(F.col("text")).alias("c")).select("c.*").join(asked, "node", "left_semi")
     arrays = tables.put(arrays.groupBy("node").agg(F.first("h").alias("h")))
-    found = _settled(cells, arrays, tables, t, gram, w)
+    found, roots = _settled(cells, arrays, tables, t, gram, w)
 
     whole = F.array(F.struct(F.lit(0).alias("first"), (F.col("n_words") - 1).alias("last")))
     sides = nodes.where((F.col("n") > 1) & (F.col("n_words") >= min_words)).select("node", F.lit(None).cast("bigint").alias("with"), whole.alias("spans"))
     sides = sides.union(found.select("u", "v", "mine")).union(found.select("v", "u", "theirs"))
     sides = tables.put(sides)
-    roots = components(sides.where(F.col("with").isNotNull()).select(F.col("node").alias("u"), F.col("with").alias("v")), tables)
     # A text's spans are folded place by place: a text has few, however many others share them.
     edges = sides.select("node", F.explode("spans").alias("s")).groupBy("node", "s.first", "s.last").agg(F.lit(1))
     spans = edges.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("spans"))

@@ -46,7 +46,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``, each written to the shared folder and read again."""
+    """All stages over the documents of ``sf_dir``, each written to the shared folder and read again.
+
+    Null and empty texts go with the quality rules. Rows with a null id are kept by the near-duplicate stage, a null source is a source of its own, and repeated rows are one document to
+    that stage and rows like any other to the rest. Texts of any length are read whole; other columns are carried along, whatever their names; an empty table gives an empty table.
+    """
     tables, docs = Tables(spark, "pipeline"), spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = tables.put(stage(spark, docs, sf_dir))

@@ -107,7 +107,7 @@ def identify(pages: DataFrame, labelled: DataFrame, label: str = "language") ->
     """Rows (page_id, host, declared, text_lang, lang, confidence, kept) for ``pages`` (page_id, url, html), given ``labelled`` (doc_id, text, lang).
 
     Null pages have no text and no declaration, null urls the empty host: their priors decide. A declared language that the model does not know is
-    no evidence. kept: the confidence is KEPT_AT or more. Without labelled text lang is null and nothing is kept. An empty table gives an empty table.
+    no evidence. Pages of any length are read whole, repeated rows judged alike, and of equal languages the first by name counts. kept: the confidence is KEPT_AT or more. Without labelled text lang is null and nothing is kept. An empty table gives an empty table.
     """
     spark, tables = pages.sparkSession, Tables(pages.sparkSession, label)
     n = labelled.count()

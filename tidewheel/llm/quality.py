@@ -102,7 +102,8 @@ def measure(text: str | None) -> tuple:
 
 
 def quality(text: Column) -> Column:
-    """The measures and the verdict of each text, as a struct."""
+    """The measures and the verdict of each text, as a struct. A null text is an empty one: no words, so it fails by base. Texts of any length are read whole; repeated rows are judged alike; there
+    are no ties; other columns do not count, and an empty table gives an empty table."""
     return per_text(lambda texts: map(measure, texts), FIELDS)(text)
 
 

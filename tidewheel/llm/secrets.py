@@ -130,7 +130,8 @@ def scan(text: str | None) -> tuple:
 
 
 def secrets(text: Column) -> Column:
-    """Counts and spans of each text, as a struct."""
+    """Counts and spans of each text, as a struct. A null text is an empty one and has no spans. Texts, names and literals of any length are read whole; repeated rows are told alike; spans that
+    begin at one place come in the order of their kinds; other columns do not count, and an empty table gives an empty table."""
     return per_text(lambda texts: map(scan, texts), "n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string")(text)
 
 

@@ -108,11 +108,13 @@ def get_schedule(spark, sf):
     return reads.get_schedule(_schedules(spark, sf), "s3").select("id", F.col("next_run_at").cast("timestamp_ntz").alias("next_run_at"))
 
 
-@query(f"WITH {_C} SELECT instance_id, seq FROM j WHERE seq > 3")
+@query(f"WITH {_C} SELECT instance_id, seq, instance_id::BIGINT % 5 <= 1 AS reload FROM j WHERE seq > 3 OR instance_id::BIGINT % 5 <= 1")
 def journal_since(spark, sf):
     log = S.journal(spark, sf)
-    marks = log.groupBy("instance_id").agg(F.least(F.max("seq"), F.lit(3)).alias("last_seq"))
-    return reads.journal_since(log, marks).select("instance_id", "seq")
+    part = F.col("instance_id").cast("bigint") % 5
+    marks = log.groupBy("instance_id").agg(F.max("seq").alias("top")).where(part != 1)  # those of part 1 have no mark
+    marks = marks.select("instance_id", F.when(part == 0, F.col("top") + 7).otherwise(F.least("top", F.lit(3))).alias("last_seq"))  # those of part 0 one beyond the journal
+    return reads.journal_since(log, marks).select("instance_id", "seq", "reload")
 
 
 @query("""WITH RECURSIVE s AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey + 1 END AS nxt FROM orders),
@@ -237,9 +239,10 @@ def completion_correlation(spark, sf):
     return J.correlate(S.event_journal(spark, sf)).select("instance_id", "seq", "type", "completion", "completion_seq", "pending")
 
 
-@query(f"WITH {_J} SELECT instance_id, max(seq) + 1 AS next_seq, count_if(type IN ('activity_scheduled', 'timer_created')) AS n_commands, count_if(type = 'signal_received') AS n_signals, false AS canceled FROM j GROUP BY 1")
+@query(f"WITH {_J} SELECT instance_id, max(seq) + 1 AS next_seq, count_if(type IN ('activity_scheduled', 'timer_created')) AS n_commands, count_if(type = 'signal_received') AS n_signals, bool_or(type = 'activity_failed') AS canceled FROM j GROUP BY 1")
 def index_journal(spark, sf):
-    return J.index_journal(S.event_journal(spark, sf)).select("instance_id", "next_seq", "n_commands", "n_signals", "canceled")
+    kind = F.when(F.col("type") == "activity_failed", "cancel_requested").otherwise(F.col("type"))
+    return J.index_journal(S.event_journal(spark, sf).withColumn("type", kind)).select("instance_id", "next_seq", "n_commands", "n_signals", "canceled")
 
 
 @query(f"""WITH {_J}, c AS (SELECT * FROM j WHERE type IN ('activity_scheduled', 'timer_created')),
@@ -408,10 +411,12 @@ def claim_schedules(spark, sf):
     return M.claim_schedules(_schedules(spark, sf), inst, at(ORDERS_NOW), 40)["claimed"].select("instance_id", "created")
 
 
-@query(f"SELECT o_orderkey AS id, (date_trunc('hour', o_orderdate) + INTERVAL 1 HOUR)::TIMESTAMP AS next_run FROM orders")
+@query("""SELECT o_orderkey AS id, (CASE o_orderstatus WHEN 'O' THEN date_trunc('hour', o_orderdate) + INTERVAL 1 HOUR WHEN 'F' THEN date_trunc('month', o_orderdate) + INTERVAL 1 MONTH
+  ELSE date_trunc('day', o_orderdate) + CASE WHEN o_orderdate < date_trunc('day', o_orderdate) + INTERVAL 390 MINUTE THEN INTERVAL 390 MINUTE ELSE INTERVAL 1830 MINUTE END END)::TIMESTAMP AS next_run FROM orders""")
 def cron_next(spark, sf):
     o = S.table(spark, sf, "orders")
-    return o.select(F.col("o_orderkey").alias("id"), next_cron_time(F.lit("@hourly"), F.col("o_orderdate")).cast("timestamp_ntz").alias("next_run"))
+    rule = F.when(F.col("o_orderstatus") == "O", "@hourly").when(F.col("o_orderstatus") == "F", "0 0 1 * *").otherwise("30 6 * * *")
+    return o.select(F.col("o_orderkey").alias("id"), next_cron_time(rule, F.col("o_orderdate")).cast("timestamp_ntz").alias("next_run"))
 
 
 _VICTIMS = f"SELECT o_orderkey AS id FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_orderdate <= TIMESTAMP '{ORDERS_NOW}' - INTERVAL 1 HOUR ORDER BY o_orderdate, o_orderkey LIMIT 1000"

@@ -522,7 +522,9 @@ class _Block:
             self.numbers = numbers[:-1].astype(np.int32).reshape(lines.shape)
         t, at = self.t, self.middle
         share = round(100 * SIMILARITY)
-        common = _isin(self.inorder, np.sort(tok))
+        at_tok = np.minimum(np.searchsorted(self.inorder, tok), len(self.inorder) - 1)
+        common = np.zeros(len(self.inorder), dtype=bool)
+        common[at_tok[self.inorder[at_tok] == tok]] = True
         common[0] = False  # no token: beyond the text
         gain = np.zeros((len(asked), self.width + 1), dtype=np.int32)
         np.cumsum(np.where(common, 100 - share, -share).astype(np.int32)[self.numbers[asked]], axis=1, out=gain[:, 1:])
@@ -550,7 +552,7 @@ class _Block:
                 yield r["node"], x["node"], *({"first": i + y["begin"], "last": j + y["begin"] + SHINGLE - 1} for (i, j), y in zip(spans, (r, x)))
 
 
-def _by_runs(groups: DataFrame, arrays: DataFrame, t: int, gram: int, w: int) -> DataFrame:
+def _by_runs(groups: DataFrame, arrays: DataFrame, tables: Tables, t: int, gram: int, w: int) -> DataFrame:
     """Rows (key, base, node, at): the places of ``groups`` (key, node, at; the key is the base) under the runs of words about them that any two near-duplicate passages share, of which the window's shingle is the
     least; only runs that several texts have, and one of those that the same texts have."""
     rows = groups.groupBy("node").agg(F.collect_set("at").alias("places")).join(arrays, "node")
@@ -575,14 +577,14 @@ def _by_runs(groups: DataFrame, arrays: DataFrame, t: int, gram: int, w: int) ->
             columns = [pa.array(keys), pa.array(bases, pa.int64()), pa.array(nodes, pa.int64()), pa.array(places, pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=["key", "base", "node", "at"])
 
-    out = rows.select("node", "places", "h").mapInArrow(run, "key bigint, base bigint, node bigint, at int")
+    out = tables.put(rows.select("node", "places", "h").mapInArrow(run, "key bigint, base bigint, node bigint, at int"))
     member = F.xxhash64("node", "at")
     alike = out.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("n"), F.sum(F.shiftright(member, 8)).alias("x"), F.bit_xor(member).alias("y")).where("a < b")
     return out.join(alike.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "key")
 
 
-def _settled(cells: DataFrame, arrays: DataFrame, tables: Tables, t: int, gram: int, w: int) -> tuple[DataFrame, DataFrame]:
-    """The verified pairs (u, v, mine, theirs) among ``cells`` (key, node, n_words, places, part), and (node, root) of the components that they make.
+def _settled(cells: DataFrame, arrays: DataFrame, tables: Tables, t: int, gram: int, w: int) -> DataFrame:
+    """The verified pairs (u, v, mine, theirs) among ``cells`` (key, node, n_words, places, part).
 
     First each text is compared with the leader of its keys. The places of keys where the leader refuted some are then grouped by the runs about them that near-duplicate passages
     share: an edited copy has few such runs in common with others. A text that is not connected to all of its group, or whose place no passage covers yet, is compared with all
@@ -595,10 +597,10 @@ def _settled(cells: DataFrame, arrays: DataFrame, tables: Tables, t: int, gram:
     held = tables.put(_verify(cells.join(first, "key").where("node <> v").withColumnRenamed("node", "u"), arrays, t, gram))
     found = held.where(F.size("mine") > 0).select("u", "v", "mine", "theirs")
     refuted = tables.put(held.select(F.explode("rest").alias("key")).distinct())
-    groups = tables.put(_by_runs(cells.join(refuted, "key").select("key", "node", F.explode("places").alias("at")), arrays, t, gram, w))
-    groups, turn, links = groups.withColumn("done", F.lit(False)), 0, found.select("u", "v")
+    groups = tables.put(_by_runs(cells.join(refuted, "key").select("key", "node", F.explode("places").alias("at")), arrays, tables, t, gram, w))
+    groups, turn, more = groups.withColumn("done", F.lit(False)), 0, None
     while True:
-        comp = components(links, tables)
+        comp = components(found.select("u", "v"), tables, rounds=1)  # enough to skip most pairs that are connected
         sides = found.select(F.col("u").alias("node"), F.explode("mine").alias("s")).union(found.select("v", F.explode("theirs")))
         sides = sides.groupBy("node").agg(F.collect_set("s").alias("spans"))
         now = groups.join(comp, "node", "left").join(sides, "node", "left").withColumn("comp", F.coalesce("root", "node"))
@@ -609,8 +611,7 @@ def _settled(cells: DataFrame, arrays: DataFrame, tables: Tables, t: int, gram:
         count = now.groupBy("key").agg(F.count_if("pending").alias("n")).where("n > 0")
         now = tables.put(now.join(count, "key"))
         if now.isEmpty():
-            return found, comp
-        links = comp.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
+            break
         if turn == 1 and not (many := tables.put(now.where(F.col("n") > FEW))).isEmpty():
             told = many.select("key", "base", "node", "at", F.col("lead.node").alias("v"), F.col("lead.at").alias("there"), (~F.col("pending")).alias("told"))
             apart = tables.put(_told_apart(told, arrays, t, gram).distinct())
@@ -622,14 +623,16 @@ def _settled(cells: DataFrame, arrays: DataFrame, tables: Tables, t: int, gram:
         lead = now.where("pending").select("key", "node", "at", rank.alias("rank")).where(F.col("rank") <= FEW).select("key", "node", "at", F.lit(True).alias("leads"))
         now = tables.put(now.join(lead, ["key", "node", "at"], "left").withColumn("leads", F.coalesce("leads", F.lit(False))))
         more = tables.put(_by_leaders(now.select("key", "base", "node", "at", "comp", "covered", "leads"), arrays, t, gram))
-        # About their keys the passages of these pairs are followed as far as they go.
-        pairs = more.select("u", "v").distinct().join(cells.select("key", F.col("node").alias("u"), "places"), "u")
-        met = pairs.join(cells.select("key", F.col("node").alias("v"), F.col("places").alias("there")), ["key", "v"])
-        whole = _verify(met.select("key", "u", "v", "places", "there"), arrays, t, gram).where(F.size("mine") > 0).select(found.columns)
-        found = tables.put(found.union(more).union(whole))
-        links = links.union(more.select("u", "v"))
+        found = found.union(more)
         groups = tables.put(now.select("key", "base", "node", "at", (F.col("done") | F.col("leads")).alias("done")))
         turn += 1
+    if more is None:
+        return found
+    # About their keys the passages of the later pairs are followed as far as they go.
+    pairs = found.select("u", "v").distinct().join(held.select("u", "v"), ["u", "v"], "left_anti").join(cells.select("key", F.col("node").alias("u"), "places"), "u")
+    met = pairs.join(cells.select("key", F.col("node").alias("v"), F.col("places").alias("there")), ["key", "v"])
+    whole = _verify(met.select("key", "u", "v", "places", "there"), arrays, t, gram).where(F.size("mine") > 0).select(found.columns)
+    return found.union(tables.put(whole))
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, label: str = "passages") -> DataFrame:
@@ -656,7 +659,8 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, label: str =
     texts = texts.join(small(ids.where("doc_id is not null")), "doc_id", "left_semi").union(texts.where("doc_id is null"))
     arrays = texts.select(coded(F.col("text")).alias("c")).select("c.*").join(asked, "node", "left_semi")
     arrays = tables.put(arrays.groupBy("node").agg(F.first("h").alias("h")))
-    found, roots = _settled(cells, arrays, tables, t, gram, w)
+    found = _settled(cells, arrays, tables, t, gram, w)
+    roots = components(found.select("u", "v"), tables)
 
     whole = F.array(F.struct(F.lit(0).alias("first"), (F.col("n_words") - 1).alias("last")))
     sides = nodes.where((F.col("n") > 1) & (F.col("n_words") >= min_words)).select("node", F.lit(None).cast("bigint").alias("with"), whole.alias("spans"))

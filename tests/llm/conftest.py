@@ -29,3 +29,12 @@ def sf(tmp_path, spark):
         return str(tmp_path)
 
     return write
+
+
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """Small tables and many steps: fewer tasks are faster."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)

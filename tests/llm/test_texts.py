@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewheel.llm import decontaminate, quality, secrets
 
@@ -148,3 +149,20 @@ def test_lexer_reads_literals_names_and_concatenations_of_any_length():
     assert len(secrets.lexed(text)) == 1
     doubled = 'c0 = "aB3dE5gH7j"\n' + "".join(f"c{i + 1} = c{i} + c{i}\n" for i in range(60)) + "signing_key = c60\n"
     assert [doubled[a:b] for a, b in secrets.lexed(doubled)] == ["aB3dE5gH7j"]
+
+
+def test_decontamination_in_parts(spark, make, sf, monkeypatch):
+    """A benchmark of many parts gives what one of a single part gives; null and repeated items, texts of 200,000 words."""
+    rng = random.Random(6)
+    vocab = [f"v{i}" for i in range(60)]
+    say = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    items = [(i % 50, say(rng.choice([3, 9, 12, 30]))) for i in range(60)] + [(None, "only here"), (70, None), (71, "")]
+    rows = [(i, say(20) + " " + (rng.choice(items)[1] or "") + " " + (rng.choice(items)[1] or "")[:60] + " " + say(5)) for i in range(80)]
+    rows += [(200, None), (201, ""), (None, items[0][1]), (5, rows[5][1]), (202, "zz " * 200_000 + items[1][1])]
+    path = sf(documents=make(rows), benchmark=spark.createDataFrame(items, "item_id bigint, text string").withColumn("n_hit", F.lit(1)))
+    whole = sorted(map(str, decontaminate.op7_decontaminate(spark, path).collect()))
+    monkeypatch.setattr(decontaminate, "MAX_BENCHMARK", 500)
+    assert sorted(map(str, decontaminate.op7_decontaminate(spark, path).collect())) == whole
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    kept = decontaminate.drop_contaminated(docs, spark.read.parquet(f"{path}/benchmark.parquet"))
+    assert kept.columns == docs.columns and 0 < kept.count() < docs.count()

@@ -85,8 +85,14 @@ def next_time(expr: str, after: datetime) -> datetime | None:
     after = after.replace(tzinfo=timezone.utc) if after.tzinfo is None else after.astimezone(timezone.utc)
     if isinstance(rule, timedelta):
         return (after + rule).replace(microsecond=0)
-    (minutes, hours, days, months, weekdays), any_day, any_weekday = rule
-    t = after.replace(second=0, microsecond=0) + timedelta(minutes=1)
+    return _next_minute(expr, after.replace(second=0, microsecond=0))
+
+
+@lru_cache(maxsize=1 << 16)
+def _next_minute(expr: str, after: datetime) -> datetime | None:
+    """Rules count whole minutes, so many rows ask for the same one."""
+    (minutes, hours, days, months, weekdays), any_day, any_weekday = parse(expr)
+    t = after + timedelta(minutes=1)
     while t.year <= after.year + HORIZON_YEARS:
         if t.month not in months:
             t = (t.replace(day=1, hour=0, minute=0) + timedelta(days=32)).replace(day=1)

@@ -179,3 +179,28 @@ def test_streaming_actors(spark, tmp_path):
     done = rows.where("type = 'workflow_completed'").collect()
     assert sorted(r.instance_id for r in done) == ["a0", "a1", "a2", "a3"] and {r.payload for r in done} == {"[1, 2]"}
     assert rows.where("type = 'timer_fired'").count() == 4
+
+
+def test_streaming_starts_further_instances_and_drops_unknown_ids(spark, tmp_path):
+    def flow(ctx, value):
+        if value == 1:
+            ctx.continue_as_new(0)
+        ctx.start_child("kid", 7)
+        ctx.receive("never")
+
+    t0 = datetime(2026, 1, 1, tzinfo=timezone.utc)
+    src, out = f"{tmp_path}/in", f"file://{tmp_path}/out"
+    rows = [("c", 1, "workflow_started", "w", 0, "1", None, t0), ("d", 1, "workflow_started", "w", 0, "2", None, t0), ("nobody", 2, "signal_received", "go", 0, "2", None, t0)]
+    spark.createDataFrame(rows, actor.INBOX_DDL).coalesce(1).write.parquet(src)
+    seen = []
+
+    def sink(batch, epoch):
+        seen.extend(actor.spawned(batch, F.lit(t0)).collect())
+        actor.journal_sink(out)(batch, epoch)
+
+    q = actor.run_actors(spark.readStream.schema(actor.INBOX_DDL).parquet(src), flow).writeStream.foreachBatch(sink).outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    q.stop()
+    log = spark.read.parquet(out)
+    assert {r.instance_id for r in log.collect()} == {"c", "d"} and J.contiguity(log).where("not contiguous").count() == 0
+    assert sorted((r.instance_id, r.name, r.payload) for r in seen) == [("c~2", "w", "0"), ("d:2", "kid", "7")]

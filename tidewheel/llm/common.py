@@ -75,21 +75,20 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def components(edges: DataFrame, tables: Tables, rounds: int | None = None) -> DataFrame:
+def components(edges: DataFrame, tables: Tables) -> DataFrame:
     """Connected components of the undirected ``edges`` (u, v: long): one row (node, root) for each node that has an
     edge, root being the smallest node reachable.
 
     Minimum-label hooking with pointer jumping: each round lowers the parent of a node, and of its parent, to the
     smallest grandparent among its neighbours. A hub's labels are minimised before they are shuffled, and each
     join is between two scanned tables, so that a hot node's partition can be split. The state is written each round.
-    Rounds grow with the logarithm of the longest path. An empty ``edges`` gives an empty result. With ``rounds`` it ends after so many: nodes of one root are connected then, but connected ones may
-    have several.
+    Rounds grow with the logarithm of the longest path. An empty ``edges`` gives an empty result.
     """
     both = tables.put(
         edges.where("u <> v").select("u", "v").union(edges.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
     )
     state = tables.put(both.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("root")))
-    total, done = state.agg(F.sum(F.col("root").cast("decimal(38,0)"))).first()[0] if rounds is None else None, 0
+    total = state.agg(F.sum(F.col("root").cast("decimal(38,0)"))).first()[0]
     while True:
         above = state.select(F.col("node").alias("root"), F.col("root").alias("grand"))
         jumped = state.join(above, "root").select("node", "root", "grand")
@@ -104,10 +103,8 @@ def components(edges: DataFrame, tables: Tables, rounds: int | None = None) -> D
         )
         old, state = state, tables.put(new)
         tables.drop(old)
-        done += 1
-        if rounds is None:
-            before, total = total, state.agg(F.sum(F.col("root").cast("decimal(38,0)"))).first()[0]
-        if total == before if rounds is None else done >= rounds:
+        before, total = total, state.agg(F.sum(F.col("root").cast("decimal(38,0)"))).first()[0]
+        if total == before:
             tables.drop(both)
             return state
 

@@ -505,33 +505,53 @@ class _Block:
         return x
 
     def lead(self, r: dict) -> None:
-        tok, p = r["tok"], r["p"]
-        line = np.zeros(self.width, dtype=np.uint64)
-        left, right = min(p, self.middle), min(len(tok) - p, self.width - self.middle)
-        line[self.middle - left : self.middle + right] = tok[p - left : p + right]
-        self.lines.append(line)
+        self.lines.append(self._line(r))
         for key in r["keys"]:
             self.by_key.setdefault(key, []).append(len(self.leaders))
         self.leaders.append(r)
 
-    def possible(self, tok: np.ndarray, asked: np.ndarray) -> np.ndarray:
-        """Which of the leaders asked have, about their places, t tokens or more in a row of which the similarity's share is in ``tok``."""
-        if self.inorder is None:  # the leaders are all there: their distinct tokens, by number
-            lines = np.array(self.lines)
-            self.inorder, numbers = np.unique(np.append(lines.ravel(), np.uint64(0)), return_inverse=True)
-            self.numbers = numbers[:-1].astype(np.int32).reshape(lines.shape)
-        t, at = self.t, self.middle
-        share = round(100 * SIMILARITY)
-        at_tok = np.minimum(np.searchsorted(self.inorder, tok), len(self.inorder) - 1)
-        common = np.zeros(len(self.inorder), dtype=bool)
-        common[at_tok[self.inorder[at_tok] == tok]] = True
-        common[0] = False  # no token: beyond the text
-        gain = np.zeros((len(asked), self.width + 1), dtype=np.int32)
-        np.cumsum(np.where(common, 100 - share, -share).astype(np.int32)[self.numbers[asked]], axis=1, out=gain[:, 1:])
+    def _line(self, r: dict) -> np.ndarray:
+        """The tokens about a text's place, the place in the middle; 0 is no token."""
+        line = np.zeros(self.width, dtype=np.uint64)
+        left, right = min(r["p"], self.middle), min(len(r["tok"]) - r["p"], self.width - self.middle)
+        line[self.middle - left : self.middle + right] = r["tok"][r["p"] - left : r["p"] + right]
+        return line
+
+    def _gain(self, common: np.ndarray, need: float) -> np.ndarray:
+        """Of each row, the greatest gain of t places or more about the middle."""
+        t, at, share = self.t, self.middle, round(1800 * need)
+        gain = np.zeros((len(common), self.width + 1), dtype=np.int32)
+        np.cumsum(np.where(common, 1800 - share, -share).astype(np.int32), axis=1, out=gain[:, 1:])
         least = np.minimum.accumulate(gain[:, : at + 1], axis=1)
         best = gain[:, at + t :].max(axis=1) - least[:, at]  # ends t - 1 places on, or later
         ends = gain[:, max(at, t - 1) + 1 : at + t]
-        return np.maximum(best, (ends - least[:, max(0, at - t + 1) :][:, : ends.shape[1]]).max(axis=1)) >= 0
+        return np.maximum(best, (ends - least[:, max(0, at - t + 1) :][:, : ends.shape[1]]).max(axis=1))
+
+    def possible(self, r: dict, asked: np.ndarray) -> np.ndarray:
+        """Those of the leaders asked with whom a text may have a passage: about the places of both there are t tokens or more of which the least share is common, and on one side
+        the share of equally long passages of the similarity."""
+        if self.inorder is None:  # the leaders are all there: their distinct tokens, by number
+            lines = np.array(self.lines)
+            self.inorder, numbers = np.unique(np.append(lines.ravel(), np.uint64(0)), return_inverse=True)
+            self.numbers = numbers[:-1].reshape(lines.shape)
+            self.has = np.zeros((len(lines), len(self.inorder)), dtype=bool)
+            self.has[np.arange(len(lines))[:, None], self.numbers] = True
+            self.has[:, 0] = False
+        line = self._line(r)
+        number = np.minimum(np.searchsorted(self.inorder, line), len(self.inorder) - 1)
+        number[self.inorder[number] != line] = 0
+        mine = np.zeros(len(self.inorder), dtype=bool)
+        mine[number] = True
+        mine[0] = False
+        strict, least = _NEEDS
+        theirs = mine[self.numbers[asked]]
+        keep = self._gain(theirs, least) >= 0
+        asked, theirs = asked[keep], theirs[keep]
+        if len(asked):
+            ours = self.has[asked][:, number]
+            keep = (self._gain(ours, least) >= 0) & ((self._gain(ours, strict) >= 0) | (self._gain(theirs, strict) >= 0))
+            asked = asked[keep]
+        return asked
 
     def met(self, r: dict, n: int):
         """(u, v, span of u, span of v) of those of the first n leaders v that share a key with a text, and a passage."""
@@ -542,8 +562,7 @@ class _Block:
         asked = [k for k in sorted(asked) if (x := self.leaders[k])["node"] != r["node"] and not same(x)]
         if not asked:
             return
-        asked = np.array(asked)
-        for k in asked[self.possible(r["tok"], asked)].tolist():
+        for k in self.possible(r, np.array(asked)).tolist():
             x = self.leaders[k]
             if not same(x) and (spans := _near(r["tok"], x["tok"], r["p"], x["p"], self.t, self.known)) is not None:
                 one, two = self.root(r["comp"]), self.root(x["comp"])
@@ -583,8 +602,8 @@ def _by_runs(groups: DataFrame, arrays: DataFrame, tables: Tables, t: int, gram:
     return out.join(alike.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "key")
 
 
-def _settled(cells: DataFrame, arrays: DataFrame, tables: Tables, t: int, gram: int, w: int) -> DataFrame:
-    """The verified pairs (u, v, mine, theirs) among ``cells`` (key, node, n_words, places, part).
+def _settled(cells: DataFrame, arrays: DataFrame, tables: Tables, t: int, gram: int, w: int) -> tuple[DataFrame, DataFrame]:
+    """The verified pairs (u, v, mine, theirs) among ``cells`` (key, node, n_words, places, part), and (node, root) of the components that they make.
 
     First each text is compared with the leader of its keys. The places of keys where the leader refuted some are then grouped by the runs about them that near-duplicate passages
     share: an edited copy has few such runs in common with others. A text that is not connected to all of its group, or whose place no passage covers yet, is compared with all
@@ -598,9 +617,9 @@ def _settled(cells: DataFrame, arrays: DataFrame, tables: Tables, t: int, gram:
     found = held.where(F.size("mine") > 0).select("u", "v", "mine", "theirs")
     refuted = tables.put(held.select(F.explode("rest").alias("key")).distinct())
     groups = tables.put(_by_runs(cells.join(refuted, "key").select("key", "node", F.explode("places").alias("at")), arrays, tables, t, gram, w))
-    groups, turn, more = groups.withColumn("done", F.lit(False)), 0, None
+    groups, turn, more, links = groups.withColumn("done", F.lit(False)), 0, None, found.select("u", "v")
     while True:
-        comp = components(found.select("u", "v"), tables, rounds=1)  # enough to skip most pairs that are connected
+        comp = components(links, tables)
         sides = found.select(F.col("u").alias("node"), F.explode("mine").alias("s")).union(found.select("v", F.explode("theirs")))
         sides = sides.groupBy("node").agg(F.collect_set("s").alias("spans"))
         now = groups.join(comp, "node", "left").join(sides, "node", "left").withColumn("comp", F.coalesce("root", "node"))
@@ -612,6 +631,7 @@ def _settled(cells: DataFrame, arrays: DataFrame, tables: Tables, t: int, gram:
         now = tables.put(now.join(count, "key"))
         if now.isEmpty():
             break
+        links = comp.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))  # from here on one link for each text
         if turn == 1 and not (many := tables.put(now.where(F.col("n") > FEW))).isEmpty():
             told = many.select("key", "base", "node", "at", F.col("lead.node").alias("v"), F.col("lead.at").alias("there"), (~F.col("pending")).alias("told"))
             apart = tables.put(_told_apart(told, arrays, t, gram).distinct())
@@ -623,16 +643,16 @@ def _settled(cells: DataFrame, arrays: DataFrame, tables: Tables, t: int, gram:
         lead = now.where("pending").select("key", "node", "at", rank.alias("rank")).where(F.col("rank") <= FEW).select("key", "node", "at", F.lit(True).alias("leads"))
         now = tables.put(now.join(lead, ["key", "node", "at"], "left").withColumn("leads", F.coalesce("leads", F.lit(False))))
         more = tables.put(_by_leaders(now.select("key", "base", "node", "at", "comp", "covered", "leads"), arrays, t, gram))
-        found = found.union(more)
+        found, links = found.union(more), links.union(more.select("u", "v"))
         groups = tables.put(now.select("key", "base", "node", "at", (F.col("done") | F.col("leads")).alias("done")))
         turn += 1
     if more is None:
-        return found
+        return found, comp
     # About their keys the passages of the later pairs are followed as far as they go.
     pairs = found.select("u", "v").distinct().join(held.select("u", "v"), ["u", "v"], "left_anti").join(cells.select("key", F.col("node").alias("u"), "places"), "u")
     met = pairs.join(cells.select("key", F.col("node").alias("v"), F.col("places").alias("there")), ["key", "v"])
     whole = _verify(met.select("key", "u", "v", "places", "there"), arrays, t, gram).where(F.size("mine") > 0).select(found.columns)
-    return found.union(tables.put(whole))
+    return found.union(tables.put(whole)), comp
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, label: str = "passages") -> DataFrame:
@@ -659,8 +679,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, label: str =
     texts = texts.join(small(ids.where("doc_id is not null")), "doc_id", "left_semi").union(texts.where("doc_id is null"))
     arrays = texts.select(coded(F.col("text")).alias("c")).select("c.*").join(asked, "node", "left_semi")
     arrays = tables.put(arrays.groupBy("node").agg(F.first("h").alias("h")))
-    found = _settled(cells, arrays, tables, t, gram, w)
-    roots = components(found.select("u", "v"), tables)
+    found, roots = _settled(cells, arrays, tables, t, gram, w)
 
     whole = F.array(F.struct(F.lit(0).alias("first"), (F.col("n_words") - 1).alias("last")))
     sides = nodes.where((F.col("n") > 1) & (F.col("n_words") >= min_words)).select("node", F.lit(None).cast("bigint").alias("with"), whole.alias("spans"))
